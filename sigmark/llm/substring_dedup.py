@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .cut import cut, small
 from .text import U
 
 WIDTH, ROUNDS, SIDE = 50, 3, 16
@@ -153,21 +154,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     An exact copy of a document with a smaller doc_id loses all its windows;
     it takes no part in the search, since its first copy stands for it.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text").where("doc_id is not null").repartition(n, "doc_id")
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
     digests = docs.select("doc_id", F.md5("text").alias("digest")).where("digest is not null")
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = digests.join(firsts, "digest").where("doc_id > least").select("doc_id", F.lit(True).alias("copy")).distinct()
-    own = docs.join(copies, "doc_id", "left_anti")
+    copies = cut(digests.join(firsts, "digest").where("doc_id > least").select("doc_id").distinct(), "passage-copies")
+    own = docs.join(small(copies), "doc_id", "left_anti")
     names = own.mapInArrow(_names, "name long, doc_id long, at int")
     shared = names.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least")
-    found = names.join(shared, "name").groupBy("doc_id").agg(F.collect_list(F.struct("at", (F.col("doc_id") > F.col("least")).alias("asks"))).alias("x"))
-    hit = own.join(found.select("doc_id", F.col("x.at").alias("at"), F.col("x.asks").alias("asks")), "doc_id")
+    places = names.join(shared, "name").groupBy("doc_id").agg(F.collect_list(F.struct("at", (F.col("doc_id") > F.col("least")).alias("asks"))).alias("x"))
+    found = cut(places.select("doc_id", F.col("x.at").alias("at"), F.col("x.asks").alias("asks")), "passage-places")
+    # the texts of other documents stay where they are: only those with a candidate are shuffled
+    hit = own.join(small(found.select("doc_id")), "doc_id", "left_semi").join(found, "doc_id")
     spans = hit.mapInArrow(_candidates, "window long, doc_id long, start int, asks boolean")
     least = spans.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least")
-    gone = spans.where("asks").join(least, "window").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    plan = docs.join(gone, "doc_id", "left").join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    return plan.mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_text string")
+    gone = cut(spans.where("asks").join(least, "window").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "passage-windows")
+    marks = gone.select("doc_id", "starts", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
+    ids = small(marks.select("doc_id"))
+    clean = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("copy"))
+    rest = docs.join(ids, "doc_id", "left_semi").join(marks, "doc_id").select("doc_id", "text", "starts", "copy")
+    return clean.unionByName(rest).mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digests(result: DataFrame) -> DataFrame:

@@ -68,6 +68,8 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     of: np.ndarray
+    #: Where each document's text begins in data.
+    at: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
         """One hash a word, from prefix sums of a polynomial."""
@@ -82,8 +84,13 @@ class Words:
         return np.repeat(np.arange(len(self.of) - 1), np.diff(self.of))
 
 
-def chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK) -> Iterator[Words]:
-    """The words of a text column, some documents at a time; lower: A-Z become a-z."""
+#: Bytes that part words: white space, and where asked ASCII punctuation too.
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+PUNCT = BLANK | np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+
+
+def chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK, blank: np.ndarray = BLANK) -> Iterator[Words]:
+    """The words of a text column, some documents at a time; lower: A-Z become a-z; blank: the bytes that part words."""
     at, data = utf8(col)
     n, a = len(at) - 1, 0
     while a < n:
@@ -92,7 +99,7 @@ def chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK) -> Iterator[W
         if lower:
             part = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint8)
         bounds = at[a : b + 1] - at[a]
-        space = (part == 32) | ((part >= 9) & (part <= 13))
+        space = blank[part]
         word = ~space
         new = np.zeros(len(part) + 1, bool)
         new[bounds] = True
@@ -101,7 +108,7 @@ def chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK) -> Iterator[W
         ends = word.copy()
         ends[:-1] &= space[1:] | new[1:-1]
         start = np.flatnonzero(begins)
-        yield Words(a, part, start, np.flatnonzero(ends) + 1, np.searchsorted(start, bounds))
+        yield Words(a, part, start, np.flatnonzero(ends) + 1, np.searchsorted(start, bounds), bounds)
         a = b
 
 
