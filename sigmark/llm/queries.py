@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontam, langid, line_dedup, ngram_join, packing, quality, substring_dedup, urls
+from . import chat, decontam, langid, line_dedup, ngram_join, packing, quality, substring_dedup, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    every = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(*chat.format_tree(every))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_best_fit_packing, op5_ngram_jaccard_join, op6_url_filters, op8_line_dedup, op9_substring_dedup)
+    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_best_fit_packing, op5_ngram_jaccard_join, op6_url_filters, op8_line_dedup, op9_substring_dedup, op10_chat_formatting)
 }
 
 _OP2 = r"""
