@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, decontam, langid, line_dedup, ngram_join, packing, quality, substring_dedup, urls
+from . import chat, decontam, html, langid, line_dedup, ngram_join, packing, quality, substring_dedup, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +46,14 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.drop_lines(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return rows.select("doc.doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_best_fit_packing, op5_ngram_jaccard_join, op6_url_filters, op8_line_dedup, op9_substring_dedup, op10_chat_formatting)
+    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_best_fit_packing, op5_ngram_jaccard_join, op6_url_filters, op7_html_extraction, op8_line_dedup, op9_substring_dedup, op10_chat_formatting)
 }
 
 _OP2 = r"""
