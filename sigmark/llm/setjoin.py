@@ -9,11 +9,11 @@ gives right results, so the order may come from a bounded table of counts.
 * In a region, the set with the least id is the pivot and is compared with the
   others: the length and the place of the shared member bound what can be
   shared, and whatever passes is verified on whole sets.
-* Sets within eps = 1 - t of the pivot are settled, unless some unsettled set
-  is so near to the pivot that the triangle inequality lets them link: then both
-  go on to the next round, in which the region has another pivot.  Sets farther
-  apart than eps in their distance to the pivot never need to be compared.
-* A region of few sets is compared whole at once.
+* A set linked to a pivot is settled, unless some set not linked to this pivot
+  is so near to it that the triangle inequality lets the two link: then both go
+  on to the next round, in which the region has other pivots.
+* A region is split by rings of set size, the distance to the empty set; a set
+  visits the ring above its own.  A ring of few sets is compared whole at once.
 
 So links that are not made are between sets which have links to the same pivot.
 That keeps components, and for each set an earlier partner if it has any.
@@ -21,11 +21,12 @@ That keeps components, and for each set an earlier partner if it has any.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cut import cut, small
@@ -35,7 +36,9 @@ from .text import U
 BUCKETS = 1 << 18
 PART = 1 << 13
 #: Regions of at most so many sets are compared whole.
-FEW = 6
+FEW = 16
+#: Pivots of a larger region in a round after the first.
+PIVOTS = 16
 
 
 def count_rows(docs: DataFrame, members: Callable[[pa.RecordBatch], Iterator[np.ndarray]], columns: list[str]) -> np.ndarray:
@@ -112,43 +115,56 @@ def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
     key in its order.  sets_of(ids) gives (id, members) of the asked ids: their
     sorted 64-bit members in one binary.
     """
-    spark = keys.sparkSession
-    eps = 1 - t[0] / t[1]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = keys.repartition(n, "key")
-    shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1")
-    live = cut(keys.join(shared, "key").select("key", "id", "n", "pos", "m", "pivot"), f"{name}-regions")
-    ids = cut(live.select("id").distinct(), f"{name}-ids")
-    sets = cut(sets_of(ids), f"{name}-sets")
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    rows = keys.join(shared, "key")
+    # rings of sizes: partners differ by one ring at most, so a set visits the ring above its own
+    ring = F.floor(F.log("n") / (math.log(t[1] / t[0]) * (1 + 1e-9))).cast("int")
+    rows = rows.withColumn("ring", F.explode(F.array(ring, ring + 1)))
+    live = cut(_with_pivots(rows), f"{name}-regions")
+    sets = cut(sets_of(cut(live.select("id").distinct(), f"{name}-ids")), f"{name}-sets")
     links = None
     for r in range(1000):
-        a = live.select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"), F.col("m"))
-        star = live.where(F.col("m") > FEW).where("id = pivot").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"))
-        rest = live.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), "m")
-        far = rest.where(F.col("m") > FEW).join(star, "key").where("a < b")
-        near = a.where(F.col("m") <= FEW).drop("m").join(rest.where(F.col("m") <= FEW), "key").where("a < b")
-        most = F.least("an", "bn")
-        could = (F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos")) * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]) & (most * t[1] >= F.greatest("an", "bn") * t[0])
-        want = far.select("key", "a", "an", "b", "bn", could.alias("could")).unionByName(near.select("key", "a", "an", "b", "bn", could.alias("could")))
-        pairs = want.where("could").select("a", "an", "b", "bn").distinct()
+        a = live.select("key", "ring", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"), "m")
+        b = live.select("key", "ring", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), "m")
+        near = a.where(F.col("m") <= FEW).drop("m").join(b.where(F.col("m") <= FEW).drop("m"), ["key", "ring"]).where("a < b")
+        if r == 0:
+            big = live.where(F.col("m") > FEW)
+            far = big.select("key", "ring", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.pos").alias("apos"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos")).where("a < b")
+        else:
+            first = Window.partitionBy("key", "ring").orderBy("a")
+            pivots = a.where(F.col("m") > FEW).withColumn("r", F.row_number().over(first)).where(F.col("r") <= PIVOTS).drop("m", "r")
+            far = b.where(F.col("m") > FEW).drop("m").join(pivots, ["key", "ring"]).where("a < b")
+        could = (F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos")) * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]) & (F.least("an", "bn") * t[1] >= F.greatest("an", "bn") * t[0])
+        pairs = near.where(could).select("a", "an", "b", "bn").unionByName(far.where(could).select("a", "an", "b", "bn")).distinct()
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("b_set")), "b")
         done = cut(verified(both), f"{name}-pairs{r}")
         found = done.where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        if not far.limit(1).count():
-            return links.distinct()
-        dist = done.select("a", "b", (1 - F.col("common") / (F.col("an") + F.col("bn") - F.col("common"))).alias("d"))
-        seen = far.join(dist, ["a", "b"], "left").withColumn("d", F.coalesce("d", F.lit(eps) + F.lit(1e-9)))
-        linked = F.col("d") <= eps
-        nearest = seen.groupBy("key").agg(F.min(F.when(~linked, F.col("d"))).alias("out"), F.count(F.when(~linked, 1)).alias("left_out")).where("left_out > 0")
-        stay = seen.join(nearest, "key").where(~linked | (F.col("d") >= F.col("out") - eps - 1e-9)).select("key", F.col("b").alias("id"), F.col("bn").alias("n"), F.col("bpos").alias("pos"))
-        again = stay.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1")
-        live = cut(stay.join(again, "key").select("key", "id", "n", "pos", "m", "pivot"), f"{name}-round{r}")
+        live = cut(_with_pivots(_unsettled(far, done, 1 - t[0] / t[1])), f"{name}-round{r}")
         if not live.limit(1).count():
             return links.distinct()
     raise RuntimeError("regions did not settle")
 
 
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """Regions of two sets or more, with their size m and their first set as pivot."""
+    regions = rows.groupBy("key", "ring").agg(F.count("*").alias("m"), F.min(F.struct("id", "n", "pos")).alias("pivot")).where("m > 1")
+    return rows.join(regions, ["key", "ring"]).select("key", "ring", "id", "n", "pos", "m", "pivot")
+
+
+def _unsettled(far: DataFrame, done: DataFrame, eps: float) -> DataFrame:
+    """What a round with pivots a leaves: sets that may be near one which has no link to the same pivot."""
+    dist = done.select("a", "b", (1 - F.col("common") / (F.col("an") + F.col("bn") - F.col("common"))).alias("d"))
+    seen = far.join(dist, ["a", "b"], "left").withColumn("d", F.coalesce("d", F.lit(eps + 1e-9)))
+    pivots = far.select("key", "ring", F.col("a").alias("b")).distinct()
+    seen = seen.join(pivots, ["key", "ring", "b"], "left_anti")
+    # by how far the nearest set without a link to a pivot is away from it
+    out = seen.where(F.col("d") > eps).groupBy("key", "ring", "a").agg(F.min("d").alias("out"))
+    clear = (F.col("d") <= eps) & (F.col("d") < F.coalesce("out", F.lit(9.0)) - eps - 1e-9)
+    stay = seen.join(out, ["key", "ring", "a"], "left").groupBy("key", "ring", F.col("b").alias("id"), F.col("bn").alias("n"), F.col("bpos").alias("pos")).agg(F.max(clear.cast("int")).alias("settled"))
+    return stay.where("settled = 0").drop("settled")
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """(id, least): every linked id with the least id that it reaches; each round halves the paths."""
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
