@@ -70,10 +70,10 @@ def near_copies(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFram
                 if not k.sum():
                     continue
                 here = np.arange(w.first, w.first + len(k))
-                yield pa.RecordBatch.from_pydict({"key": np.concatenate(heads).view(np.int64), "id": np.repeat(ids[here], k), "n": np.repeat(np.diff(at), k).astype(np.int32), "pos": np.concatenate([np.arange(x, dtype=np.int32) for x in k])})
+                yield pa.RecordBatch.from_pydict({"key": np.concatenate(heads).view(np.int64), "id": np.repeat(ids[here], k), "n": np.repeat(np.diff(at), k).astype(np.int32), "pos": np.concatenate([np.arange(x, dtype=np.int32) for x in k]), "sig": np.repeat(setjoin.signature(members, at), k)})
 
     own = setjoin.without(docs.withColumnRenamed("doc_id", "id"), alike.select("id"))
-    keys = own.mapInArrow(regions, "key long, id long, n int, pos int")
+    keys = own.mapInArrow(regions, "key long, id long, n int, pos int, sig long")
     sets_of = lambda ids: docs.withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi").mapInArrow(_members, "id long, members binary").dropDuplicates(["id"])
     links = cut(setjoin.region_links(keys, sets_of, similar, "shingle"), "shingle-links")
     least = setjoin.components(links, "shingle") if links.limit(1).count() else links.select(F.col("a").alias("id"), F.col("b").alias("least"))

@@ -7,8 +7,8 @@ gives right results, so the order may come from a bounded table of counts.
 * A set that loses more than n - ceil(t n) members can't link, so a set meets
   all its partners in the regions of its first n - ceil(t n) + 1 members.
 * In a region, the set with the least id is the pivot and is compared with the
-  others: the length and the place of the shared member bound what can be
-  shared, and whatever passes is verified on whole sets.
+  others: sizes, the place of the shared member and 64 parity bits bound what
+  can be shared, and whatever passes is verified on whole sets.
 * A set linked to a pivot is settled, unless some set not linked to this pivot
   is so near to it that the triangle inequality lets the two link: then both go
   on to the next round, in which the region has other pivots.
@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cut import cut, small
@@ -36,20 +36,20 @@ from .text import U
 BUCKETS = 1 << 18
 PART = 1 << 13
 #: Regions of at most so many sets are compared whole.
-FEW = 16
+FEW = 48
 #: Pivots of a larger region in a round after the first.
 PIVOTS = 16
 
 
-def count_rows(docs: DataFrame, members: Callable[[pa.RecordBatch], Iterator[np.ndarray]], columns: list[str]) -> np.ndarray:
-    """How often members fall into each bucket, over all of docs; added up by Spark, 2 MB reach the driver."""
+def count_rows(docs: DataFrame, members: Callable[[pa.RecordBatch], Iterator[np.ndarray]], columns: list[str], buckets: int = BUCKETS) -> np.ndarray:
+    """How often members fall into each bucket, over all of docs; added up by Spark, 8 bytes a bucket reach the driver."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(buckets, np.int64)
         for b in batches:
             for m in members(b):
-                total += np.bincount((m & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_pydict({"part": np.arange(BUCKETS // PART, dtype=np.int32), "counts": [x.tobytes() for x in total.reshape(-1, PART)]}, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+                total += np.bincount((m & U(buckets - 1)).astype(np.int64), minlength=buckets)
+        yield pa.RecordBatch.from_pydict({"part": np.arange(buckets // PART, dtype=np.int32), "counts": [x.tobytes() for x in total.reshape(-1, PART)]}, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
         total = np.zeros(PART, np.int64)
@@ -58,7 +58,7 @@ def count_rows(docs: DataFrame, members: Callable[[pa.RecordBatch], Iterator[np.
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     rows = docs.select(*columns).mapInArrow(each, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(buckets, np.int64)
     for r in rows:
         out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, np.int64)
     return out
@@ -108,36 +108,58 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(each, StructType([*keep]).add("common", LongType()))
 
 
+def signature(members: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 parity bits of each set, whose bounds are at: a member that only one of two sets has can change one bit at most."""
+    if len(at) < 2:
+        return np.zeros(0, np.int64)
+    bit = np.left_shift(U(1), members >> U(58))
+    out = np.zeros(len(at) - 1, U)
+    full = at[1:] > at[:-1]
+    if full.any():
+        out[full] = np.bitwise_xor.reduceat(bit, at[:-1][full])
+    return out.view(np.int64)
+
+
+def could(t: tuple[int, int]) -> Column:
+    """May sets a and b link, as far as their sizes, the places of the shared member and the signatures tell?"""
+    left = F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos"))
+    both = F.col("an") + F.col("bn")
+    return (left * (t[0] + t[1]) >= both * t[0]) & (F.least("an", "bn") * t[1] >= F.greatest("an", "bn") * t[0]) & (F.bit_count(F.col("asig").bitwiseXOR(F.col("bsig"))) * (t[0] + t[1]) <= both * (t[1] - t[0]))
+
+
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("key", "ring", *[F.col(c).alias(f"{x}{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")])
+
+
 def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str) -> DataFrame:
     """Links (a, b), a before b, that connect whatever the sets' full join would.
 
-    keys: (key, id, n, pos), the regions of each set, its size and the place of
-    key in its order.  sets_of(ids) gives (id, members) of the asked ids: their
-    sorted 64-bit members in one binary.
+    keys: (key, id, n, pos, sig), the regions of each set, its size, the place
+    of key in its order and its signature.  sets_of(ids) gives (id, members) of
+    the asked ids: their sorted 64-bit members in one binary.
     """
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    rows = keys.join(shared, "key")
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keys.repartition(n, "key")
+    rows = rows.withColumn("_m", F.count("*").over(Window.partitionBy("key"))).where("_m > 1").drop("_m")
     # rings of sizes: partners differ by one ring at most, so a set visits the ring above its own
     ring = F.floor(F.log("n") / (math.log(t[1] / t[0]) * (1 + 1e-9))).cast("int")
-    rows = rows.withColumn("ring", F.explode(F.array(ring, ring + 1)))
-    live = cut(_with_pivots(rows), f"{name}-regions")
-    sets = cut(sets_of(cut(live.select("id").distinct(), f"{name}-ids")), f"{name}-sets")
+    live = cut(_with_pivots(rows.withColumn("ring", F.explode(F.array(ring, ring + 1)))), f"{name}-regions")
     links = None
     for r in range(1000):
-        a = live.select("key", "ring", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"), "m")
-        b = live.select("key", "ring", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), "m")
-        near = a.where(F.col("m") <= FEW).drop("m").join(b.where(F.col("m") <= FEW).drop("m"), ["key", "ring"]).where("a < b")
+        few = live.where(F.col("m") <= FEW)
+        near = _side(few, "a").join(_side(few, "b"), ["key", "ring"]).where((F.col("a") < F.col("b")) & could(t)).select("a", "an", "b", "bn")
+        many = live.where(F.col("m") > FEW)
         if r == 0:
-            big = live.where(F.col("m") > FEW)
-            far = big.select("key", "ring", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.pos").alias("apos"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos")).where("a < b")
+            far = many.select("key", "ring", *[F.col(f"pivot.{c}").alias(f"a{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")], *[F.col(c).alias(f"b{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")]).where("a < b")
         else:
             first = Window.partitionBy("key", "ring").orderBy("a")
-            pivots = a.where(F.col("m") > FEW).withColumn("r", F.row_number().over(first)).where(F.col("r") <= PIVOTS).drop("m", "r")
-            far = b.where(F.col("m") > FEW).drop("m").join(pivots, ["key", "ring"]).where("a < b")
-        could = (F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos")) * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]) & (F.least("an", "bn") * t[1] >= F.greatest("an", "bn") * t[0])
-        pairs = near.where(could).select("a", "an", "b", "bn").unionByName(far.where(could).select("a", "an", "b", "bn")).distinct()
+            pivots = _side(many, "a").withColumn("r", F.row_number().over(first)).where(F.col("r") <= PIVOTS).drop("r")
+            far = _side(many, "b").join(pivots, ["key", "ring"]).where("a < b")
+        pairs = cut(near.unionByName(far.where(could(t)).select("a", "an", "b", "bn")).distinct(), f"{name}-pairs{r}")
+        sets = sets_of(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids{r}"))
+        sets = cut(sets, f"{name}-sets{r}")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("b_set")), "b")
-        done = cut(verified(both), f"{name}-pairs{r}")
+        done = cut(verified(both), f"{name}-done{r}")
         found = done.where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select("a", "b")
         links = found if links is None else links.unionByName(found)
         live = cut(_with_pivots(_unsettled(far, done, 1 - t[0] / t[1])), f"{name}-round{r}")
@@ -148,8 +170,8 @@ def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
 
 def _with_pivots(rows: DataFrame) -> DataFrame:
     """Regions of two sets or more, with their size m and their first set as pivot."""
-    regions = rows.groupBy("key", "ring").agg(F.count("*").alias("m"), F.min(F.struct("id", "n", "pos")).alias("pivot")).where("m > 1")
-    return rows.join(regions, ["key", "ring"]).select("key", "ring", "id", "n", "pos", "m", "pivot")
+    w = Window.partitionBy("key", "ring")
+    return rows.select("key", "ring", "id", "n", "pos", "sig", F.count("*").over(w).alias("m"), F.min(F.struct("id", "n", "pos", "sig")).over(w).alias("pivot")).where("m > 1")
 
 
 def _unsettled(far: DataFrame, done: DataFrame, eps: float) -> DataFrame:
@@ -161,7 +183,7 @@ def _unsettled(far: DataFrame, done: DataFrame, eps: float) -> DataFrame:
     # by how far the nearest set without a link to a pivot is away from it
     out = seen.where(F.col("d") > eps).groupBy("key", "ring", "a").agg(F.min("d").alias("out"))
     clear = (F.col("d") <= eps) & (F.col("d") < F.coalesce("out", F.lit(9.0)) - eps - 1e-9)
-    stay = seen.join(out, ["key", "ring", "a"], "left").groupBy("key", "ring", F.col("b").alias("id"), F.col("bn").alias("n"), F.col("bpos").alias("pos")).agg(F.max(clear.cast("int")).alias("settled"))
+    stay = seen.join(out, ["key", "ring", "a"], "left").groupBy("key", "ring", F.col("b").alias("id"), F.col("bn").alias("n"), F.col("bpos").alias("pos"), F.col("bsig").alias("sig")).agg(F.max(clear.cast("int")).alias("settled"))
     return stay.where("settled = 0").drop("settled")
 
 
