@@ -184,9 +184,9 @@ def o04(t: Tables):
     return designs(t).select("part", "design", "bits")
 
 
-@query("o05_cost_runtime", f"{_CAND} select part, design, price, hours, round(bits / price, 4) as priority from cand")
+@query("o05_cost_runtime", f"{_CAND} select part, design, price, hours, bits / price as priority from cand")
 def o05(t: Tables):
-    return designs(t).select("part", "design", "price", "hours", F.round(F.col("bits") / F.col("price"), 4).alias("priority"))
+    return designs(t).select("part", "design", "price", "hours", (F.col("bits") / F.col("price")).alias("priority"))
 
 
 @query("j11_pareto", f"{_CAND} select part, design from cand a where not exists (select 1 from cand b where a.part = b.part and b.bits >= a.bits and b.price <= a.price and b.hours <= a.hours and (b.bits > a.bits or b.price < a.price or b.hours < a.hours))")
