@@ -26,6 +26,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+_published: set[tuple[str, str]] = set()
 ALLOW, BLOCK, LISTED = b"A", b"B", b"L"
 
 # Hosts of adult, gambling, pharmacy, spam and tracking pages, with all their subdomains.
@@ -55,13 +56,17 @@ def publish(spark: SparkSession, rules: list[tuple[str, str, str]], listed: list
     for x in listed:
         entries.setdefault(x if "/" in x else x + "/", LISTED)
     keys = sorted((xxhash.xxh64_intdigest(e), e.encode(), kind) for e, kind in entries.items())
-    folder = tempfile.mkdtemp(prefix="spark-")
     name = f"digests-{xxhash.xxh64_hexdigest(repr(keys))}"
+    app = spark.sparkContext.applicationId
+    if (app, name) in _published:
+        return name
+    folder = tempfile.mkdtemp(prefix="spark-")
     np.array([k for k, _, _ in keys], np.uint64).tofile(os.path.join(folder, f"{name}.keys"))
     with open(os.path.join(folder, f"{name}.text"), "wb") as f:
         f.write(b"\n".join(kind + e for _, e, kind in keys))
     for part in ("keys", "text"):
         spark.sparkContext.addFile(os.path.join(folder, f"{name}.{part}"))
+    _published.add((app, name))
     return name
 
 
