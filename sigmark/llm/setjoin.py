@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .cut import cut, small
 from .text import U
+from .text import mix
 
 #: Buckets of the table of counts: 2 MB whatever the input.
 BUCKETS = 1 << 18
@@ -112,7 +113,7 @@ def signature(members: np.ndarray, at: np.ndarray) -> np.ndarray:
     """64 parity bits of each set, whose bounds are at: a member that only one of two sets has can change one bit at most."""
     if len(at) < 2:
         return np.zeros(0, np.int64)
-    bit = np.left_shift(U(1), members >> U(58))
+    bit = np.left_shift(U(1), mix(members) >> U(58))
     out = np.zeros(len(at) - 1, U)
     full = at[1:] > at[:-1]
     if full.any():
@@ -131,7 +132,7 @@ def _side(rows: DataFrame, x: str) -> DataFrame:
     return rows.select("key", "ring", *[F.col(c).alias(f"{x}{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")])
 
 
-def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str) -> DataFrame:
+def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW) -> DataFrame:
     """Links (a, b), a before b, that connect whatever the sets' full join would.
 
     keys: (key, id, n, pos, sig), the regions of each set, its size, the place
@@ -143,12 +144,11 @@ def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
     rows = rows.withColumn("_m", F.count("*").over(Window.partitionBy("key"))).where("_m > 1").drop("_m")
     # rings of sizes: partners differ by one ring at most, so a set visits the ring above its own
     ring = F.floor(F.log("n") / (math.log(t[1] / t[0]) * (1 + 1e-9))).cast("int")
-    live = cut(_with_pivots(rows.withColumn("ring", F.explode(F.array(ring, ring + 1)))), f"{name}-regions")
-    links = None
+    rows = _sized(rows.withColumn("ring", F.explode(F.array(ring, ring + 1))))
+    # one pass over the shuffled keys: pairs of the small regions, and the larger regions as they are
+    first = cut(_near(rows, few, t).select(F.struct("a", "an", "b", "bn").alias("pair"), F.lit(None).alias("row")).unionByName(_with_pivots(rows.where(F.col("m") > few)).select(F.lit(None).alias("pair"), F.struct("*").alias("row"))), f"{name}-regions")
+    near, many, links = first.where("pair is not null").select("pair.*"), first.where("row is not null").select("row.*"), None
     for r in range(1000):
-        few = live.where(F.col("m") <= FEW)
-        near = _side(few, "a").join(_side(few, "b"), ["key", "ring"]).where((F.col("a") < F.col("b")) & could(t)).select("a", "an", "b", "bn")
-        many = live.where(F.col("m") > FEW)
         if r == 0:
             far = many.select("key", "ring", *[F.col(f"pivot.{c}").alias(f"a{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")], *[F.col(c).alias(f"b{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")]).where("a < b")
         else:
@@ -162,16 +162,27 @@ def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
         done = cut(verified(both), f"{name}-done{r}")
         found = done.where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        live = cut(_with_pivots(_unsettled(far, done, 1 - t[0] / t[1])), f"{name}-round{r}")
+        live = cut(_sized(_unsettled(far, done, 1 - t[0] / t[1])), f"{name}-round{r}")
         if not live.limit(1).count():
             return links.distinct()
+        near, many = _near(live, few, t), _with_pivots(live.where(F.col("m") > few))
     raise RuntimeError("regions did not settle")
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """Regions of two sets or more, with their size m."""
+    return rows.withColumn("m", F.count("*").over(Window.partitionBy("key", "ring"))).where("m > 1")
+
+
+def _near(rows: DataFrame, few: int, t: tuple[int, int]) -> DataFrame:
+    """Pairs of the small regions that may link."""
+    rows = rows.where(F.col("m") <= few)
+    return _side(rows, "a").join(_side(rows, "b"), ["key", "ring"]).where((F.col("a") < F.col("b")) & could(t)).select("a", "an", "b", "bn")
+
+
 def _with_pivots(rows: DataFrame) -> DataFrame:
-    """Regions of two sets or more, with their size m and their first set as pivot."""
-    w = Window.partitionBy("key", "ring")
-    return rows.select("key", "ring", "id", "n", "pos", "sig", F.count("*").over(w).alias("m"), F.min(F.struct("id", "n", "pos", "sig")).over(w).alias("pivot")).where("m > 1")
+    """Regions with their first set as pivot."""
+    return rows.withColumn("pivot", F.min(F.struct("id", "n", "pos", "sig")).over(Window.partitionBy("key", "ring")))
 
 
 def _unsettled(far: DataFrame, done: DataFrame, eps: float) -> DataFrame:
