@@ -10,7 +10,7 @@ ancestors, adjacent ones as one: what it may attend to besides itself.
 
 The template is ``[INST] text [/INST]`` for user turns, `` text </s>`` for
 assistant turns, and ``<<role>> text <</role>>`` for others; roles and texts
-escape the control strings' first characters, ``<`` and ``[``, and ``\\\\`` by a
+escape ``<``, ``>`` and ``[``, which all control strings have, and ``\\\\`` by a
 backslash before them, which ``unescape`` takes back.  Loss is on assistant texts.
 
 Null role or text is empty.  Repeated turns are turns.  A conversation whose id
@@ -34,7 +34,7 @@ from .cut import cut
 
 # What opens and closes a turn, by role.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
-ESCAPED = r"([\\<\[])"
+ESCAPED = r"([\\<>\[])"
 
 
 def escape(text: Column) -> Column:
@@ -56,7 +56,7 @@ def parse(formatted: str) -> tuple[str, str]:
     for role, (head, tail) in MARKS.items():
         if formatted.startswith(head) and formatted.endswith(tail):
             return role, unescape(formatted[len(head) : len(formatted) - len(tail)])
-    role = re.match(r"<<((?:\\.|[^\\>])*(?:>(?!> )(?:\\.|[^\\>])*)*)>> ", formatted, re.S)[1]
+    role = re.match(r"<<((?:\\.|[^\\>])*)>> ", formatted, re.S)[1]
     return unescape(role), unescape(formatted[len(role) + 5 : len(formatted) - len(role) - 6])
 
 

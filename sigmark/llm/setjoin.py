@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from .cut import cut, small
 from .text import U
@@ -104,8 +105,6 @@ def verified(pairs: DataFrame) -> DataFrame:
                 common[i] = int((q[at] == p).sum()) if len(q) else 0
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], pa.array(common)], names=[*[f.name for f in keep], "common"])
 
-    from pyspark.sql.types import LongType, StructType
-
     return pairs.mapInArrow(each, StructType([*keep]).add("common", LongType()))
 
 
@@ -140,14 +139,14 @@ def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
     the asked ids: their sorted 64-bit members in one binary.
     """
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = keys.repartition(n, "key")
-    rows = rows.withColumn("_m", F.count("*").over(Window.partitionBy("key"))).where("_m > 1").drop("_m")
+    # one pass over the shuffled keys: pairs of the small regions, and the rows of the larger ones
+    first = cut(_split(keys.repartition(n, "key").sortWithinPartitions("key", "id"), few, t), f"{name}-regions")
     # rings of sizes: partners differ by one ring at most, so a set visits the ring above its own
     ring = F.floor(F.log("n") / (math.log(t[1] / t[0]) * (1 + 1e-9))).cast("int")
-    rows = _sized(rows.withColumn("ring", F.explode(F.array(ring, ring + 1))))
-    # one pass over the shuffled keys: pairs of the small regions, and the larger regions as they are
-    first = cut(_near(rows, few, t).select(F.struct("a", "an", "b", "bn").alias("pair"), F.lit(None).alias("row")).unionByName(_with_pivots(rows.where(F.col("m") > few)).select(F.lit(None).alias("pair"), F.struct("*").alias("row"))), f"{name}-regions")
-    near, many, links = first.where("pair is not null").select("pair.*"), first.where("row is not null").select("row.*"), None
+    large = first.where("key is not null").select("key", F.explode(F.array(ring, ring + 1)).alias("ring"), "id", "n", "pos", "sig")
+    live = cut(_sized(large), f"{name}-rings")
+    near = first.where("key is null").select("a", "an", "b", "bn").unionByName(_near(live, few, t))
+    many, links = _with_pivots(live.where(F.col("m") > few)), None
     for r in range(1000):
         if r == 0:
             far = many.select("key", "ring", *[F.col(f"pivot.{c}").alias(f"a{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")], *[F.col(c).alias(f"b{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")]).where("a < b")
@@ -169,6 +168,68 @@ def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
     raise RuntimeError("regions did not settle")
 
 
+def _split(rows: DataFrame, few: int, t: tuple[int, int]) -> DataFrame:
+    """Of rows in order of (key, id): pairs (a, an, b, bn) that may link of keys with at most few rows, the rows of other keys as they are."""
+    kind = rows.schema["id"].dataType
+    schema = StructType().add("a", kind).add("an", "integer").add("b", kind).add("bn", "integer").add("key", "long").add("id", kind).add("n", "integer").add("pos", "integer").add("sig", "long")
+
+    def made(b: pa.RecordBatch, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+        cols = [b.column("id").take(pa.array(one)), b.column("n").take(pa.array(one)), b.column("id").take(pa.array(two)), b.column("n").take(pa.array(two))]
+        rest = [pa.nulls(len(one), b.schema.field(c).type) for c in ("key", "id", "n", "pos", "sig")]
+        return pa.RecordBatch.from_arrays([*cols, *rest], names=schema.names)
+
+    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
+        none = [pa.nulls(b.num_rows, b.schema.field(c).type) for c in ("id", "n", "id", "n")]
+        return pa.RecordBatch.from_arrays([*none, *[b.column(c) for c in ("key", "id", "n", "pos", "sig")]], names=schema.names)
+
+    def work(b: pa.RecordBatch, open_key: int | None) -> Iterator[pa.RecordBatch]:
+        """Rows of whole keys; those of open_key have had others before."""
+        key, n, pos, sig = (np.asarray(b.column(c)) for c in ("key", "n", "pos", "sig"))
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(head, len(key)))
+        end = np.repeat(head + size, size)
+        large = np.repeat((size > few) | (key[head] == open_key if open_key is not None else False), size)
+        if large.any():
+            yield whole(b.take(pa.array(np.flatnonzero(large))))
+        at, n, ids = np.flatnonzero(~large), n.astype(np.int64), b.column("id")
+        known = np.asarray(ids) if pa.types.is_integer(ids.type) else None
+        sig, left = sig.view(U), n - pos
+        for d in range(1, few):
+            at = at[at + d < end[at]]
+            if not len(at):
+                break
+            x, y = at, at + d
+            both = n[x] + n[y]
+            ok = (np.minimum(left[x], left[y]) * (t[0] + t[1]) >= both * t[0]) & (np.minimum(n[x], n[y]) * t[1] >= np.maximum(n[x], n[y]) * t[0])
+            ok &= np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) * (t[0] + t[1]) <= both * (t[1] - t[0])
+            x, y = x[ok], y[ok]
+            if len(x):
+                other = known[x] != known[y] if known is not None else np.array([p != q for p, q in zip(ids.take(pa.array(x)).to_pylist(), ids.take(pa.array(y)).to_pylist(), strict=True)])
+                yield made(b, x[other], y[other])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        open_key: int | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            key = np.asarray(b.column("key"))
+            cut_at = int(np.searchsorted(key, key[-1]))
+            yield from work(b.slice(0, cut_at), open_key) if cut_at else ()
+            rest = b.slice(cut_at)
+            if cut_at:
+                open_key = None
+            if rest.num_rows > few or int(key[-1]) == open_key:
+                yield whole(rest)
+                rest, open_key = None, int(key[-1])
+        if rest is not None:
+            yield from work(rest, open_key)
+
+    return rows.mapInArrow(each, schema)
+
+
 def _sized(rows: DataFrame) -> DataFrame:
     """Regions of two sets or more, with their size m."""
     return rows.withColumn("m", F.count("*").over(Window.partitionBy("key", "ring"))).where("m > 1")
