@@ -38,7 +38,7 @@ from .text import mix
 BUCKETS = 1 << 18
 PART = 1 << 13
 #: Regions of at most so many sets are compared whole.
-FEW = 48
+FEW = 8
 #: Pivots of a larger region in a round after the first.
 PIVOTS = 16
 
