@@ -74,8 +74,8 @@ def near_copies(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFram
 
     own = setjoin.without(docs.withColumnRenamed("doc_id", "id"), alike.select("id"))
     keys = own.mapInArrow(regions, "key long, id long, n int, pos int, sig long")
-    sets_of = lambda ids: docs.withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi").mapInArrow(_members, "id long, members binary").dropDuplicates(["id"])
-    links = cut(setjoin.region_links(keys, sets_of, similar, "shingle"), "shingle-links")
+    sets_of = lambda ids: docs.withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi").mapInArrow(_members, "id long, members binary")
+    links = cut(setjoin.region_links(keys, sets_of, similar, "shingle", wide=True), "shingle-links")
     least = setjoin.components(links, "shingle") if links.limit(1).count() else links.select(F.col("a").alias("id"), F.col("b").alias("least"))
     known = sizes.select("id", "n").join(alike, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     return known.join(least.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id"))

@@ -131,7 +131,7 @@ def _side(rows: DataFrame, x: str) -> DataFrame:
     return rows.select("key", "ring", *[F.col(c).alias(f"{x}{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")])
 
 
-def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW) -> DataFrame:
+def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW, wide: bool = False) -> DataFrame:
     """Links (a, b), a before b, that connect whatever the sets' full join would.
 
     keys: (key, id, n, pos, sig), the regions of each set, its size, the place
@@ -155,10 +155,9 @@ def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
             pivots = _side(many, "a").withColumn("r", F.row_number().over(first)).where(F.col("r") <= PIVOTS).drop("r")
             far = _side(many, "b").join(pivots, ["key", "ring"]).where("a < b")
         pairs = cut(near.unionByName(far.where(could(t)).select("a", "an", "b", "bn")).distinct(), f"{name}-pairs{r}")
-        sets = sets_of(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids{r}"))
-        sets = cut(sets, f"{name}-sets{r}")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("b_set")), "b")
-        done = cut(verified(both), f"{name}-done{r}")
+        if wide:
+            pairs = cut(_both(pairs, _wide(sets_of(_ids(pairs, f"{name}-wide-ids{r}")))).mapInArrow(_agree(t), pairs.schema), f"{name}-likely{r}")
+        done = cut(verified(_both(pairs, sets_of(_ids(pairs, f"{name}-ids{r}")))).dropDuplicates(["a", "b"]), f"{name}-done{r}")
         found = done.where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select("a", "b")
         links = found if links is None else links.unionByName(found)
         live = cut(_sized(_unsettled(far, done, 1 - t[0] / t[1])), f"{name}-round{r}")
@@ -230,6 +229,41 @@ def _split(rows: DataFrame, few: int, t: tuple[int, int]) -> DataFrame:
     return rows.mapInArrow(each, schema)
 
 
+def _ids(pairs: DataFrame, name: str) -> DataFrame:
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
+
+
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("b_set")), "b")
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    """(id, members) with 1024 parity bits in place of the members."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [np.packbits((np.bincount((mix(np.frombuffer(x.as_buffer(), U)) >> U(54)).astype(np.int64), minlength=1024) & 1).astype(bool)).tobytes() for x in b.column("members")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(bits, pa.binary())], names=["id", "members"])
+
+    return sets.mapInArrow(each, sets.schema)
+
+
+def _agree(t: tuple[int, int]):
+    """Pairs whose parity bits differ in no more places than linked sets of their sizes may have members apart."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, 16) for c in ("a_set", "b_set"))
+            apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+            both = np.asarray(b.column("an")).astype(np.int64) + np.asarray(b.column("bn"))
+            keep = pa.array(np.flatnonzero(apart * (t[0] + t[1]) <= both * (t[1] - t[0])))
+            yield pa.RecordBatch.from_arrays([b.column(c).take(keep) for c in ("a", "an", "b", "bn")], names=["a", "an", "b", "bn"])
+
+    return each
+
+
 def _sized(rows: DataFrame) -> DataFrame:
     """Regions of two sets or more, with their size m."""
     return rows.withColumn("m", F.count("*").over(Window.partitionBy("key", "ring"))).where("m > 1")
