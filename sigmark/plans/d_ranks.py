@@ -227,10 +227,10 @@ _NC = "nc as (select event_type, event_id, value, avg(value) over (partition by
 
 def conformity(t: Tables):
     hat = F.avg("value").over(Window.partitionBy("user_id"))
-    return t.events.select("event_type", "event_id", "value", hat.alias("hat"), r6(F.abs(F.col("value") - hat)).alias("score"))
+    return t.events.select("event_type", "event_id", "value", hat.alias("hat"), F.round(F.abs(F.col("value") - hat), 9).alias("score"))
 
 
-_Q = "qs as (select event_type, n, score as q from (select *, row_number() over (partition by event_type order by score) as r, count(*) over (partition by event_type) as n from (select event_type, event_id, value, hat, round(score, 6) as score from nc)) where r = least(n, ceil((n + 1) * 0.9))), whole as (select score as wq from (select *, row_number() over (order by score) as r, count(*) over () as n from (select round(score, 6) as score from nc)) where r = least(n, ceil((n + 1) * 0.9)))"
+_Q = "qs as (select event_type, n, score as q from (select *, row_number() over (partition by event_type order by score) as r, count(*) over (partition by event_type) as n from (select event_type, event_id, value, hat, round(score, 9) as score from nc)) where r = least(n, ceil((n + 1) * 0.9))), whole as (select score as wq from (select *, row_number() over (order by score) as r, count(*) over () as n from (select round(score, 9) as score from nc)) where r = least(n, ceil((n + 1) * 0.9)))"
 
 
 @query("w12_conformal_q", f"with {_NC}, {_Q} select event_type, n, q from qs")
@@ -238,9 +238,9 @@ def w12(t: Tables):
     return ranks.conformal_q(conformity(t), "score", 0.1, "event_type")
 
 
-@query("w13_nonconformity", f"with {_NC} select event_id, round(score, 6) as score, round(greatest(0.0, value - hat), 6) as one_sided from nc")
+@query("w13_nonconformity", f"with {_NC} select event_id, round(score, 9) as score, round(greatest(0.0, value - hat), 9) as one_sided from nc")
 def w13(t: Tables):
-    return conformity(t).select("event_id", "score", r6(F.greatest(F.lit(0.0), F.col("value") - F.col("hat"))).alias("one_sided"))
+    return conformity(t).select("event_id", "score", F.round(F.greatest(F.lit(0.0), F.col("value") - F.col("hat")), 9).alias("one_sided"))
 
 
 @query("w14_mondrian_q", f"with {_NC}, {_Q} select event_type, n, case when n >= 20 then q else wq end as q, n < 20 as marginal from qs, whole")
@@ -251,14 +251,14 @@ def w14(t: Tables):
 _IV = f"with {_NC}, {_Q}, iv as (select nc.*, case when n >= 20 then q else wq end as qq from nc join qs using (event_type), whole)"
 
 
-@query("w15_apply_interval", f"{_IV} select event_id, round(hat - qq, 5) as lo, case when event_type = 'purchase' then null else round(hat + qq, 5) end as hi from iv")
+@query("w15_apply_interval", f"{_IV} select event_id, round(hat - qq, 9) as lo, case when event_type = 'purchase' then null else round(hat + qq, 9) end as hi from iv")
 def w15(t: Tables):
     c = conformity(t)
     iv = c.join(F.broadcast(ranks.mondrian_q(c, "score", 0.1, "event_type").select("event_type", "q")), "event_type")
-    return iv.select("event_id", F.round(F.col("hat") - F.col("q"), 5).alias("lo"), F.when(F.col("event_type") != "purchase", F.round(F.col("hat") + F.col("q"), 5)).alias("hi"))
+    return iv.select("event_id", F.round(F.col("hat") - F.col("q"), 9).alias("lo"), F.when(F.col("event_type") != "purchase", F.round(F.col("hat") + F.col("q"), 9)).alias("hi"))
 
 
-@query("w17_coverage", f"{_IV} select event_type, count(*) as n, round(avg((round(score, 6) <= qq)::integer), 6) as coverage, round(avg(2 * qq), 6) as width from iv group by rollup (event_type)")
+@query("w17_coverage", f"{_IV} select event_type, count(*) as n, round(avg((round(score, 9) <= qq)::integer), 6) as coverage, round(avg(2 * qq), 6) as width from iv group by rollup (event_type)")
 def w17(t: Tables):
     c = conformity(t)
     iv = c.join(F.broadcast(ranks.mondrian_q(c, "score", 0.1, "event_type").select("event_type", "q")), "event_type")

@@ -197,11 +197,11 @@ def j11(t: Tables):
     return a.join(b, better, "left_anti").select("part", "design")
 
 
-@query("o06_greedy_batch", f"{_CAND}, r as (select part, design, bits, row_number() over (partition by part order by bits desc, design) as step from cand) select part, step::integer as step, design, round(bits / pow(2, step - 1), 6) as gain from r where step <= 3")
+@query("o06_greedy_batch", f"{_CAND}, r as (select part, design, bits, row_number() over (partition by part order by bits desc, design) as step from cand) select part, step::integer as step, design, bits / pow(2, step - 1) as gain from r where step <= 3")
 def o06(t: Tables):
     """Three steps; each design that is taken halves what the next adds."""
     r = designs(t).withColumn("step", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("bits"), "design"))).where("step <= 3")
-    return r.select("part", "step", "design", r6(F.col("bits") / F.pow(F.lit(2.0), F.col("step") - 1)).alias("gain"))
+    return r.select("part", "step", "design", (F.col("bits") / F.pow(F.lit(2.0), F.col("step") - 1)).alias("gain"))
 
 
 @query("o07_rescale", f"with {_U}, w as (select protein, min(conc) as lo, max(conc) as hi, -regr_slope(theta, lconc) / ln(10) as gamma, avg(raw) as t0, avg(conc) as c0 from u group by 1) select protein, round(t0 * pow(60.0 / c0, -gamma), 2) as t_new, 60.0 > hi as extrapolated from w")
