@@ -4,16 +4,13 @@ Texts are words, lower-cased; ASCII punctuation parts words like white space.
 An item of n words is held where a window of n words is within n // 4 word edits
 of it.
 
-Windows that can't be: an edit spends at most two of the item's n - 1 word
-pairs, so a window needs n - 1 - 2 (n // 4) pairs that occur in items.  This
-count is exact, and cheap.  The windows left go through CGK embedding: a random
-walk shows a word and stays or moves on, as a random bit of (step, word) says,
-so that texts at a small edit distance fall into step again and end up at a
-small Hamming distance.  A window and an item are walked alike, and the steps
-sampled lie in the first half of the shortest items of a size class, so one walk
-serves a class.  Windows that agree with an item on all samples of one of the
-REPEATS walks are candidates.  ``recall`` gives the chance that one does at the
-largest distance.  Candidates are verified by exact edit distance.
+Candidates are exact.  An item is cut into n // 4 + 1 pieces of 1 to 4 words; so
+many edits can't touch them all, so a piece is in the document as it is, at most
+n // 4 words off its place.  The region about such a piece is dropped when it
+can't be near enough: an edit spends at most two of the item's n - 1 word pairs,
+so n - 1 - 2 (n // 4) pairs of the region must occur in items, and at most one of
+the item's words, so all but n // 4 of them must occur in the region.  Both counts
+are exact, and cheap.  Regions left are verified by exact edit distance.
 
 Null or empty documents hold nothing, and null or empty items are held nowhere.
 Items with equal words are found each.  A repeated row of a document gives
@@ -22,7 +19,6 @@ repeated rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +30,8 @@ from pyspark.sql import functions as F
 from . import text as T
 from .text import U
 
-#: Walks, samples of a walk, items of one pass over the documents.
-REPEATS, SAMPLES, BLOCK = 24, 3, 20_000
+#: Items of one pass over the documents; places of pieces, and words of items, that are looked up at a time.
+BLOCK, HITS = 20_000, 1 << 20
 
 
 def split(col: pa.Array) -> Iterator[T.Words]:
@@ -71,50 +67,68 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return score
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """Start and length of the pieces of an item of n words, one more than its edits."""
+    at = [n * k // (budget(n) + 1) for k in range(budget(n) + 2)]
+    return [(a, b - a) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def recall(n: int) -> float:
-    """The chance that a walk samples no edited word, over all walks, if a quarter of the words is edited and walks stay in step."""
-    same = (1 - budget(n) / max(n, 1)) ** SAMPLES
-    return 1 - (1 - same) ** REPEATS
-
-
-def sampled(words: np.ndarray, starts: np.ndarray, room: int, seed: int) -> np.ndarray:
-    """What the walk from each start shows at its sampled steps, all of them below room."""
-    rng = np.random.default_rng([seed, 17])
-    steps = set(rng.choice(room, min(SAMPLES, room), replace=False).tolist())
-    at, out = starts.copy(), np.zeros(len(starts), U)
-    for step in range(max(steps) + 1):
-        w = words[np.minimum(at, len(words) - 1)]
-        if step in steps:
-            out = out * U(0xD6E8FEB86659FD93) + w + U(1)
-        at = at + (T.mix(w ^ U(seed * 0x9E3779B9 + step + 1)) & U(1)).astype(np.int64)
-    return out
+    """The least share of pieces of an item that the most edits leave whole, as one that is enough: 1 where pieces outnumber edits."""
+    return float(len(pieces(n)) > budget(n))
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each range lo..hi-1 as rows: the range's number, and the value."""
+    size = hi - lo
+    of = np.repeat(np.arange(len(lo)), size)
+    return of, np.arange(len(of)) - (np.cumsum(size) - size)[of] + lo[of]
+
+
+def slices(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of entries whose sizes sum to most, or single ones above."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield slice(a, b)
+        a = b
 
 
 class Items:
-    """Benchmark items as words, word pairs, and the signatures of their walks."""
+    """Benchmark items as words, word pairs and pieces; items of equal words are one."""
 
     def __init__(self, rows: list[tuple[int, str | None]]) -> None:
-        self.items: list[tuple[int, np.ndarray]] = []
+        self.ids: list[list[int]] = []
+        self.items: list[np.ndarray] = []
+        known: dict[bytes, int] = {}
         for w in split(pa.array([t for _, t in rows], pa.string())):
             h = w.hashes()
-            self.items += [(rows[w.first + k][0], h[a:b]) for k, (a, b) in enumerate(zip(w.of[:-1], w.of[1:], strict=True)) if b > a]
-        every = [h for _, h in self.items]
-        self.vocab = np.unique(np.concatenate(every)) if every else np.zeros(0, U)
-        self.sizes = np.array([len(h) for h in every], np.int64)
-        pairs = [self.number(h[:-1]) * len(self.vocab) + self.number(h[1:]) for h in every]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        self.classes = []
-        for c in sorted({int(n).bit_length() for n in self.sizes}):
-            which = np.flatnonzero([int(n).bit_length() == c for n in self.sizes])
-            flat = np.concatenate([every[i] for i in which])
-            starts = np.cumsum(self.sizes[which]) - self.sizes[which]
-            room = max(1, (1 << (c - 1)) // 2)
-            walks = []
-            for r in range(REPEATS):
-                s = sampled(flat, starts, room, r)
-                by = np.argsort(s, kind="stable")
-                walks.append((s[by], which[by]))
-            self.classes.append((sorted({int(self.sizes[i]) for i in which}), room, walks))
+            for k, (a, b) in enumerate(zip(w.of[:-1], w.of[1:], strict=True)):
+                if b > a:
+                    if (i := known.setdefault(h[a:b].tobytes(), len(self.items))) == len(self.items):
+                        self.items.append(h[a:b].copy())
+                        self.ids.append([])
+                    self.ids[i].append(rows[w.first + k][0])
+        self.sizes = np.array([len(h) for h in self.items], np.int64)
+        self.edits = np.array([budget(n) for n in self.sizes], np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.sizes)))
+        every = np.concatenate([np.zeros(0, U), *self.items])
+        self.vocab = np.unique(every)
+        self.words = self.number(every)
+        inner = np.ones(max(0, len(every) - 1), bool)
+        inner[self.at[1:-1] - 1] = False
+        self.pairs = np.unique((self.words[:-1] * len(self.vocab) + self.words[1:])[inner])
+        rows_of: dict[int, list[tuple[int, int]]] = {}
+        for i, n in enumerate(self.sizes.tolist()):
+            for a, size in pieces(n):
+                rows_of.setdefault(size, []).append((i, a))
+        #: By length: hashes of the pieces, sorted, their items, and their starts in them.
+        self.pieces = {}
+        for size, at in rows_of.items():
+            which, start = np.array(at, np.int64).T
+            keys = T.windows(every, size)[self.at[which] + start]
+            by = np.argsort(keys, kind="stable")
+            self.pieces[size] = (keys[by], which[by], start[by])
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """Place of each word in the vocabulary, -1 for others."""
@@ -123,51 +137,65 @@ class Items:
         at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
         return np.where(self.vocab[at] == h, at, -1)
 
-    def search(self, h: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, item id, start, item size, edits) at the nearest window, for words h of documents with bounds of."""
+    def regions(self, h: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Documents, items, and bounds in h of all regions that may hold the item."""
         n = len(h)
-        if not n or not self.items:
-            return
         word = self.number(h)
         pair = np.zeros(n, bool)
-        both = np.flatnonzero((word[:-1] >= 0) & (word[1:] >= 0)) if n > 1 else np.zeros(0, np.int64)
+        both = np.flatnonzero((word[:-1] >= 0) & (word[1:] >= 0))
         if len(both) and len(self.pairs):
             code = word[both] * len(self.vocab) + word[both + 1]
             at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
             pair[both] = self.pairs[at] == code
         sums = np.concatenate(([0], np.cumsum(pair)))
         doc_of = np.repeat(np.arange(len(of) - 1), np.diff(of))
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for sizes, room, walks in self.classes:
-            maybe: dict[int, np.ndarray] = {}
-            for size in sizes:
-                if size <= n:
-                    need = size - 1 - 2 * budget(size)
-                    ok = sums[size - 1 : n] - sums[: n - size + 1] >= need if size > 1 else word >= 0
-                    ok &= doc_of[size - 1 :] == doc_of[: n - size + 1]
-                    maybe[size] = np.flatnonzero(ok)
-            starts = np.unique(np.concatenate([*maybe.values(), np.zeros(0, np.int64)]))
-            if not len(starts):
+        seen = np.flatnonzero(word >= 0)
+        places = np.sort(word[seen] * n + seen)
+        for size, (keys, which, start) in self.pieces.items():
+            if size > n:
                 continue
-            votes: dict[tuple[int, int], int] = defaultdict(int)
-            for r, (keys, which) in enumerate(walks):
-                s = sampled(h, starts, room, r)
-                lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
-                for j in np.flatnonzero(hi > lo):
-                    for i in which[lo[j] : hi[j]]:
-                        votes[int(starts[j]), int(i)] += 1
-            # most agreeing walks first, so that a near window soon bounds the others
-            for p, i in sorted(votes, key=lambda x: (-votes[x], x)):
-                item_id, item = self.items[i]
-                size = len(item)
-                if size not in maybe or not (k := np.searchsorted(maybe[size], p)) < len(maybe[size]) or maybe[size][k] != p:
-                    continue
-                key = (int(doc_of[p]), i)
+            ok = (sums[size - 1 : n] - sums[: n - size + 1] == size - 1) & (word[: n - size + 1] >= 0)
+            p = np.flatnonzero(ok & (doc_of[size - 1 :] == doc_of[: n - size + 1]))
+            s = T.windows(h, size)[p]
+            lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
+            for part in slices(hi - lo, HITS):
+                row, k = spread(lo[part], hi[part])
+                i, first = which[k], p[part][row] - start[k]
+                doc = doc_of[p[part][row]]
+                a, b = np.maximum(of[doc], first - self.edits[i]), np.minimum(of[doc + 1], first + self.sizes[i] + self.edits[i])
+                ok = (b - a >= self.sizes[i] - self.edits[i]) & (sums[b - 1] - sums[a] >= self.sizes[i] - 1 - 2 * self.edits[i])
+                doc, i, a, b = doc[ok], i[ok], a[ok], b[ok]
+                for some in slices(self.sizes[i], HITS):
+                    ok = self.covered(i[some], a[some], b[some], places, n)
+                    yield tuple(x[some][ok] for x in (doc, i, a, b))
+
+    def covered(self, i: np.ndarray, a: np.ndarray, b: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+        """Whether all but the edits of an item's words occur in the region; places: word * n + place, sorted."""
+        row, k = spread(self.at[i], self.at[i + 1])
+        key = self.words[k] * n
+        at = np.minimum(np.searchsorted(places, key + a[row]), len(places) - 1)
+        there = (places[at] >= key + a[row]) & (places[at] < key + b[row])
+        return np.bincount(row[there], minlength=len(i)) >= self.sizes[i] - self.edits[i]
+
+    def search(self, h: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, item id, start, item size, edits) at the nearest window, for words h of documents with bounds of."""
+        if not len(h) or not self.items:
+            return
+        found = [np.stack(x) for x in self.regions(h, of)]
+        if not found:
+            return
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        last, end = (-1, -1), 0
+        for doc, i, a, b in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
+            size, key = len(self.items[i]), (doc, i)
+            for p in range(max(a, end - size + 1) if key == last else a, b - size + 1):
                 most = best[key][0] - 1 if key in best else budget(size)
-                if most >= 0 and (d := distance(item, h[p : p + size], most)) <= most:
+                if most >= 0 and (d := distance(self.items[i], h[p : p + size], most)) <= most:
                     best[key] = (d, p)
+            last, end = key, max(b, end) if key == last else b
         for (doc, i), (d, p) in best.items():
-            yield doc, self.items[i][0], p - int(of[doc]), len(self.items[i][1]), d
+            for item_id in self.ids[i]:
+                yield doc, item_id, p - int(of[doc]), len(self.items[i]), d
 
 
 def contaminated(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -155,3 +155,25 @@ def test_pair_filter_is_needed_only_above_one_word():
     found = decontam.Items([(1, "solo"), (2, None)])
     w = next(iter(decontam.split(pa.array(["we saw Solo."]))))
     assert [x[1] for x in found.search(w.hashes(), w.of)] == [1]
+
+
+def held(pairs):
+    """Edits by (document, item) that the search finds, documents and items as lists of numbers."""
+    docs, items = zip(*pairs, strict=True)
+    text = lambda x: " ".join(f"w{k}" for k in x)
+    found = decontam.Items([(i, text(x)) for i, x in enumerate(items)])
+    return {(w.first + r[0], r[1]): r[4] for w in decontam.split(pa.array([text(x) for x in docs])) for r in found.search(w.hashes(), w.of)}
+
+
+@pytest.mark.parametrize("n", [4, 7, 8, 15, 16, 20, 25, 31, 40, 63, 64, 130])
+def test_edited_words_are_found_wherever_they_are(n):
+    rng = random.Random(n)
+    most, pairs = n // 4, []
+    for place in ("head", "middle", "tail", "spread") * 5:
+        item = [rng.randrange(10**6) for _ in range(n)]
+        at = {"head": range(most), "middle": range((n - most) // 2, (n - most) // 2 + most), "tail": range(n - most, n), "spread": rng.sample(range(n), most)}[place]
+        doc = [x + 10**6 if k in at else x for k, x in enumerate(item)]
+        pairs.append(([rng.randrange(10**6) for _ in range(9)] + doc + [rng.randrange(10**6) for _ in range(9)], item))
+    got = held(pairs)
+    assert set(got) == {(i, i) for i in range(len(pairs))}
+    assert all(d <= most for d in got.values())
