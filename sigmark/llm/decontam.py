@@ -1,8 +1,8 @@
 """Documents that hold a benchmark item, exactly or with edits.
 
 Texts are words, lower-cased; ASCII punctuation parts words like white space.
-An item of n words is held where a window of n words is within n // 4 word edits
-of it.
+An item of n words is held where some run of words, of whatever length, is within
+n // 4 word edits of it.
 
 Candidates are exact.  An item is cut into n // 4 + 1 pieces of 1 to 4 words; so
 many edits can't touch them all, so a piece is in the document as it is, at most
@@ -43,30 +43,49 @@ def budget(n: int) -> int:
     return n // 4
 
 
-def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two word sequences, or most + 1 if it is greater; columns of the table as bits of whole numbers."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    if not len(a):
-        return len(b)
-    full, last, left = (1 << len(a)) - 1, 1 << (len(a) - 1), len(b)
+def scores(a: np.ndarray, b: np.ndarray, free: bool) -> Iterator[int]:
+    """Edit distance of a to b[:1], b[:2] and so on, or where free to the nearest run that ends there; columns of the table as bits of whole numbers."""
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     places: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         places[x] = places.get(x, 0) | 1 << i
     up, down, score = full, 0, len(a)
     for y in b.tolist():
-        left -= 1
         here = places.get(y, 0)
         flat = (((here & up) + up) ^ up) | here
         rise, fall = down | ~(flat | up) & full, up & flat
         score += bool(rise & last) - bool(fall & last)
+        yield score
+        rise = (rise << 1 | (not free)) & full
+        up, down = (fall << 1) & full | ~(here | down | rise) & full, rise & (here | down)
+
+
+def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance of two word sequences, or most + 1 if it is greater."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    if not len(a):
+        return len(b)
+    left, score = len(b), len(a)
+    for score in scores(a, b, False):
+        left -= 1
         if score - left > most:
             return most + 1
-        rise = (rise << 1 | 1) & full
-        up, down = (fall << 1) & full | ~(here | down | rise) & full, rise & (here | down)
     return score
 
 
+def nearest(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
+    """Edits and start of the run of text nearest to the item, if it is within most edits: the first to end, and of those the longest."""
+    best, end = most + 1, 0
+    for k, score in enumerate(scores(item, text, True), 1):
+        if score < best:
+            best, end = score, k
+    if best > most:
+        return None
+    back = scores(item[::-1], text[max(0, end - len(item) - best) : end][::-1], False)
+    return best, end - max(k for k, score in enumerate(back, 1) if score == best)
+
+
 def pieces(n: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of an item of n words, one more than its edits."""
     at = [n * k // (budget(n) + 1) for k in range(budget(n) + 2)]
@@ -178,21 +197,24 @@ class Items:
         return np.bincount(row[there], minlength=len(i)) >= self.sizes[i] - self.edits[i]
 
     def search(self, h: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, item id, start, item size, edits) at the nearest window, for words h of documents with bounds of."""
+        """(document, item id, start, item size, edits) of the nearest run, for words h of documents with bounds of."""
         if not len(h) or not self.items:
             return
         found = [np.stack(x) for x in self.regions(h, of)]
         if not found:
             return
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        last, end = (-1, -1), 0
+        merged: list[list[int]] = []
         for doc, i, a, b in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
-            size, key = len(self.items[i]), (doc, i)
-            for p in range(max(a, end - size + 1) if key == last else a, b - size + 1):
-                most = best[key][0] - 1 if key in best else budget(size)
-                if most >= 0 and (d := distance(self.items[i], h[p : p + size], most)) <= most:
-                    best[key] = (d, p)
-            last, end = key, max(b, end) if key == last else b
+            if merged and merged[-1][:2] == [doc, i] and a <= merged[-1][3]:
+                merged[-1][3] = max(b, merged[-1][3])
+            else:
+                merged.append([doc, i, a, b])
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for doc, i, a, b in merged:
+            item, key = self.items[i], (doc, i)
+            most = best[key][0] - 1 if key in best else budget(len(item))
+            if most >= 0 and (run := nearest(item, h[a:b], most)):
+                best[key] = (run[0], a + run[1])
         for (doc, i), (d, p) in best.items():
             for item_id in self.ids[i]:
                 yield doc, item_id, p - int(of[doc]), len(self.items[i]), d

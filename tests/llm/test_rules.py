@@ -177,3 +177,27 @@ def test_edited_words_are_found_wherever_they_are(n):
     got = held(pairs)
     assert set(got) == {(i, i) for i in range(len(pairs))}
     assert all(d <= most for d in got.values())
+
+
+@pytest.mark.parametrize(("n", "k"), [(4, 1), (15, 2), (15, 3), (20, 3), (31, 4), (59, 8), (130, 32)])
+@pytest.mark.parametrize("more", [False, True])
+def test_dropped_and_added_words_cost_one_edit_each(n, k, more):
+    rng = random.Random(n)
+    item = [rng.randrange(10**6) for _ in range(n)]
+    at = set(rng.sample(range(1, n - 1), k) if n > k + 2 else range(1, 1 + k))
+    doc = [y for i, x in enumerate(item) for y in ([x + 10**6, x] if more and i in at else [x] if more or i not in at else [])]
+    around = [rng.randrange(10**6) for _ in range(9)]
+    assert held([(doc, item)]) == {(0, 0): k}
+    assert held([(around + doc + around, item)]) == {(0, 0): k}
+
+
+def test_search_equals_all_runs():
+    rng = random.Random(8)
+    for _ in range(400):
+        n, vocab = rng.randrange(1, 17), rng.choice([3, 6, 30])
+        item = [rng.randrange(vocab) for _ in range(n)]
+        doc = [rng.randrange(vocab) for _ in range(rng.randrange(1, 30))]
+        if rng.random() < 0.7:
+            doc[(p := rng.randrange(len(doc))) : p] = [x for x in item if rng.random() < 0.9]
+        near = min(lev(item, doc[p:q]) for p in range(len(doc)) for q in range(p + 1, len(doc) + 1))
+        assert held([(doc, item)]) == ({(0, 0): near} if near <= n // 4 else {})
