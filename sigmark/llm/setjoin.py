@@ -21,6 +21,7 @@ That keeps components, and for each set an earlier partner if it has any.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -41,6 +42,8 @@ PART = 1 << 13
 FEW = 8
 #: Pivots of a larger region in a round after the first.
 PIVOTS = 16
+#: Sets of a block of a region that pivots don't settle.
+BLOCK = 1024
 
 
 def count_rows(docs: DataFrame, members: Callable[[pa.RecordBatch], Iterator[np.ndarray]], columns: list[str], buckets: int = BUCKETS) -> np.ndarray:
@@ -147,7 +150,8 @@ def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
     live = cut(_sized(large), f"{name}-rings")
     near = first.where("key is null").select("a", "an", "b", "bn").unionByName(_near(live, few, t))
     many, links = _with_pivots(live.where(F.col("m") > few)), None
-    for r in range(1000):
+    for r in itertools.count():
+        sizes = live.where(F.col("m") > few).groupBy("key", "ring").agg(F.max("m").alias("was"))
         if r == 0:
             far = many.select("key", "ring", *[F.col(f"pivot.{c}").alias(f"a{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")], *[F.col(c).alias(f"b{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")]).where("a < b")
         else:
@@ -163,8 +167,51 @@ def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
         live = cut(_sized(_unsettled(far, done, 1 - t[0] / t[1])), f"{name}-round{r}")
         if not live.limit(1).count():
             return links.distinct()
-        near, many = _near(live, few, t), _with_pivots(live.where(F.col("m") > few))
-    raise RuntimeError("regions did not settle")
+        near = _near(live, few, t)
+        if r:  # the first round's one pivot tells little
+            live = cut(live.join(sizes, ["key", "ring"]), f"{name}-shrunk{r}")
+            stuck = (F.col("m") > few) & (4 * F.col("m") > 3 * F.col("was"))
+            near = near.unionByName(_blocks(live.where(stuck).drop("was"), sets_of, t, f"{name}{r}", wide))
+            live = live.where(~stuck).drop("was")
+        many = _with_pivots(live.where(F.col("m") > few))
+
+
+def _blocks(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, wide: bool) -> DataFrame:
+    """Pairs that may link of whole regions: sets are dealt to blocks by hash, and each two blocks of a region are compared by one task."""
+    if wide:
+        rows = rows.join(_wide(sets_of(cut(rows.select("id").distinct(), f"{name}-block-ids"))).withColumnRenamed("members", "bits"), "id")
+    count = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    rows = rows.select("key", "ring", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("one"), "id", "n", "pos", "sig", *["bits"] * wide)
+    kind = rows.schema["id"].dataType
+    schema = StructType().add("a", kind).add("an", "integer").add("b", kind).add("bn", "integer")
+
+    def compare(group: pa.Table) -> pa.Table:
+        one = np.asarray(group.column("one").combine_chunks().to_numpy(zero_copy_only=False))
+        n, pos, sig = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "sig"))
+        sig, left = sig.view(U), n - pos
+        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), U).reshape(len(n), 16) if wide and len(n) else None
+        same = group.column("p")[0] == group.column("q")[0]
+        mine, others = np.flatnonzero(one), np.flatnonzero(one if same else ~one)
+        xs, ys = [], []
+        for k, x in enumerate(mine):
+            y = others[k + 1 :] if same else others
+            both = n[x] + n[y]
+            ok = (np.minimum(left[x], left[y]) * (t[0] + t[1]) >= both * t[0]) & (np.minimum(n[x], n[y]) * t[1] >= np.maximum(n[x], n[y]) * t[0])
+            ok &= np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) * (t[0] + t[1]) <= both * (t[1] - t[0])
+            y, both = y[ok], both[ok]
+            if wide:
+                ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1).astype(np.int64) * (t[0] + t[1]) <= both * (t[1] - t[0])
+                y = y[ok]
+            xs.append(np.full(len(y), x))
+            ys.append(y)
+        x, y = (pa.array(np.concatenate([np.zeros(0, np.int64), *v])) for v in (xs, ys))
+        ids, sizes = group.column("id"), group.column("n")
+        return pa.table([ids.take(x), sizes.take(x), ids.take(y), sizes.take(y)], names=schema.names)
+
+    pairs = rows.groupBy("key", "ring", "p", "q").applyInArrow(compare, schema).where("a <> b")
+    turn = F.col("a") > F.col("b")
+    return pairs.select(*[F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("an", "bn"), ("b", "a"), ("bn", "an"))])
 
 
 def _split(rows: DataFrame, few: int, t: tuple[int, int]) -> DataFrame:

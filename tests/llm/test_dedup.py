@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from sigmark.llm import line_dedup, ngram_join, setjoin, substring_dedup
 from sigmark.llm import text as T
@@ -144,3 +145,22 @@ def test_word_table_matches_regex():
     for w in T.chunks(pa.array(texts, pa.string())):
         got = [[bytes(w.data[w.start[k] : w.end[k]]).decode() for k in range(w.of[i], w.of[i + 1])] for i in range(len(texts))]
     assert got == [WORD.findall(t or "") for t in texts]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_regions_of_unlinked_sets_take_few_rounds(spark, monkeypatch, wide):
+    """A member that many sets share which are far from each other: no pivot settles them."""
+    rng = np.random.default_rng(3)
+    sets = {i: np.unique(np.append(rng.integers(0, 1 << 63, 19), 7)).astype(np.uint64) for i in range(300)}
+    for i in range(0, 60, 3):
+        sets[300 + i] = np.unique(np.append(sets[i][:-1], np.uint64(rng.integers(0, 1 << 63))))
+    rounds, plain = [], setjoin.cut
+    monkeypatch.setattr(setjoin, "cut", lambda df, name: rounds.append(name) or plain(df, name))
+    monkeypatch.setattr(setjoin, "BLOCK", 100, raising=False)
+    keys = spark.createDataFrame([(7, i, len(s), 0, int(setjoin.signature(s, np.array([0, len(s)]))[0])) for i, s in sets.items()], "key long, id long, n int, pos int, sig long")
+    every = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "id long, members binary")
+    got = {tuple(r) for r in setjoin.region_links(keys, lambda ids: every.join(ids, "id", "left_semi"), (75, 100), "t", wide=wide).collect()}
+    common = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in sets for b in sets if a < b}
+    assert got == {(a, b) for (a, b), c in common.items() if 175 * c >= 75 * (len(sets[a]) + len(sets[b]))}
+    assert len(got) == 20
+    assert sum("-pairs" in x for x in rounds) <= 4
