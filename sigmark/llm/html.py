@@ -36,6 +36,8 @@ MEASURES = 6
 
 # Tags by what they do to text.
 RAW = {"script", "style", "template", "noscript", "iframe", "svg", "object", "textarea"}
+# of these, what hides nothing where it is not closed
+OPEN = {"svg", "object", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -94,9 +96,12 @@ def blocks(html: str | None) -> list[Block]:
                     del stack[i:]
                     break
             continue
+        if tag == "svg" and m[3].rstrip().endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if end or tag not in OPEN:
+                at = end.end() if end else len(html)
             continue
         if tag in INLINE:
             if tag == "br":

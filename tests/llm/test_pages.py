@@ -42,6 +42,14 @@ def test_blocks():
     assert html.blocks(None) == []
 
 
+def test_raw_tags_without_an_end_hide_nothing():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts("<p>one<svg width='1'/>two<p>three<svg><text>no</text></svg> four") == ["onetwo", "three four"]
+    for tag in ("svg", "object", "noscript"):
+        assert texts(f"<p>one</p><{tag}><p>two</p>") == ["one", "two"]
+    assert texts("<p>one</p><script>var x") == ["one"]
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     m = html.Labeller()
