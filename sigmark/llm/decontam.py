@@ -97,22 +97,6 @@ def recall(n: int) -> float:
     return float(len(pieces(n)) > budget(n))
 
 
-def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each range lo..hi-1 as rows: the range's number, and the value."""
-    size = hi - lo
-    of = np.repeat(np.arange(len(lo)), size)
-    return of, np.arange(len(of)) - (np.cumsum(size) - size)[of] + lo[of]
-
-
-def slices(size: np.ndarray, most: int) -> Iterator[slice]:
-    """Runs of entries whose sizes sum to most, or single ones above."""
-    ends, a = np.cumsum(size), 0
-    while a < len(size):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield slice(a, b)
-        a = b
-
-
 class Items:
     """Benchmark items as words, word pairs and pieces; items of equal words are one."""
 
@@ -177,20 +161,20 @@ class Items:
             p = np.flatnonzero(ok & (doc_of[size - 1 :] == doc_of[: n - size + 1]))
             s = T.windows(h, size)[p]
             lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
-            for part in slices(hi - lo, HITS):
-                row, k = spread(lo[part], hi[part])
+            for part in T.slices(hi - lo, HITS):
+                row, k = T.spread(lo[part], hi[part])
                 i, first = which[k], p[part][row] - start[k]
                 doc = doc_of[p[part][row]]
                 a, b = np.maximum(of[doc], first - self.edits[i]), np.minimum(of[doc + 1], first + self.sizes[i] + self.edits[i])
                 ok = (b - a >= self.sizes[i] - self.edits[i]) & (sums[b - 1] - sums[a] >= self.sizes[i] - 1 - 2 * self.edits[i])
                 doc, i, a, b = doc[ok], i[ok], a[ok], b[ok]
-                for some in slices(self.sizes[i], HITS):
+                for some in T.slices(self.sizes[i], HITS):
                     ok = self.covered(i[some], a[some], b[some], places, n)
                     yield tuple(x[some][ok] for x in (doc, i, a, b))
 
     def covered(self, i: np.ndarray, a: np.ndarray, b: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
         """Whether all but the edits of an item's words occur in the region; places: word * n + place, sorted."""
-        row, k = spread(self.at[i], self.at[i + 1])
+        row, k = T.spread(self.at[i], self.at[i + 1])
         key = self.words[k] * n
         at = np.minimum(np.searchsorted(places, key + a[row]), len(places) - 1)
         there = (places[at] >= key + a[row]) & (places[at] < key + b[row])

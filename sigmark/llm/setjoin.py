@@ -6,14 +6,19 @@ gives right results, so the order may come from a bounded table of counts.
 
 * A set that loses more than n - ceil(t n) members can't link, so a set meets
   all its partners in the regions of its first n - ceil(t n) + 1 members.
-* In a region, the set with the least id is the pivot and is compared with the
-  others: sizes, the place of the shared member and 64 parity bits bound what
-  can be shared, and whatever passes is verified on whole sets.
-* A set linked to a pivot is settled, unless some set not linked to this pivot
-  is so near to it that the triangle inequality lets the two link: then both go
-  on to the next round, in which the region has other pivots.
-* A region is split by rings of set size, the distance to the empty set; a set
-  visits the ring above its own.  A ring of few sets is compared whole at once.
+* Entries (member, set) are packed by the tasks that make them, one row for
+  each bucket of members, and shuffled once.  A bucket's task sorts its entries
+  by member and size and compares small regions whole: sizes, the place of the
+  shared member and 64 parity bits bound what can be shared, and whatever passes
+  is verified on whole sets.  Entries of members that the counts know as hot are
+  dealt to buckets by set, so no bucket holds a hot region.
+* Larger regions go on as rows.  A region is split by rings of set size, the
+  distance to the empty set; a set visits the ring above its own.
+* In a large region's ring the sets with the least ids are pivots and are
+  compared with the others.  A set linked to a pivot is settled, unless some set
+  not linked to this pivot is so near to it that the triangle inequality lets
+  the two link: then both go on to the next round, which has other pivots.
+  Regions that pivots don't split are compared in pairs of blocks.
 
 So links that are not made are between sets which have links to the same pivot.
 That keeps components, and for each set an earlier partner if it has any.
@@ -31,9 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .cut import cut, small
-from .text import U
-from .text import mix
+from .cut import cut, release, small
+from .text import U, mix, slices, spread
 
 #: Buckets of the table of counts: 2 MB whatever the input.
 BUCKETS = 1 << 18
@@ -44,27 +48,39 @@ FEW = 8
 PIVOTS = 16
 #: Sets of a block of a region that pivots don't settle.
 BLOCK = 1024
+#: Entries of a bucket on average, count above which a member is hot, pairs that are looked at together.
+ENTRIES, HOT, PAIRS = 1 << 18, 1 << 16, 1 << 20
+PACKED = "bucket int, ids binary, n binary, pos binary, sig binary, key binary"
+COUNTS = "part int, counts binary"
 
 
-def count_rows(docs: DataFrame, members: Callable[[pa.RecordBatch], Iterator[np.ndarray]], columns: list[str], buckets: int = BUCKETS) -> np.ndarray:
-    """How often members fall into each bucket, over all of docs; added up by Spark, 8 bytes a bucket reach the driver."""
+class Counts:
+    """How often members fall into each bucket of a bounded table, as far as one task has seen."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
-        for b in batches:
-            for m in members(b):
-                total += np.bincount((m & U(buckets - 1)).astype(np.int64), minlength=buckets)
-        yield pa.RecordBatch.from_pydict({"part": np.arange(buckets // PART, dtype=np.int32), "counts": [x.tobytes() for x in total.reshape(-1, PART)]}, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+    def __init__(self, buckets: int = BUCKETS) -> None:
+        self.total = np.zeros(buckets, np.int64)
+
+    def add(self, members: np.ndarray) -> None:
+        self.total += np.bincount((members & U(len(self.total) - 1)).astype(np.int64), minlength=len(self.total))
+
+    def rows(self) -> dict[str, list]:
+        parts = self.total.reshape(-1, PART)
+        seen = np.flatnonzero(parts.any(1))
+        return {"part": seen.astype(np.int32), "counts": [parts[i].astype(np.uint32 if parts[i].max() < 1 << 32 else np.uint64).tobytes() for i in seen]}
+
+
+def summed(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """The tasks' counts (part, counts), added up by Spark; 8 bytes a bucket reach the driver."""
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
         total = np.zeros(PART, np.int64)
         for x in group.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.int64)
+            raw = x.as_buffer()
+            total += np.frombuffer(raw, np.uint32 if raw.size == 4 * PART else np.uint64).astype(np.int64)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.select(*columns).mapInArrow(each, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     out = np.zeros(buckets, np.int64)
-    for r in rows:
+    for r in rows.groupBy("part").applyInArrow(add, COUNTS).collect():
         out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, np.int64)
     return out
 
@@ -134,46 +150,123 @@ def _side(rows: DataFrame, x: str) -> DataFrame:
     return rows.select("key", "ring", *[F.col(c).alias(f"{x}{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")])
 
 
-def region_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW, wide: bool = False) -> DataFrame:
+def entries(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, of: np.ndarray, key: np.ndarray, pos: np.ndarray, hot: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries of a chunk's sets, packed for each bucket: ids, n and sig are those of the sets, of the set of each entry."""
+    to = (mix(key ^ U(0x27D4EB2F165667C5)) % U(buckets)).astype(np.int64)
+    if hot.any():  # dealt by set; the sign of pos says so
+        to[hot] = (mix(np.flatnonzero(hot).astype(U) + sig.view(U)[of[hot]]) % U(buckets)).astype(np.int64)
+        pos = np.where(hot, -1 - pos, pos)
+    by = np.argsort(to, kind="stable")
+    at = np.searchsorted(to[by], np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(at))
+    cols = [x[by] for x in (ids[of], n[of].astype(np.int32), pos.astype(np.int32), sig[of], key)]
+    made = [pa.array([x[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()) for x in cols]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *made], names=["bucket", "ids", "n", "pos", "sig", "key"])
+
+
+def _ids_arrow(ids: np.ndarray) -> pa.Array:
+    if ids.dtype.names is None:
+        return pa.array(ids)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(ids[f])) for f in ids.dtype.names], names=list(ids.dtype.names))
+
+
+def _order(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pairs of different ids, the lesser id first."""
+    if ids.dtype.names is None:
+        less, other = ids[x] < ids[y], ids[x] != ids[y]
+    else:
+        p, q = ids.dtype.names
+        less = (ids[p][x] < ids[p][y]) | (ids[p][x] == ids[p][y]) & (ids[q][x] < ids[q][y])
+        other = ids[x] != ids[y]
+    return np.where(less, x, y)[other], np.where(less, y, x)[other]
+
+
+def first_split(packed: DataFrame, id_type: np.dtype, kind: str, t: tuple[int, int], few: int) -> DataFrame:
+    """Of packed entries: pairs (a, an, b, bn) that may link of regions of at most few sets, and the entries (key, id, n, pos, sig) of others."""
+    schema = f"a {kind}, an int, b {kind}, bn int, key long, id {kind}, n int, pos int, sig long"
+    names = ["a", "an", "b", "bn", "key", "id", "n", "pos", "sig"]
+
+    def read(group: pa.Table, c: str, dtype: object) -> np.ndarray:
+        return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x.as_buffer(), dtype) for x in group.column(c))])
+
+    def compare(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        ids, n, pos, sig, key = (read(group, *c) for c in (("ids", id_type), ("n", np.int32), ("pos", np.int32), ("sig", U), ("key", U)))
+        del group
+        by = np.argsort(key, kind="stable")
+        by = by[np.lexsort((n[by], key[by]))] if len(by) else by
+        ids, n, pos, sig, key = (x[by] for x in (ids, n, pos, sig, key))
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(key)))
+        big = np.repeat(size > few, size) | (pos < 0)
+        out = np.flatnonzero(big)
+        for a in range(0, len(out), 1 << 16):
+            x = out[a : a + (1 << 16)]
+            none = [pa.nulls(len(x), k) for k in (_ids_arrow(ids[:0]).type, pa.int32()) * 2]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(key[x].view(np.int64)), _ids_arrow(ids[x]), pa.array(n[x]), pa.array(np.where(pos[x] < 0, -1 - pos[x], pos[x])), pa.array(sig[x].view(np.int64))], names=names)
+        # partners of an entry follow it in its region, up to the size that may still link
+        end = np.repeat(head + size, size)
+        n64, left = n.astype(np.int64), (n - pos).astype(np.int64)
+        code = np.repeat(np.arange(len(head), dtype=np.int64), size) * (1 << 32)
+        far = np.minimum(end, np.searchsorted(code + n64, code + n64 * t[1] // t[0], "right"))
+        own = np.arange(len(key))
+        far = np.where(big, own + 1, far)
+        for part in slices(far - own - 1, PAIRS):
+            row, y = spread(own[part] + 1, far[part])
+            x = own[part][row]
+            both = n64[x] + n64[y]
+            ok = np.minimum(left[x], left[y]) * (t[0] + t[1]) >= both * t[0]
+            x, y, both = x[ok], y[ok], both[ok]
+            ok = np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) * (t[0] + t[1]) <= both * (t[1] - t[0])
+            x, y = _order(ids, x[ok], y[ok])
+            none = [pa.nulls(len(x), k) for k in (pa.int64(), _ids_arrow(ids[:0]).type, pa.int32(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([_ids_arrow(ids[x]), pa.array(n[x]), _ids_arrow(ids[y]), pa.array(n[y]), *none], names=names)
+
+    return packed.groupBy("bucket").applyInArrow(compare, schema)
+
+
+def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW, wide: bool = False) -> DataFrame:
     """Links (a, b), a before b, that connect whatever the sets' full join would.
 
-    keys: (key, id, n, pos, sig), the regions of each set, its size, the place
-    of key in its order and its signature.  sets_of(ids) gives (id, members) of
-    the asked ids: their sorted 64-bit members in one binary.
+    first: what first_split gives.  sets_of(ids) gives (id, members) of the asked
+    ids: their sorted 64-bit members in one binary.
     """
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one pass over the shuffled keys: pairs of the small regions, and the rows of the larger ones
-    first = cut(_split(keys.repartition(n, "key").sortWithinPartitions("key", "id"), few, t), f"{name}-regions")
+    first = cut(first, f"{name}-regions")
     # rings of sizes: partners differ by one ring at most, so a set visits the ring above its own
     ring = F.floor(F.log("n") / (math.log(t[1] / t[0]) * (1 + 1e-9))).cast("int")
     large = first.where("key is not null").select("key", F.explode(F.array(ring, ring + 1)).alias("ring"), "id", "n", "pos", "sig")
     live = cut(_sized(large), f"{name}-rings")
     near = first.where("key is null").select("a", "an", "b", "bn").unionByName(_near(live, few, t))
-    many, links = _with_pivots(live.where(F.col("m") > few)), None
+    links, old = None, [first, live]
     for r in itertools.count():
-        sizes = live.where(F.col("m") > few).groupBy("key", "ring").agg(F.max("m").alias("was"))
+        many = live.where(F.col("m") > few)
+        sizes = many.select("key", "ring", F.col("m").alias("was")).distinct()
         if r == 0:
             far = many.select("key", "ring", *[F.col(f"pivot.{c}").alias(f"a{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")], *[F.col(c).alias(f"b{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")]).where("a < b")
-        else:
-            first = Window.partitionBy("key", "ring").orderBy("a")
-            pivots = _side(many, "a").withColumn("r", F.row_number().over(first)).where(F.col("r") <= PIVOTS).drop("r")
+        else:  # the least ids of a region; each task sends on that many at most
+            lead = Window.partitionBy("key", "ring").orderBy("a")
+            pivots = _side(many, "a").withColumn("r", F.row_number().over(lead)).where(F.col("r") <= PIVOTS).drop("r")
             far = _side(many, "b").join(pivots, ["key", "ring"]).where("a < b")
         pairs = cut(near.unionByName(far.where(could(t)).select("a", "an", "b", "bn")).distinct(), f"{name}-pairs{r}")
+        likely = None
         if wide:
-            pairs = cut(_both(pairs, _wide(sets_of(_ids(pairs, f"{name}-wide-ids{r}")))).mapInArrow(_agree(t), pairs.schema), f"{name}-likely{r}")
+            likely = pairs = cut(_both(pairs, _wide(sets_of(_ids(pairs, f"{name}-wide-ids{r}")))).mapInArrow(_agree(t), pairs.schema), f"{name}-likely{r}")
         done = cut(verified(_both(pairs, sets_of(_ids(pairs, f"{name}-ids{r}")))).dropDuplicates(["a", "b"]), f"{name}-done{r}")
+        release(pairs, likely)
         found = done.where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select("a", "b")
         links = found if links is None else links.unionByName(found)
         live = cut(_sized(_unsettled(far, done, 1 - t[0] / t[1])), f"{name}-round{r}")
         if not live.limit(1).count():
+            release(*old, live)
             return links.distinct()
-        near = _near(live, few, t)
+        near, before, old = _near(live, few, t), old, [live]
         if r:  # the first round's one pivot tells little
-            live = cut(live.join(sizes, ["key", "ring"]), f"{name}-shrunk{r}")
+            shrunk = cut(live.join(sizes, ["key", "ring"]), f"{name}-shrunk{r}")
             stuck = (F.col("m") > few) & (4 * F.col("m") > 3 * F.col("was"))
-            near = near.unionByName(_blocks(live.where(stuck).drop("was"), sets_of, t, f"{name}{r}", wide))
-            live = live.where(~stuck).drop("was")
-        many = _with_pivots(live.where(F.col("m") > few))
+            near = near.unionByName(_blocks(shrunk.where(stuck).drop("was"), sets_of, t, f"{name}{r}", wide))
+            live = shrunk.where(~stuck).drop("was")
+            old.append(shrunk)
+        release(*before)
 
 
 def _blocks(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, wide: bool) -> DataFrame:
@@ -214,68 +307,6 @@ def _blocks(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple
     return pairs.select(*[F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("an", "bn"), ("b", "a"), ("bn", "an"))])
 
 
-def _split(rows: DataFrame, few: int, t: tuple[int, int]) -> DataFrame:
-    """Of rows in order of (key, id): pairs (a, an, b, bn) that may link of keys with at most few rows, the rows of other keys as they are."""
-    kind = rows.schema["id"].dataType
-    schema = StructType().add("a", kind).add("an", "integer").add("b", kind).add("bn", "integer").add("key", "long").add("id", kind).add("n", "integer").add("pos", "integer").add("sig", "long")
-
-    def made(b: pa.RecordBatch, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
-        cols = [b.column("id").take(pa.array(one)), b.column("n").take(pa.array(one)), b.column("id").take(pa.array(two)), b.column("n").take(pa.array(two))]
-        rest = [pa.nulls(len(one), b.schema.field(c).type) for c in ("key", "id", "n", "pos", "sig")]
-        return pa.RecordBatch.from_arrays([*cols, *rest], names=schema.names)
-
-    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
-        none = [pa.nulls(b.num_rows, b.schema.field(c).type) for c in ("id", "n", "id", "n")]
-        return pa.RecordBatch.from_arrays([*none, *[b.column(c) for c in ("key", "id", "n", "pos", "sig")]], names=schema.names)
-
-    def work(b: pa.RecordBatch, open_key: int | None) -> Iterator[pa.RecordBatch]:
-        """Rows of whole keys; those of open_key have had others before."""
-        key, n, pos, sig = (np.asarray(b.column(c)) for c in ("key", "n", "pos", "sig"))
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(head, len(key)))
-        end = np.repeat(head + size, size)
-        large = np.repeat((size > few) | (key[head] == open_key if open_key is not None else False), size)
-        if large.any():
-            yield whole(b.take(pa.array(np.flatnonzero(large))))
-        at, n, ids = np.flatnonzero(~large), n.astype(np.int64), b.column("id")
-        known = np.asarray(ids) if pa.types.is_integer(ids.type) else None
-        sig, left = sig.view(U), n - pos
-        for d in range(1, few):
-            at = at[at + d < end[at]]
-            if not len(at):
-                break
-            x, y = at, at + d
-            both = n[x] + n[y]
-            ok = (np.minimum(left[x], left[y]) * (t[0] + t[1]) >= both * t[0]) & (np.minimum(n[x], n[y]) * t[1] >= np.maximum(n[x], n[y]) * t[0])
-            ok &= np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) * (t[0] + t[1]) <= both * (t[1] - t[0])
-            x, y = x[ok], y[ok]
-            if len(x):
-                other = known[x] != known[y] if known is not None else np.array([p != q for p, q in zip(ids.take(pa.array(x)).to_pylist(), ids.take(pa.array(y)).to_pylist(), strict=True)])
-                yield made(b, x[other], y[other])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.RecordBatch | None = None
-        open_key: int | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if rest is not None:
-                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-            key = np.asarray(b.column("key"))
-            cut_at = int(np.searchsorted(key, key[-1]))
-            yield from work(b.slice(0, cut_at), open_key) if cut_at else ()
-            rest = b.slice(cut_at)
-            if cut_at:
-                open_key = None
-            if rest.num_rows > few or int(key[-1]) == open_key:
-                yield whole(rest)
-                rest, open_key = None, int(key[-1])
-        if rest is not None:
-            yield from work(rest, open_key)
-
-    return rows.mapInArrow(each, schema)
-
-
 def _ids(pairs: DataFrame, name: str) -> DataFrame:
     return cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
 
@@ -312,8 +343,9 @@ def _agree(t: tuple[int, int]):
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Regions of two sets or more, with their size m."""
-    return rows.withColumn("m", F.count("*").over(Window.partitionBy("key", "ring"))).where("m > 1")
+    """Regions of two sets or more, with their size m and their first set as pivot: counted before the shuffle, and joined back."""
+    regions = rows.groupBy("key", "ring").agg(F.count("*").alias("m"), F.min(F.struct("id", "n", "pos", "sig")).alias("pivot")).where("m > 1")
+    return rows.join(regions, ["key", "ring"])
 
 
 def _near(rows: DataFrame, few: int, t: tuple[int, int]) -> DataFrame:
@@ -322,11 +354,6 @@ def _near(rows: DataFrame, few: int, t: tuple[int, int]) -> DataFrame:
     return _side(rows, "a").join(_side(rows, "b"), ["key", "ring"]).where((F.col("a") < F.col("b")) & could(t)).select("a", "an", "b", "bn")
 
 
-def _with_pivots(rows: DataFrame) -> DataFrame:
-    """Regions with their first set as pivot."""
-    return rows.withColumn("pivot", F.min(F.struct("id", "n", "pos", "sig")).over(Window.partitionBy("key", "ring")))
-
-
 def _unsettled(far: DataFrame, done: DataFrame, eps: float) -> DataFrame:
     """What a round with pivots a leaves: sets that may be near one which has no link to the same pivot."""
     dist = done.select("a", "b", (1 - F.col("common") / (F.col("an") + F.col("bn") - F.col("common"))).alias("d"))
@@ -345,15 +372,16 @@ def components(links: DataFrame, name: str) -> DataFrame:
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")).withColumnRenamed("a", "id"), f"{name}-labels")
     edges = cut(edges.distinct(), f"{name}-edges")
-    for r in range(1000):
+    for r in itertools.count():
         pull = edges.join(label.select(F.col("id").alias("b"), "least"), "b").groupBy("a").agg(F.min("least").alias("pulled"))
         step = label.join(pull.withColumnRenamed("a", "id"), "id").select("id", F.col("least").alias("old"), F.least("least", "pulled").alias("least"))
         jump = step.join(label.select(F.col("id").alias("least"), F.col("least").alias("further")), "least", "left")
         after = cut(jump.select("id", "old", F.least("least", F.coalesce("further", "least")).alias("least")), f"{name}-label{r}")
+        release(label)
         label = after.select("id", "least")
+        label.sigmark_path = after.sigmark_path
         if not after.where("old <> least").limit(1).count():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def without(rows: DataFrame, ids: DataFrame) -> DataFrame:

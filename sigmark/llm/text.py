@@ -11,13 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-BASE = 0x9E3779B97F4A7C15 | 1
-SEQ = 0xD6E8FEB86659FD93
 U = np.uint64
 #: Bytes of text that are hashed at a time; one longer document is taken alone.
 CHUNK = 1 << 20
-_tables: dict[int, np.ndarray] = {}
+#: Bytes of a word above which xxhash takes over.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,19 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    if len(have := _tables.get(base, _tables.setdefault(base, np.ones(1, U)))) < n:
-        steps = np.full(max(n, 2 * len(have)), base, U)
-        steps[0] = 1
-        have = _tables[base] = np.cumprod(steps, dtype=U)
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; a null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -72,12 +59,21 @@ class Words:
     at: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
-        """One hash a word, from prefix sums of a polynomial."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * powers(BASE, n), out=sums[1:])
-        raw = (sums[self.end] - sums[self.start]) * powers(inverse(BASE), n + 1)[self.start]
-        return mix(raw ^ (self.end - self.start).astype(U))
+        """One hash a word: its bytes, eight at a time, each lane through the finaliser, so no structure of the text cancels out."""
+        size = self.end - self.start
+        lanes = np.ndarray((len(self.data) + 1,), "<u8", np.concatenate((self.data, np.zeros(8, np.uint8))), strides=(1,))
+        h = mix(size.astype(U) * U(0x9E3779B97F4A7C15) + U(0x2545F4914F6CDD1D))
+        some = np.arange(len(size))
+        for k in range(0, LONG_WORD, 8):
+            some = some[size[some] > k]
+            if not len(some):
+                break
+            left = np.minimum(size[some] - k, 8).astype(U) * U(8)
+            lane = lanes[self.start[some] + k] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - left))
+            h[some] = mix((h[some] ^ lane) * U(0xD6E8FEB86659FD93) + U(k + 1))
+        for i in np.flatnonzero(size > LONG_WORD):
+            h[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), 1)
+        return h
 
     def doc(self) -> np.ndarray:
         """The document number, within this chunk, of each word."""
@@ -112,14 +108,36 @@ def chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK, blank: np.nda
         a = b
 
 
-def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of so many hashes, wherever it starts; meaningless across documents."""
-    n = len(hashes)
-    if n < width:
+def windows(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """A hash of each run of so many hashes, wherever it starts, from hashes of its halves; meaningless across documents."""
+    n = len(hashes) - width + 1
+    if n <= 0:
         return np.zeros(0, U)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(hashes * powers(SEQ, n), out=sums[1:])
-    return mix((sums[width:] - sums[: n - width + 1]) * powers(inverse(SEQ), n)[: n - width + 1] ^ U(width))
+    out, done, span, run = np.full(n, mix(np.array([seed * 2 + 1], U))[0]), 0, 1, hashes
+    while True:
+        if width & span:
+            out = mix(out * U(0xA24BAED4963EE407) + run[done : done + n])
+            done += span
+        if 2 * span > width:
+            return out
+        run = mix(run[:-span] * U(0xC2B2AE3D27D4EB4F) + run[span:])
+        span *= 2
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each range lo..hi-1 as rows: the range's number, and the value."""
+    size = hi - lo
+    of = np.repeat(np.arange(len(lo)), size)
+    return of, np.arange(len(of)) - (np.cumsum(size) - size)[of] + lo[of]
+
+
+def slices(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of entries whose sizes sum to most, or single ones above."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield slice(a, b)
+        a = b
 
 
 def within(of: np.ndarray, width: int) -> np.ndarray:

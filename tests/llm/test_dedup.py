@@ -157,10 +157,38 @@ def test_regions_of_unlinked_sets_take_few_rounds(spark, monkeypatch, wide):
     rounds, plain = [], setjoin.cut
     monkeypatch.setattr(setjoin, "cut", lambda df, name: rounds.append(name) or plain(df, name))
     monkeypatch.setattr(setjoin, "BLOCK", 100, raising=False)
-    keys = spark.createDataFrame([(7, i, len(s), 0, int(setjoin.signature(s, np.array([0, len(s)]))[0])) for i, s in sets.items()], "key long, id long, n int, pos int, sig long")
+    first = spark.createDataFrame([(None, None, None, None, 7, i, len(s), 0, int(setjoin.signature(s, np.array([0, len(s)]))[0])) for i, s in sets.items()], "a long, an int, b long, bn int, key long, id long, n int, pos int, sig long")
     every = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "id long, members binary")
-    got = {tuple(r) for r in setjoin.region_links(keys, lambda ids: every.join(ids, "id", "left_semi"), (75, 100), "t", wide=wide).collect()}
+    got = {tuple(r) for r in setjoin.region_links(first, lambda ids: every.join(ids, "id", "left_semi"), (75, 100), "t", wide=wide).collect()}
     common = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in sets for b in sets if a < b}
     assert got == {(a, b) for (a, b), c in common.items() if 175 * c >= 75 * (len(sets[a]) + len(sets[b]))}
     assert len(got) == 20
     assert sum("-pairs" in x for x in rounds) <= 4
+
+
+def thue_morse(n, one="a", two="b"):
+    return "".join(one if i.bit_count() % 2 == 0 else two for i in range(n))
+
+
+def test_words_of_like_structure_differ(spark):
+    """Words and sequences on which polynomial hashes modulo 2**64 agree."""
+    import pyarrow as pa
+
+    words = [f(n) for n in (32, 1024, 2048, 4096) for f in (thue_morse, lambda n: thue_morse(n, "b", "a"))]
+    (w,) = T.chunks(pa.array([" ".join(words)]), limit=1 << 20)
+    assert len(set(w.hashes().tolist())) == len(words)
+    for k in (5, 32, 50):
+        runs = [thue_morse(64).replace("a", "a ").replace("b", "b ")[: 2 * k], thue_morse(64, "b", "a").replace("a", "a ").replace("b", "b ")[: 2 * k]]
+        hashes = [T.windows(next(T.chunks(pa.array([r]))).hashes(), k)[0] for r in runs]
+        assert hashes[0] != hashes[1]
+    docs = spark.createDataFrame([(k, " ".join(f(1024 + i) for i in range(60))) for k, f in enumerate((thue_morse, lambda n: thue_morse(n, "b", "a")))], "doc_id long, text string")
+    assert line_dedup.repeated_lines(docs).count() == 0
+    assert {r.component_id for r in ngram_join.near_copies(docs).collect()} == {0, 1}
+    assert {r.n_removed for r in substring_dedup.remove_repeats(docs).collect()} == {0}
+
+
+def test_hot_entries_are_dealt_by_set(spark, docs, rows, monkeypatch):
+    """Members that the counts know as hot go on as rows, with the same links."""
+    monkeypatch.setattr(setjoin, "HOT", 1)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_copies(docs).collect()} == components(rows)
+    assert {(r.doc_id, r.line) for r in line_dedup.repeated_lines(docs).collect()} == repeated_lines(rows)
