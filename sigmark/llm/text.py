@@ -58,11 +58,11 @@ class Words:
     #: Where each document's text begins in data.
     at: np.ndarray | None = None
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 1) -> np.ndarray:
         """One hash a word: its bytes, eight at a time, each lane through the finaliser, so no structure of the text cancels out."""
         size = self.end - self.start
         lanes = np.ndarray((len(self.data) + 1,), "<u8", np.concatenate((self.data, np.zeros(8, np.uint8))), strides=(1,))
-        h = mix(size.astype(U) * U(0x9E3779B97F4A7C15) + U(0x2545F4914F6CDD1D))
+        h = mix(size.astype(U) * U(0x9E3779B97F4A7C15) + mix(np.array([seed], U)))
         some = np.arange(len(size))
         for k in range(0, LONG_WORD, 8):
             some = some[size[some] > k]
@@ -72,7 +72,7 @@ class Words:
             lane = lanes[self.start[some] + k] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - left))
             h[some] = mix((h[some] ^ lane) * U(0xD6E8FEB86659FD93) + U(k + 1))
         for i in np.flatnonzero(size > LONG_WORD):
-            h[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), 1)
+            h[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), seed)
         return h
 
     def doc(self) -> np.ndarray:

@@ -192,3 +192,27 @@ def test_hot_entries_are_dealt_by_set(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(setjoin, "HOT", 1)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_copies(docs).collect()} == components(rows)
     assert {(r.doc_id, r.line) for r in line_dedup.repeated_lines(docs).collect()} == repeated_lines(rows)
+
+
+def test_windows_with_equal_words_pick_equal_names():
+    """Whatever stands around them, with runs and alternations of few words."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+
+    def words(n, size):
+        out = []
+        while len(out) < n:
+            out += [f"w{rng.randrange(size)}"] * (rng.choice([2, 3, 20, 60]) if rng.random() < 0.1 else 1)
+        return out[:n]
+
+    for size in (1, 2, 3, 5, 50, 5000) * 10:
+        window = words(50, size)
+        docs = [" ".join(words(rng.randrange(40), size) + window + words(rng.randrange(40), size)) for _ in range(3)]
+        (w,), (own,) = T.chunks(pa.array(docs)), T.chunks(pa.array([" ".join(window)]))
+        starts, names = substring_dedup.picks(w.hashes(), w.doc(), w.of)
+        here = T.windows(w.hashes(), 50)[starts] == T.windows(own.hashes(), 50)[0]
+        assert here.sum() >= 3
+        assert len(set(names[here].tolist())) == 1
