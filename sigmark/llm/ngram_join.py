@@ -83,7 +83,7 @@ def near_copies(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFram
                     yield setjoin.entries(ids[w.first : w.first + len(k)], np.diff(at), setjoin.signature(members, at), np.repeat(np.arange(len(k)), k), key, pos, hot, buckets)
 
     own = setjoin.without(docs.withColumnRenamed("doc_id", "id"), alike.select("id"))
-    first = setjoin.first_split(own.mapInArrow(regions, setjoin.PACKED), np.dtype(np.int64), "long", similar, setjoin.FEW)
+    first = cut(setjoin.first_split(own.mapInArrow(regions, setjoin.PACKED), np.dtype(np.int64), "long", similar, setjoin.FEW), "shingle-regions")
     sets_of = lambda ids: docs.withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi").mapInArrow(_members, "id long, members binary")
     links = cut(setjoin.region_links(first, sets_of, similar, "shingle", wide=True), "shingle-links")
     least = setjoin.components(links, "shingle") if links.limit(1).count() else links.select(F.col("a").alias("id"), F.col("b").alias("least"))

@@ -228,16 +228,15 @@ def first_split(packed: DataFrame, id_type: np.dtype, kind: str, t: tuple[int, i
 def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW, wide: bool = False) -> DataFrame:
     """Links (a, b), a before b, that connect whatever the sets' full join would.
 
-    first: what first_split gives.  sets_of(ids) gives (id, members) of the asked
-    ids: their sorted 64-bit members in one binary.
+    first: what first_split gives, as a table.  sets_of(ids) gives (id, members) of
+    the asked ids: their sorted 64-bit members in one binary.
     """
-    first = cut(first, f"{name}-regions")
     # rings of sizes: partners differ by one ring at most, so a set visits the ring above its own
     ring = F.floor(F.log("n") / (math.log(t[1] / t[0]) * (1 + 1e-9))).cast("int")
     large = first.where("key is not null").select("key", F.explode(F.array(ring, ring + 1)).alias("ring"), "id", "n", "pos", "sig")
     live = cut(_sized(large), f"{name}-rings")
     near = first.where("key is null").select("a", "an", "b", "bn").unionByName(_near(live, few, t))
-    links, old = None, [first, live]
+    links, old = None, [live]
     for r in itertools.count():
         many = live.where(F.col("m") > few)
         sizes = many.select("key", "ring", F.col("m").alias("was")).distinct()
@@ -269,6 +268,25 @@ def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
         release(*before)
 
 
+def with_earlier(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW) -> DataFrame:
+    """The ids that link with a lesser one.  A set's first candidate is verified first, and the others only where it fails."""
+    first = cut(first, f"{name}-regions")
+    near, out = first.where("key is null").select("a", "an", "b", "bn"), None
+    tried = cut(near.groupBy("b").agg(F.min(F.struct("a", "an")).alias("x"), F.first("bn").alias("bn")).select("x.a", "x.an", "b", "bn"), f"{name}-tried")
+    for k in range(2):
+        done = cut(verified(_both(tried, sets_of(_ids(tried, f"{name}-ids{k}")))).where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select(F.col("b").alias("id")).distinct(), f"{name}-done{k}")
+        out = done if out is None else out.unionByName(done)
+        if not k:
+            rest = near.join(done.withColumnRenamed("id", "b"), "b", "left_anti").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            before, tried = tried, cut(rest, f"{name}-rest")
+            release(before)
+    release(tried)
+    if first.where("key is not null").limit(1).count():
+        large = region_links(first.where("key is not null"), sets_of, t, name, few)
+        out = out.unionByName(large.select(F.col("b").alias("id")))
+    return out.distinct()
+
+
 def _blocks(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, wide: bool) -> DataFrame:
     """Pairs that may link of whole regions: sets are dealt to blocks by hash, and each two blocks of a region are compared by one task."""
     if wide:
