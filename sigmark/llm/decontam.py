@@ -4,17 +4,23 @@ Texts are words, lower-cased; ASCII punctuation parts words like white space.
 An item of n words is held where some run of words, of whatever length, is within
 n // 4 word edits of it.
 
-Candidates are exact.  An item is cut into n // 4 + 1 pieces of 1 to 4 words; so
-many edits can't touch them all, so a piece is in the document as it is, at most
-n // 4 words off its place.  The region about such a piece is dropped when it
-can't be near enough: an edit spends at most two of the item's n - 1 word pairs,
-so n - 1 - 2 (n // 4) pairs of the region must occur in items, and at most one of
-the item's words, so all but n // 4 of them must occur in the region.  Both counts
-are exact, and cheap.  Regions left are verified by exact edit distance.
+Candidates come from the CGK embedding.  A walk over words reads the word it
+stands on at each step and goes on or stays, as a random bit of the step and the
+word says; walks over like sequences fall into step, so edits become differing
+steps.  Items are embedded in parts of at most PART words, of which one has no
+more than its share of the edits.  Windows of a document are embedded from each
+word at which an item can be held at all: an edit spends at most two of the item's
+n - 1 word pairs, so that many less must stand there, which is counted exactly.
+In each of REPEATS walks a part and a window meet when they agree on SAMPLES
+steps, drawn over the whole walk of the part's size; two samples are few enough
+that windows with the most edits meet (the tests measure recall against all
+windows, for edits of every kind and place; README has the figures), and the
+regions that they open are dropped by exact counts of pairs and words, then
+verified by exact edit distance.
 
 Null or empty documents hold nothing, and null or empty items are held nowhere.
 Items with equal words are found each.  A repeated row of a document gives
-repeated rows; extra columns are ignored.
+repeated rows; a null doc_id gives rows with none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +36,12 @@ from pyspark.sql import functions as F
 from . import text as T
 from .text import U
 
-#: Items of one pass over the documents; places of pieces, and words of items, that are looked up at a time.
+#: Items of one pass over the documents; places of parts, and words of items, that are looked up at a time.
 BLOCK, HITS = 20_000, 1 << 20
+#: Windows that are embedded at a time.
+STARTS = 1 << 13
+#: Words of a part, walks of each, and steps on which a part and a window must agree.
+PART, REPEATS, SAMPLES = 24, 16, 2
 
 
 def split(col: pa.Array) -> Iterator[T.Words]:
@@ -86,19 +96,43 @@ def nearest(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] |
     return best, end - max(k for k, score in enumerate(back, 1) if score == best)
 
 
-def pieces(n: int) -> list[tuple[int, int]]:
-    """Start and length of the pieces of an item of n words, one more than its edits."""
-    at = [n * k // (budget(n) + 1) for k in range(budget(n) + 2)]
+def parts(n: int) -> list[tuple[int, int]]:
+    """Start and length of the parts of an item of n words."""
+    k = -(-n // PART)
+    at = [n * i // k for i in range(k + 1)]
     return [(a, b - a) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def recall(n: int) -> float:
-    """The least share of pieces of an item that the most edits leave whole, as one that is enough: 1 where pieces outnumber edits."""
-    return float(len(pieces(n)) > budget(n))
+def drawn(size: int) -> np.ndarray:
+    """The sampled steps of each walk, for parts of so many words: a walk passes about one word in two steps."""
+    steps = max(1, size * 19 // 10)
+    rng = np.random.default_rng(size)
+    return np.sort(np.array([rng.choice(steps, min(SAMPLES, steps), replace=False) for _ in range(REPEATS)]), axis=1)
+
+
+def embedded(word: np.ndarray, bits: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """For each size of parts, the sampled words of each walk from each start, up to its end, as one number (walks, starts).
+
+    word: places in the vocabulary, the last of bits for other words and for what
+    lies beyond the end; bits: each walk's random bits of each word, one a step.
+    """
+    want = {size: drawn(size) for size in sizes}
+    out = {size: np.zeros((len(bits), len(start)), np.int64) for size in sizes}
+    none, flat = bits.shape[1] - 1, bits.ravel()
+    row = (np.arange(len(bits)) * bits.shape[1])[:, None]
+    word = np.append(word, none)
+    at = np.broadcast_to(start, (len(bits), len(start))).copy()
+    for step in range(1 + max(int(x.max()) for x in want.values())):
+        here = np.where(at < end, word[np.minimum(at, len(word) - 1)], none)
+        for size, steps in want.items():
+            if len(r := np.flatnonzero((steps == step).any(1))):
+                out[size][r] = out[size][r] * (none + 1) + here[r]
+        at += (flat[row + here] >> U(step) & U(1)).astype(np.int64)
+    return out
 
 
 class Items:
-    """Benchmark items as words, word pairs and pieces; items of equal words are one."""
+    """Benchmark items as words, word pairs and embedded parts; items of equal words are one."""
 
     def __init__(self, rows: list[tuple[int, str | None]]) -> None:
         self.ids: list[list[int]] = []
@@ -120,18 +154,32 @@ class Items:
         self.words = self.number(every)
         inner = np.ones(max(0, len(every) - 1), bool)
         inner[self.at[1:-1] - 1] = False
+        walk = np.arange(1, REPEATS + 1).astype(U)[:, None] * U(0x9E3779B97F4A7C15)
+        self.bits = T.mix(walk + np.append(self.vocab, U(0)))
         self.pairs = np.unique((self.words[:-1] * len(self.vocab) + self.words[1:])[inner])
         rows_of: dict[int, list[tuple[int, int]]] = {}
         for i, n in enumerate(self.sizes.tolist()):
-            for a, size in pieces(n):
+            for a, size in parts(n):
                 rows_of.setdefault(size, []).append((i, a))
-        #: By length: hashes of the pieces, sorted, their items, and their starts in them.
-        self.pieces = {}
-        for size, at in rows_of.items():
-            which, start = np.array(at, np.int64).T
-            keys = T.windows(every, size)[self.at[which] + start]
-            by = np.argsort(keys, kind="stable")
-            self.pieces[size] = (keys[by], which[by], start[by])
+        #: By size: each walk's hashes of the parts, sorted, their items, and their starts in them.
+        self.parts = {}
+        for size, rows_ in rows_of.items():
+            which, start = np.array(rows_, np.int64).T
+            keys = embedded(self.words, self.bits, self.at[which] + start, self.at[which + 1], [size])[size]
+            by = np.argsort(keys, axis=1, kind="stable")
+            self.parts[size] = (np.take_along_axis(keys, by, 1), which[by], start[by])
+        #: Items of like size together: the pairs that a region must have at least, the most words and edits, and where parts of each size begin.
+        self.kinds: list[tuple[int, int, int, dict[int, tuple[int, int]]]] = []
+        like: dict[tuple[int, int], list[int]] = {}
+        for n in sorted(set(self.sizes.tolist())):
+            like.setdefault((n.bit_length(), n >> max(0, n.bit_length() - 4)), []).append(n)
+        for sizes in like.values():
+            begin: dict[int, tuple[int, int]] = {}
+            for n in sizes:
+                for a, size in parts(n):
+                    lo, hi = begin.get(size, (a, a))
+                    begin[size] = min(a, lo), max(a, hi)
+            self.kinds.append((min(n - 1 - 2 * budget(n) for n in sizes), sizes[-1], budget(sizes[-1]), begin))
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """Place of each word in the vocabulary, -1 for others."""
@@ -154,23 +202,41 @@ class Items:
         doc_of = np.repeat(np.arange(len(of) - 1), np.diff(of))
         seen = np.flatnonzero(word >= 0)
         places = np.sort(word[seen] * n + seen)
-        for size, (keys, which, start) in self.pieces.items():
-            if size > n:
-                continue
-            ok = (sums[size - 1 : n] - sums[: n - size + 1] == size - 1) & (word[: n - size + 1] >= 0)
-            p = np.flatnonzero(ok & (doc_of[size - 1 :] == doc_of[: n - size + 1]))
-            s = T.windows(h, size)[p]
-            lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
-            for part in T.slices(hi - lo, HITS):
-                row, k = T.spread(lo[part], hi[part])
-                i, first = which[k], p[part][row] - start[k]
-                doc = doc_of[p[part][row]]
-                a, b = np.maximum(of[doc], first - self.edits[i]), np.minimum(of[doc + 1], first + self.sizes[i] + self.edits[i])
-                ok = (b - a >= self.sizes[i] - self.edits[i]) & (sums[b - 1] - sums[a] >= self.sizes[i] - 1 - 2 * self.edits[i])
-                doc, i, a, b = doc[ok], i[ok], a[ok], b[ok]
-                for some in T.slices(self.sizes[i], HITS):
-                    ok = self.covered(i[some], a[some], b[some], places, n)
-                    yield tuple(x[some][ok] for x in (doc, i, a, b))
+        near, known_word = self.near(sums, n), np.where(word < 0, len(self.vocab), word)
+        p = np.flatnonzero(np.any(list(near.values()), axis=0)) if near else np.zeros(0, np.int64)
+        for k in range(0, len(p), STARTS):
+            some = p[k : k + STARTS]
+            for size, keys in embedded(known_word, self.bits, some, of[doc_of[some] + 1], list(near)).items():
+                mine, (known, which, start) = near[size][some], self.parts[size]
+                for r in range(REPEATS):
+                    lo, hi = np.searchsorted(known[r], keys[r][mine], "left"), np.searchsorted(known[r], keys[r][mine], "right")
+                    for part in T.slices(hi - lo, HITS):
+                        row, k2 = T.spread(lo[part], hi[part])
+                        at = some[mine][part][row]
+                        i, first = which[r][k2], at - start[r][k2]
+                        doc, most = doc_of[at], self.edits[i]
+                        # a window may begin that many words off its part's place, and that off the item's
+                        a, b = np.maximum(of[doc], first - 2 * most), np.minimum(of[doc + 1], first + self.sizes[i] + 2 * most)
+                        ok = (b - a >= self.sizes[i] - most) & (sums[np.maximum(b - 1, a)] - sums[a] >= self.sizes[i] - 1 - 2 * most)
+                        doc, i, a, b = np.unique(np.stack((doc[ok], i[ok], a[ok], b[ok])), axis=1)
+                        for few in T.slices(self.sizes[i], HITS):
+                            ok = self.covered(i[few], a[few], b[few], places, n)
+                            yield tuple(x[few][ok] for x in (doc, i, a, b))
+
+    def near(self, sums: np.ndarray, n: int) -> dict[int, np.ndarray]:
+        """For each size of parts, at which words its windows may begin: an item is about there, as far as word pairs tell."""
+        out: dict[int, np.ndarray] = {}
+        wide = 2 * max((size + edits for _, size, edits, _ in self.kinds), default=0) + 1
+        padded = lambda x: np.concatenate((np.zeros(wide, np.int32), x, np.full(wide, x[-1]))).astype(np.int32)
+        sums = padded(sums)
+        for need, size, edits, begin in self.kinds:
+            ok = sums[wide + size + edits :][:n] - sums[wide - edits :][:n] >= need
+            if ok.any():
+                reached = padded(np.concatenate(([0], np.cumsum(ok))))
+                for part, (lo, hi) in begin.items():
+                    here = reached[wide - lo + edits + 1 :][:n] > reached[wide - hi - edits :][:n]
+                    out[part] = out[part] | here if part in out else here
+        return out
 
     def covered(self, i: np.ndarray, a: np.ndarray, b: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
         """Whether all but the edits of an item's words occur in the region; places: word * n + place, sorted."""

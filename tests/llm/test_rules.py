@@ -101,7 +101,35 @@ def test_decontamination(spark, docs, none):
     assert {r.doc_id for r in decontam.clean(d, b).collect()} == {i for i, _ in texts} - {i for i, _ in want}
     assert decontam.contaminated(none, b).collect() == []
     assert decontam.clean(docs, b.where("false")).count() == docs.count()
-    assert decontam.recall(40) > 0.9
+
+
+def edited(rng, item, kind, new):
+    """The item with n // 4 edits of one kind."""
+    x, e = list(item), len(item) // 4
+    if kind in ("front", "middle", "back"):
+        a = {"front": 0, "middle": (len(x) - e) // 2, "back": len(x) - e}[kind]
+        x[a : a + e] = [new() for _ in range(e)]
+    for _ in range(e if kind in ("changed", "left out", "put in", "mixed") else 0):
+        k, what = rng.randrange(len(x)), kind if kind != "mixed" else rng.choice(["changed", "left out", "put in"])
+        x[k : k + (what != "put in")] = [] if what == "left out" else [new()]
+    return x[e:] if kind == "cut in front" else x[: len(x) - e] if kind == "cut behind" else x
+
+
+@pytest.mark.parametrize("n", [8, 12, 15, 24, 25, 33, 40, 63, 120, 200])
+def test_recall_at_the_whole_budget(n):
+    """Against every item that brute force finds, for edits of each kind and place, as many as are allowed."""
+    rng = random.Random(n)
+    new = lambda: f"n{rng.randrange(10**9)}"
+    items = [[f"v{rng.randrange(3000)}" for _ in range(n)] for _ in range(40)]
+    known = decontam.Items([(i, " ".join(x)) for i, x in enumerate(items)])
+    for kind in ("front", "middle", "back", "changed", "left out", "put in", "mixed", "cut in front", "cut behind"):
+        docs = [" ".join([new() for _ in range(20)] + edited(rng, x, kind, new) + [new() for _ in range(20)]) for x in items]
+        got = set()
+        for w in decontam.split(pa.array(docs)):
+            for d, i, _, _, edits in known.search(w.hashes(), w.of):
+                assert edits <= n // 4
+                got.add((w.first + d, i))
+        assert sum((i, i) in got for i in range(40)) >= 37, kind
 
 
 def test_best_fit_is_tight():
