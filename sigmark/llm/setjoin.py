@@ -15,13 +15,12 @@ gives right results, so the order may come from a bounded table of counts.
 * Larger regions go on as rows.  A region is split by rings of set size, the
   distance to the empty set; a set visits the ring above its own.
 * In a large region's ring the sets with the least ids are pivots and are
-  compared with the others.  A set linked to a pivot is settled, unless some set
-  not linked to this pivot is so near to it that the triangle inequality lets
-  the two link: then both go on to the next round, which has other pivots.
-  Regions that pivots don't split are compared in pairs of blocks.
-
-So links that are not made are between sets which have links to the same pivot.
-That keeps components, and for each set an earlier partner if it has any.
+  compared with the others, first one, then PIVOTS.  A pair is needed only while
+  it may tell something new: for components, while the two sets are in different
+  ones; to know whether a set has an earlier partner, while it has none yet.  So a
+  large group of near copies is settled by its pivots, and what is left of it is
+  compared with the rest, in pairs of blocks, by the triangle inequality of
+  Jaccard distance: 1024 parity bits bound the distance from below.
 """
 
 from __future__ import annotations
@@ -225,8 +224,8 @@ def first_split(packed: DataFrame, id_type: np.dtype, kind: str, t: tuple[int, i
     return packed.groupBy("bucket").applyInArrow(compare, schema)
 
 
-def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW, wide: bool = False) -> DataFrame:
-    """Links (a, b), a before b, that connect whatever the sets' full join would.
+def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW, wide: bool = False, earlier: bool = False) -> DataFrame:
+    """Links (a, b), a before b: enough to connect whatever the sets' full join would, or with earlier to give each set an earlier partner if it has any.
 
     first: what first_split gives, as a table.  sets_of(ids) gives (id, members) of
     the asked ids: their sorted 64-bit members in one binary.
@@ -236,36 +235,39 @@ def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
     large = first.where("key is not null").select("key", F.explode(F.array(ring, ring + 1)).alias("ring"), "id", "n", "pos", "sig")
     live = cut(_sized(large), f"{name}-rings")
     near = first.where("key is null").select("a", "an", "b", "bn").unionByName(_near(live, few, t))
-    links, old = None, [live]
-    for r in itertools.count():
-        many = live.where(F.col("m") > few)
-        sizes = many.select("key", "ring", F.col("m").alias("was")).distinct()
-        if r == 0:
-            far = many.select("key", "ring", *[F.col(f"pivot.{c}").alias(f"a{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")], *[F.col(c).alias(f"b{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")]).where("a < b")
-        else:  # the least ids of a region; each task sends on that many at most
+    many, label, links = live.where(F.col("m") > few).withColumn("label", F.col("id")), None, None
+    side = lambda x: many.select("key", "ring", *[F.col(c).alias(f"{x}{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig", "label")])
+    new = F.col("alabel") != F.col("blabel") if not earlier else F.col("blabel") == F.col("b")
+    for step in range(3):
+        if step == 0:
+            far = many.select("key", "ring", *[F.col(f"pivot.{c}").alias(f"a{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")], *[F.col(c).alias(f"b{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig")]).where(could(t) & (F.col("a") < F.col("b")))
+        elif step == 1:  # the least ids of a region; each task sends on that many at most
             lead = Window.partitionBy("key", "ring").orderBy("a")
-            pivots = _side(many, "a").withColumn("r", F.row_number().over(lead)).where(F.col("r") <= PIVOTS).drop("r")
-            far = _side(many, "b").join(pivots, ["key", "ring"]).where("a < b")
-        pairs = cut(near.unionByName(far.where(could(t)).select("a", "an", "b", "bn")).distinct(), f"{name}-pairs{r}")
-        likely = None
+            pivots = side("a").withColumn("r", F.row_number().over(lead)).where(F.col("r") <= PIVOTS).drop("r")
+            far = side("b").join(pivots, ["key", "ring"]).where(could(t) & new & (F.col("a") < F.col("b")))
+        else:
+            far = _blocks(many, sets_of, t, f"{name}{step}", wide, earlier)
+        far = far.select("a", "an", "b", "bn")
+        pairs = cut((near.unionByName(far) if near else far).distinct(), f"{name}-pairs{step}")
+        likely, near = None, None
         if wide:
-            likely = pairs = cut(_both(pairs, _wide(sets_of(_ids(pairs, f"{name}-wide-ids{r}")))).mapInArrow(_agree(t), pairs.schema), f"{name}-likely{r}")
-        done = cut(verified(_both(pairs, sets_of(_ids(pairs, f"{name}-ids{r}")))).dropDuplicates(["a", "b"]), f"{name}-done{r}")
+            likely = pairs = cut(_both(pairs, _wide(sets_of(_ids(pairs, f"{name}-wide-ids{step}")))).mapInArrow(_agree(t), pairs.schema), f"{name}-likely{step}")
+        done = cut(verified(_both(pairs, sets_of(_ids(pairs, f"{name}-ids{step}")))).where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select("a", "b"), f"{name}-done{step}")
         release(pairs, likely)
-        found = done.where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        live = cut(_sized(_unsettled(far, done, 1 - t[0] / t[1])), f"{name}-round{r}")
+        links = done if links is None else links.unionByName(done)
+        if step == 2:
+            break
+        # regions whose sets are all settled are done
+        label = components(links, f"{name}{step}") if not earlier else links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("least"))
+        own = many.drop("label").join(label, "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least")
+        open_ = own.groupBy("key", "ring").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max((F.col("label") == F.col("id")).cast("int")).alias("free")).where("lo <> hi" if not earlier else "free = 1").select("key", "ring")
+        before, live = live, cut(own.join(open_, ["key", "ring"]), f"{name}-open{step}")
+        release(before)
+        many = live
         if not live.limit(1).count():
-            release(*old, live)
-            return links.distinct()
-        near, before, old = _near(live, few, t), old, [live]
-        if r:  # the first round's one pivot tells little
-            shrunk = cut(live.join(sizes, ["key", "ring"]), f"{name}-shrunk{r}")
-            stuck = (F.col("m") > few) & (4 * F.col("m") > 3 * F.col("was"))
-            near = near.unionByName(_blocks(shrunk.where(stuck).drop("was"), sets_of, t, f"{name}{r}", wide))
-            live = shrunk.where(~stuck).drop("was")
-            old.append(shrunk)
-        release(*before)
+            break
+    release(live)
+    return links.distinct()
 
 
 def with_earlier(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW) -> DataFrame:
@@ -282,31 +284,34 @@ def with_earlier(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
             release(before)
     release(tried)
     if first.where("key is not null").limit(1).count():
-        large = region_links(first.where("key is not null"), sets_of, t, name, few)
+        large = region_links(first.where("key is not null"), sets_of, t, name, few, earlier=True)
         out = out.unionByName(large.select(F.col("b").alias("id")))
     return out.distinct()
 
 
-def _blocks(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, wide: bool) -> DataFrame:
-    """Pairs that may link of whole regions: sets are dealt to blocks by hash, and each two blocks of a region are compared by one task."""
+def _blocks(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, wide: bool, earlier: bool) -> DataFrame:
+    """Pairs that are needed and may link of whole regions: sets are dealt to blocks by hash, and each two blocks of a region are compared by one task."""
     if wide:
         rows = rows.join(_wide(sets_of(cut(rows.select("id").distinct(), f"{name}-block-ids"))).withColumnRenamed("members", "bits"), "id")
     count = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    rows = rows.select("key", "ring", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("one"), "id", "n", "pos", "sig", *["bits"] * wide)
+    rows = rows.withColumn("settled", F.col("label") != F.col("id")).withColumn("own", F.pmod(F.xxhash64("id"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    rows = rows.select("key", "ring", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("one"), "id", "n", "pos", "sig", "settled", F.xxhash64("label").alias("group"), *["bits"] * wide)
     kind = rows.schema["id"].dataType
     schema = StructType().add("a", kind).add("an", "integer").add("b", kind).add("bn", "integer")
+    flags = lambda table, c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
 
-    def compare(group: pa.Table) -> pa.Table:
-        one = np.asarray(group.column("one").combine_chunks().to_numpy(zero_copy_only=False))
-        n, pos, sig = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "sig"))
+    def compare(table: pa.Table) -> pa.Table:
+        one, settled = flags(table, "one"), flags(table, "settled")
+        n, pos, sig, group = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "sig", "group"))
         sig, left = sig.view(U), n - pos
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), U).reshape(len(n), 16) if wide and len(n) else None
-        same = group.column("p")[0] == group.column("q")[0]
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), U).reshape(len(n), 16) if wide and len(n) else None
+        same = table.column("p")[0] == table.column("q")[0]
         mine, others = np.flatnonzero(one), np.flatnonzero(one if same else ~one)
         xs, ys = [], []
         for k, x in enumerate(mine):
             y = others[k + 1 :] if same else others
+            # of two sets that both have an earlier partner, or are in one component, there is nothing to learn
+            y = y[~(settled[y] & settled[x])] if earlier else y[group[y] != group[x]]
             both = n[x] + n[y]
             ok = (np.minimum(left[x], left[y]) * (t[0] + t[1]) >= both * t[0]) & (np.minimum(n[x], n[y]) * t[1] >= np.maximum(n[x], n[y]) * t[0])
             ok &= np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) * (t[0] + t[1]) <= both * (t[1] - t[0])
@@ -317,7 +322,7 @@ def _blocks(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple
             xs.append(np.full(len(y), x))
             ys.append(y)
         x, y = (pa.array(np.concatenate([np.zeros(0, np.int64), *v])) for v in (xs, ys))
-        ids, sizes = group.column("id"), group.column("n")
+        ids, sizes = table.column("id"), table.column("n")
         return pa.table([ids.take(x), sizes.take(x), ids.take(y), sizes.take(y)], names=schema.names)
 
     pairs = rows.groupBy("key", "ring", "p", "q").applyInArrow(compare, schema).where("a <> b")
@@ -372,19 +377,6 @@ def _near(rows: DataFrame, few: int, t: tuple[int, int]) -> DataFrame:
     return _side(rows, "a").join(_side(rows, "b"), ["key", "ring"]).where((F.col("a") < F.col("b")) & could(t)).select("a", "an", "b", "bn")
 
 
-def _unsettled(far: DataFrame, done: DataFrame, eps: float) -> DataFrame:
-    """What a round with pivots a leaves: sets that may be near one which has no link to the same pivot."""
-    dist = done.select("a", "b", (1 - F.col("common") / (F.col("an") + F.col("bn") - F.col("common"))).alias("d"))
-    seen = far.join(dist, ["a", "b"], "left").withColumn("d", F.coalesce("d", F.lit(eps + 1e-9)))
-    pivots = far.select("key", "ring", F.col("a").alias("b")).distinct()
-    seen = seen.join(pivots, ["key", "ring", "b"], "left_anti")
-    # by how far the nearest set without a link to a pivot is away from it
-    out = seen.where(F.col("d") > eps).groupBy("key", "ring", "a").agg(F.min("d").alias("out"))
-    clear = (F.col("d") <= eps) & (F.col("d") < F.coalesce("out", F.lit(9.0)) - eps - 1e-9)
-    stay = seen.join(out, ["key", "ring", "a"], "left").groupBy("key", "ring", F.col("b").alias("id"), F.col("bn").alias("n"), F.col("bpos").alias("pos"), F.col("bsig").alias("sig")).agg(F.max(clear.cast("int")).alias("settled"))
-    return stay.where("settled = 0").drop("settled")
-
-
 def components(links: DataFrame, name: str) -> DataFrame:
     """(id, least): every linked id with the least id that it reaches; each round halves the paths."""
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
