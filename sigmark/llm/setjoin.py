@@ -49,6 +49,8 @@ PIVOTS = 16
 BLOCK = 1024
 #: Entries of a bucket on average, count above which a member is hot, pairs that are looked at together.
 ENTRIES, HOT, PAIRS = 1 << 18, 1 << 16, 1 << 20
+#: Parity bits by which candidate pairs are told apart before their sets are sent.
+WIDE = 1024
 PACKED = "bucket int, ids binary, n binary, pos binary, sig binary, key binary"
 COUNTS = "part int, counts binary"
 
@@ -273,16 +275,16 @@ def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
 def with_earlier(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW) -> DataFrame:
     """The ids that link with a lesser one.  A set's first candidate is verified first, and the others only where it fails."""
     first = cut(first, f"{name}-regions")
-    near, out = first.where("key is null").select("a", "an", "b", "bn"), None
-    tried = cut(near.groupBy("b").agg(F.min(F.struct("a", "an")).alias("x"), F.first("bn").alias("bn")).select("x.a", "x.an", "b", "bn"), f"{name}-tried")
+    pairs = cut(first.where("key is null").select("a", "an", "b", "bn").distinct(), f"{name}-pairs")
+    sets = cut(sets_of(_ids(pairs, f"{name}-ids")), f"{name}-sets")
+    near = cut(_both(pairs, _wide(sets, WIDE // 4)).mapInArrow(_agree(t), pairs.schema), f"{name}-likely")
+    release(pairs)
+    out, tried = None, near.groupBy("b").agg(F.min(F.struct("a", "an")).alias("x"), F.first("bn").alias("bn")).select("x.a", "x.an", "b", "bn")
     for k in range(2):
-        done = cut(verified(_both(tried, sets_of(_ids(tried, f"{name}-ids{k}")))).where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select(F.col("b").alias("id")).distinct(), f"{name}-done{k}")
+        done = cut(verified(_both(tried, sets)).where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select(F.col("b").alias("id")).distinct(), f"{name}-done{k}")
         out = done if out is None else out.unionByName(done)
-        if not k:
-            rest = near.join(done.withColumnRenamed("id", "b"), "b", "left_anti").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            before, tried = tried, cut(rest, f"{name}-rest")
-            release(before)
-    release(tried)
+        tried = near.join(done.withColumnRenamed("id", "b"), "b", "left_anti")
+    release(near, sets)
     if first.where("key is not null").limit(1).count():
         large = region_links(first.where("key is not null"), sets_of, t, name, few, earlier=True)
         out = out.unionByName(large.select(F.col("b").alias("id")))
@@ -338,13 +340,16 @@ def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("b_set")), "b")
 
 
-def _wide(sets: DataFrame) -> DataFrame:
-    """(id, members) with 1024 parity bits in place of the members."""
+def _wide(sets: DataFrame, width: int = WIDE) -> DataFrame:
+    """(id, members) with that many parity bits, a power of two, in place of the members."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [np.packbits((np.bincount((mix(np.frombuffer(x.as_buffer(), U)) >> U(54)).astype(np.int64), minlength=1024) & 1).astype(bool)).tobytes() for x in b.column("members")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(bits, pa.binary())], names=["id", "members"])
+            at = np.concatenate(([0], np.cumsum([x.as_buffer().size // 8 for x in b.column("members")]))).astype(np.int64)
+            members = np.concatenate([np.zeros(0, U), *(np.frombuffer(x.as_buffer(), U) for x in b.column("members"))])
+            place = np.repeat(np.arange(b.num_rows), np.diff(at)) * width + (mix(members) >> U(65 - width.bit_length())).astype(np.int64)
+            odd = np.packbits((np.bincount(place, minlength=b.num_rows * width) & 1).astype(bool)).reshape(b.num_rows, width // 8)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in odd], pa.binary())], names=["id", "members"])
 
     return sets.mapInArrow(each, sets.schema)
 
@@ -356,7 +361,7 @@ def _agree(t: tuple[int, int]):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, 16) for c in ("a_set", "b_set"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("a_set", "b_set"))
             apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
             both = np.asarray(b.column("an")).astype(np.int64) + np.asarray(b.column("bn"))
             keep = pa.array(np.flatnonzero(apart * (t[0] + t[1]) <= both * (t[1] - t[0])))
