@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Models in bank order, and how many parameters each has.
 MODELS = {"lnt": 2, "logistic": 4, "gompertz": 4, "exponential": 3, "scaling": 3, "finke_watzky": 4, "richards": 5, "brain_cousens": 5}
+DOSE_MODELS = {"dr_lnt": 2, "dr_threshold": 3, "dr_hill": 4, "dr_brain_cousens": 5, "dr_scaling": 3}
 CANDIDATES = {"monotonic_fit": ["lnt", "logistic", "gompertz", "richards", "exponential", "scaling", "finke_watzky"], "nonmonotonic_fit": ["lnt", "brain_cousens", "logistic"], "descriptive_only": ["lnt"], "reject": []}
 
 
@@ -29,55 +30,105 @@ def basis(model: Column, p1: Column, p2: Column, p3: Column, x: Column) -> Colum
         .when(model == "exponential", 1 - clipped_exp(-p1 * x))
         .when(model == "scaling", F.pow(F.greatest(x, F.lit(1e-9)), p1))
         .when(model == "finke_watzky", p1 * (e - 1) / (p1 * e + p2))
-        .when(model == "brain_cousens", (1 + p3 * x) / (1 + clipped_exp(p1 * (F.log(F.greatest(x, F.lit(1e-9))) - F.log(p2)))))
+        .when(model.isin("brain_cousens", "dr_brain_cousens"), 1 / (1 + clipped_exp(p1 * (F.log(F.greatest(x, F.lit(1e-9))) - F.log(p2)))))
+        .when(model == "dr_lnt", x)
+        .when(model == "dr_threshold", F.greatest(x - p1, F.lit(0.0)))
+        .when(model == "dr_hill", 1 / (1 + F.pow(p1 / F.greatest(x, F.lit(1e-9)), p2)))
+        .when(model == "dr_scaling", F.pow(F.greatest(x, F.lit(1e-9)), p1))
     )
 
 
+def second(model: Column, g: Column, x: Column) -> Column:
+    """The shape of the third linear term, which one model has: its rise with x."""
+    return F.when(model.isin("brain_cousens", "dr_brain_cousens"), x * g).otherwise(0.0)
+
+
+#: Models whose amplitude must be in 0..3 times the range of y.
+BOUNDED = ["logistic", "gompertz", "richards", "exponential", "finke_watzky"]
+
+
 def candidates() -> list[tuple[str, int, float, float, float]]:
-    """Shape parameters to try, for time scaled to 0..1: about 120 rows, whatever the data."""
+    """Shape parameters to try, for time scaled to 0..1: some 150 rows, whatever the data."""
     log = lambda lo, hi, n: [round(lo * (hi / lo) ** (i / (n - 1)), 6) for i in range(n)]
-    mid = [0.1, 0.25, 0.4, 0.55, 0.7, 0.85]
+    mid = [0.1, 0.25, 0.4, 0.55, 0.7, 0.85, 1.0, 1.25]
     rows = [("lnt", 0.0, 0.0, 1.0)]
-    rows += [(m, k, t0, 1.0) for m in ("logistic", "gompertz") for k in log(4, 64, 5) for t0 in mid]
-    rows += [("richards", k, t0, nu) for k in log(4, 64, 3) for t0 in (0.25, 0.5, 0.75) for nu in (0.5, 2.0)]
+    rows += [(m, k, t0, 1.0) for m in ("logistic", "gompertz") for k in log(2, 128, 7) for t0 in mid]
+    rows += [("richards", k, t0, nu) for k in log(4, 64, 3) for t0 in (0.25, 0.5, 0.75) for nu in (0.25, 0.5, 2.0, 4.0)]
     rows += [("exponential", k, 0.0, 1.0) for k in log(0.5, 16, 6)]
-    rows += [("scaling", n, 0.0, 1.0) for n in (0.25, 0.5, 1.5, 2.0, 3.0)]
+    rows += [("scaling", n, 0.0, 1.0) for n in (-5.0, -2.0, -1.0, -0.5, 0.25, 0.5, 0.75, 1.5, 2.0, 3.0, 5.0)]
     rows += [("finke_watzky", a, b, 1.0) for a in (0.001, 0.01, 0.1) for b in (4.0, 8.0, 16.0)]
-    rows += [("brain_cousens", b, e, f) for b in (2.0, 6.0) for e in (0.3, 0.6) for f in (0.5, 2.0)]
+    rows += [("brain_cousens", b, e, 1.0) for b in (2.0, 4.0, 8.0) for e in (0.3, 0.6, 0.9)]
     return [(m, i, float(a), float(b), float(c)) for i, (m, a, b, c) in enumerate(rows)]
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(candidates(), "model string, candidate int, p1 double, p2 double, p3 double")
+def dose_candidates() -> list[tuple[str, int, float, float, float]]:
+    """Shape parameters of the dose models, for doses scaled to 0..1 by the largest."""
+    share = [0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9]
+    rows = [("dr_lnt", 0.0, 0.0)] + [("dr_threshold", a, 0.0) for a in share] + [("dr_hill", a, h) for a in share for h in (0.5, 1.0, 2.0, 4.0, 8.0)]
+    rows += [("dr_brain_cousens", b, e) for b in (2.0, 4.0, 8.0) for e in (0.3, 0.6, 0.9)] + [("dr_scaling", n, 0.0) for n in (-1.0, -0.5, 0.25, 0.5, 1.5, 2.0, 3.0)]
+    return [(m, i, float(a), float(b), 1.0) for i, (m, a, b) in enumerate(rows)]
 
 
-def fit(points: DataFrame, cands: DataFrame) -> DataFrame:
-    """fits(curve_id, model, candidate, base, amp, sse, n, sst): the best candidate of each model.
+def grid(spark: SparkSession, dose: bool = False) -> DataFrame:
+    return spark.createDataFrame(dose_candidates() if dose else candidates(), "model string, candidate int, p1 double, p2 double, p3 double")
 
-    points has (curve_id, x in 0..1, y).  A curve's points meet the broadcast
-    candidates as one array, so each candidate costs one pass over the array and
-    the shuffle carries each point once.
+
+def profiles(points: DataFrame, cands: DataFrame, keys: list[str]) -> DataFrame:
+    """Every candidate's best base, amp and tilt, with its SSE; points has keys, x in 0..1 and y.
+
+    Each point meets the broadcast candidates in one generated loop and is summed
+    at once, so what is shuffled are sums, one row a curve and candidate and task.
+    y is taken from its curve's mean, so sums don't cancel.
     """
-    arrays = points.groupBy("curve_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("pts"))
-    both = arrays.join(F.broadcast(cands))
-    g = lambda x: basis(F.col("model"), F.col("p1"), F.col("p2"), F.col("p3"), x)
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("g", "y", "gg", "gy", "yy")])
-    add = lambda s, b: F.struct((s["g"] + b["g"]).alias("g"), (s["y"] + b["y"]).alias("y"), (s["gg"] + b["g"] * b["g"]).alias("gg"), (s["gy"] + b["g"] * b["y"]).alias("gy"), (s["yy"] + b["y"] * b["y"]).alias("yy"))
-    sums = both.select("curve_id", "model", "candidate", F.size("pts").cast("double").alias("n"), F.aggregate(F.transform("pts", lambda p: F.struct(g(p["x"]).alias("g"), p["y"].alias("y"))), zero, add).alias("s"))
-    n, s = F.col("n"), F.col("s")
-    det = n * s["gg"] - s["g"] * s["g"]
-    amp = F.when(det > 1e-9, (n * s["gy"] - s["g"] * s["y"]) / det).otherwise(0.0)
-    solved = sums.select("curve_id", "model", "candidate", "n", "s", amp.alias("amp")).withColumn("base", (s["y"] - F.col("amp") * s["g"]) / n)
-    sse = F.greatest(F.lit(0.0), s["yy"] - F.col("base") * s["y"] - F.col("amp") * s["gy"])
-    solved = solved.select("curve_id", "model", "candidate", "n", "amp", "base", F.round(sse, 6).alias("sse"), (s["yy"] - s["y"] * s["y"] / n).alias("sst"))
-    best = solved.groupBy("curve_id", "model").agg(F.min_by(F.struct("candidate", "base", "amp", "sse", "n", "sst"), F.struct("sse", "candidate")).alias("b"))
-    return best.select("curve_id", "model", "b.*")
+    w = Window.partitionBy(*keys)
+    g = basis(F.col("model"), F.col("p1"), F.col("p2"), F.col("p3"), F.col("x"))
+    rows = points.select(*keys, "x", (F.col("y") - F.avg("y").over(w)).alias("y"), F.avg("y").over(w).alias("mean"), (F.max("y").over(w) - F.min("y").over(w)).alias("range"))
+    rows = rows.join(F.broadcast(cands)).withColumn("g", g)
+    rows = rows.withColumn("h", second(F.col("model"), F.col("g"), F.col("x")))
+    total = lambda a, b=None: F.sum(F.col(a) * F.col(b) if b else F.col(a)).alias(a + (b or ""))
+    s = rows.groupBy(*keys, "model", "candidate").agg(F.count("*").cast("double").alias("n"), F.first("mean").alias("mean"), F.first("range").alias("range"), total("g"), total("h"), total("y"), total("g", "g"), total("g", "h"), total("h", "h"), total("g", "y"), total("h", "y"), total("y", "y"))
+    n = F.col("n")
+    mid = lambda a, b: (F.col(a + b) - F.col(a) * F.col(b) / n).alias("s" + a + b)
+    s = s.select(*keys, "model", "candidate", "n", "mean", "range", (F.col("g") / n).alias("gbar"), (F.col("h") / n).alias("hbar"), (F.col("y") / n).alias("ybar"), mid("g", "g"), mid("g", "h"), mid("h", "h"), mid("g", "y"), mid("h", "y"), mid("y", "y"))
+    det = F.col("sgg") * F.col("shh") - F.col("sgh") * F.col("sgh")
+    two = F.col("model").isin("brain_cousens", "dr_brain_cousens") & (det > 1e-9)
+    one = F.when(F.col("sgg") > 1e-9, F.col("sgy") / F.col("sgg")).otherwise(0.0)
+    amp = F.when(two, (F.col("sgy") * F.col("shh") - F.col("shy") * F.col("sgh")) / det).when(F.col("model").isin(BOUNDED), F.greatest(F.lit(0.0), F.least(3 * F.col("range"), one))).otherwise(one)
+    s = s.withColumns({"amp": amp, "tilt": F.when(two, (F.col("shy") * F.col("sgg") - F.col("sgy") * F.col("sgh")) / det).otherwise(0.0)})
+    a, f = F.col("amp"), F.col("tilt")
+    sse = F.col("syy") - 2 * a * F.col("sgy") - 2 * f * F.col("shy") + a * a * F.col("sgg") + 2 * a * f * F.col("sgh") + f * f * F.col("shh")
+    return s.select(*keys, "model", "candidate", "n", "amp", "tilt", (F.col("mean") + F.col("ybar") - a * F.col("gbar") - f * F.col("hbar")).alias("base"), F.round(F.greatest(F.lit(0.0), sse), 6).alias("sse"), F.col("syy").alias("sst"), "gbar", "sgg")
+
+
+FIELDS = ["candidate", "base", "amp", "tilt", "sse", "n", "sst", "gbar", "sgg"]
+
+
+def fit(points: DataFrame, cands: DataFrame, keys: list[str] = ["curve_id"]) -> DataFrame:  # noqa: B006
+    """fits(curve_id, model, candidate, base, amp, tilt, sse, n, sst, ...): the best candidate of each model."""
+    best = profiles(points, cands, keys).groupBy(*keys, "model").agg(F.min_by(F.struct(*FIELDS), F.struct("sse", "candidate")).alias("b"))
+    return best.select(*keys, "model", "b.*")
+
+
+def linear_errors(fits: DataFrame) -> DataFrame:
+    """Standard errors of base and amp of two-term models, from the same sums; null without degrees of freedom."""
+    s2 = F.when(F.col("n") > F.col("p"), F.col("sse") / (F.col("n") - F.col("p")))
+    ok = (F.col("model") != "brain_cousens") & (F.col("sgg") > 1e-9)
+    return fits.withColumns({"se_amp": F.when(ok, F.sqrt(s2 / F.col("sgg"))), "se_base": F.when(ok, F.sqrt(s2 * (1 / F.col("n") + F.col("gbar") * F.col("gbar") / F.col("sgg"))))})
+
+
+def predict(fits: DataFrame, cands: DataFrame, at: DataFrame, x: str = "x") -> DataFrame:
+    """at (curve_id, x, ...) with the fitted value of its curve's fit as ``v``."""
+    f = fits.join(F.broadcast(cands), ["model", "candidate"])
+    rows = at.join(f.select("curve_id", "model", "p1", "p2", "p3", "base", "amp", "tilt"), "curve_id")
+    g = basis(F.col("model"), F.col("p1"), F.col("p2"), F.col("p3"), F.col(x))
+    rows = rows.withColumn("_g", g)
+    return rows.withColumn("v", F.col("base") + F.col("amp") * F.col("_g") + F.col("tilt") * second(F.col("model"), F.col("_g"), F.col(x))).drop("_g", "p1", "p2", "p3", "base", "amp", "tilt")
 
 
 def metrics(fits: DataFrame) -> DataFrame:
     """R2, log-likelihood, AIC, AICc (null when n <= p + 1) and BIC."""
     p = F.lit(None).cast("double")
-    for m, k in MODELS.items():
+    for m, k in {**MODELS, **DOSE_MODELS}.items():
         p = F.when(F.col("model") == m, float(k)).otherwise(p)
     n = F.col("n")
     ll = -0.5 * n * (math.log(2 * math.pi) + F.log(F.greatest(F.col("sse") / n, F.lit(1e-12))) + 1)

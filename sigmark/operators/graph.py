@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Lineage cut by a table in the shared checkpoint folder, so that a lost executor loses nothing."""
     spark: SparkSession = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/sigmark-{uuid.uuid4().hex}"
+    path = f"{where.rstrip('/')}/sigmark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -25,7 +27,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, least): the least id that each node reaches over edges (a, b), in rounds that halve the paths."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = nodes.select("id", F.col("id").alias("least"))
-    for _ in range(100):
+    while True:
         pull = both.join(label.select(F.col("id").alias("b"), "least"), "b").groupBy("a").agg(F.min("least").alias("p")).withColumnRenamed("a", "id")
         step = label.join(pull, "id", "left").select("id", F.col("least").alias("old"), F.least("least", F.coalesce("p", "least")).alias("least"))
         jump = step.join(step.select(F.col("id").alias("least"), F.col("least").alias("f")), "least", "left").select("id", "old", F.least("least", F.coalesce("f", "least")).alias("least"))
@@ -33,19 +35,21 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if not label.where("old <> least").limit(1).count():
             return label.select("id", "least")
         label = label.select("id", "least")
-    raise RuntimeError("components did not settle")
-
-
-def topo_levels(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
-    """(id, level): the longest way from a root; level is null for nodes on a cycle."""
-    level = nodes.select("id", F.lit(0).alias("level"))
-    for k in range(most):
-        up = edges.join(level.select(F.col("id").alias("a"), "level"), "a").groupBy("b").agg((F.max("level") + 1).alias("l")).withColumnRenamed("b", "id")
-        new = cut(level.join(up, "id", "left").select("id", F.col("level").alias("old"), F.greatest("level", F.coalesce("l", "level")).alias("level")))
-        level = new.select("id", "level")
-        if not new.where("old <> level").limit(1).count():
-            return level
-    return level.withColumn("level", F.when(F.col("level") < most, F.col("level")))
+
+
+def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, level): the longest way from a root, by taking away all nodes without a parent, round by round; level is null for nodes on or behind a cycle."""
+    left, arcs, out, level = nodes.select("id"), edges.select("a", "b").distinct(), None, 0
+    while True:
+        free = cut(left.join(arcs.select(F.col("b").alias("id")), "id", "left_anti"))
+        if not free.limit(1).count():
+            rest = left.select("id", F.lit(None).cast("int").alias("level"))
+            return rest if out is None else out.unionByName(rest)
+        done = free.select("id", F.lit(level).alias("level"))
+        out = done if out is None else out.unionByName(done)
+        left = cut(left.join(free, "id", "left_anti"))
+        arcs = cut(arcs.join(free.withColumnRenamed("id", "a"), "a", "left_anti").select("a", "b"))
+        level += 1
 
 
 def diff_tables(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:

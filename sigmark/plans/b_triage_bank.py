@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bank, curves, triage
-from ..operators import regimes as R
 from ..sources.tables import Tables
 from .registry import PTS, SHORT, query, r6, rounded
 
@@ -69,17 +68,29 @@ def d09(t: Tables):
 _MONO = "mono as (select curve_id, t, sum(y) over (partition by curve_id order by t) / sum(y) over (partition by curve_id) as y, case when max(t) over (partition by curve_id) > min(t) over (partition by curve_id) then (t - min(t) over (partition by curve_id)) / (max(t) over (partition by curve_id) - min(t) over (partition by curve_id)) else 0 end as x from (select * from (select *, row_number() over (partition by curve_id, t order by seq) as r from pts) where r = 1))"
 _E = "exp(greatest(-50.0, least(50.0, {0})))"
 _Z = _E.format("-p1 * (x - p2)")
-_BASIS = f"case model when 'lnt' then x when 'logistic' then 1 / (1 + {_Z}) when 'gompertz' then {_E.format('-' + _Z)} when 'richards' then 1 / pow(1 + p3 * {_Z}, 1 / p3) when 'exponential' then 1 - {_E.format('-p1 * x')} when 'scaling' then pow(greatest(x, 1e-9), p1) when 'finke_watzky' then p1 * ({_E.format('(p1 + p2) * x')} - 1) / (p1 * {_E.format('(p1 + p2) * x')} + p2) when 'brain_cousens' then (1 + p3 * x) / (1 + {_E.format('p1 * (ln(greatest(x, 1e-9)) - ln(case when p2 > 0 then p2 else 1 end))')}) end"
+_BC = f"1 / (1 + {_E.format('p1 * (ln(greatest(x, 1e-9)) - ln(case when p2 > 0 then p2 else 1 end))')})"
+_BASIS = f"case model when 'lnt' then x when 'logistic' then 1 / (1 + {_Z}) when 'gompertz' then {_E.format('-' + _Z)} when 'richards' then 1 / pow(1 + p3 * {_Z}, 1 / p3) when 'exponential' then 1 - {_E.format('-p1 * x')} when 'scaling' then pow(greatest(x, 1e-9), p1) when 'finke_watzky' then p1 * ({_E.format('(p1 + p2) * x')} - 1) / (p1 * {_E.format('(p1 + p2) * x')} + p2) when 'brain_cousens' then {_BC} when 'dr_brain_cousens' then {_BC} when 'dr_lnt' then x when 'dr_threshold' then greatest(x - p1, 0) when 'dr_hill' then 1 / (1 + pow(p1 / greatest(x, 1e-9), p2)) when 'dr_scaling' then pow(greatest(x, 1e-9), p1) end"
 _GRID = "grid(model, candidate, p1, p2, p3) as (values " + ", ".join(f"('{m}', {i}, {a!r}::double, {b!r}::double, {c!r}::double)" for m, i, a, b, c in bank.candidates()) + ")"
 _P = "case model " + " ".join(f"when '{m}' then {k}.0" for m, k in bank.MODELS.items()) + " end"
 _ORDER = "case model " + " ".join(f"when '{m}' then {i}" for i, m in enumerate(bank.MODELS)) + " end"
+_BOUND = ", ".join(f"'{m}'" for m in bank.BOUNDED)
+
+
+def bank_sql(table: str, keys: str) -> str:
+    """c: every candidate of the bank on a table of (keys, x, y)."""
+    return f"""q0 as (select {keys}, x, y - avg(y) over (partition by {keys}) as y, avg(y) over (partition by {keys}) as mean, max(y) over (partition by {keys}) - min(y) over (partition by {keys}) as range from {table}),
+q1 as (select *, {_BASIS} as g from q0, grid),
+q2 as (select *, case when model in ('brain_cousens', 'dr_brain_cousens') then x * g else 0 end as h from q1),
+q3 as (select {keys}, model, candidate, count(*)::double as n, any_value(mean) as mean, any_value(range) as range, avg(g) as gbar, avg(h) as hbar, avg(y) as ybar, sum(g * g) - sum(g) * sum(g) / count(*) as sgg, sum(g * h) - sum(g) * sum(h) / count(*) as sgh, sum(h * h) - sum(h) * sum(h) / count(*) as shh, sum(g * y) - sum(g) * sum(y) / count(*) as sgy, sum(h * y) - sum(h) * sum(y) / count(*) as shy, sum(y * y) - sum(y) * sum(y) / count(*) as syy from q2 group by {keys}, model, candidate),
+q4 as (select *, sgg * shh - sgh * sgh as det, case when sgg > 1e-9 then sgy / sgg else 0 end as one from q3),
+q5 as (select *, case when model in ('brain_cousens', 'dr_brain_cousens') and det > 1e-9 then (sgy * shh - shy * sgh) / det when model in ({_BOUND}) then greatest(0, least(3 * range, one)) else one end as amp, case when model in ('brain_cousens', 'dr_brain_cousens') and det > 1e-9 then (shy * sgg - sgy * sgh) / det else 0 end as tilt from q4),
+c as (select *, mean + ybar - amp * gbar - tilt * hbar as base, round(greatest(0, syy - 2 * amp * sgy - 2 * tilt * shy + amp * amp * sgg + 2 * amp * tilt * sgh + tilt * tilt * shh), 6) as sse, syy as sst from q5)"""
+
+
 FITS = f"""with {PTS}, {_MONO}, {_GRID},
-s as (select curve_id, model, candidate, count(*)::double as n, sum(g) as g, sum(y) as y, sum(g * g) as gg, sum(g * y) as gy, sum(y * y) as yy from (select curve_id, y, model, candidate, {_BASIS} as g from mono, grid) group by all),
-a as (select *, case when n * gg - g * g > 1e-9 then (n * gy - g * y) / (n * gg - g * g) else 0 end as amp from s),
-b as (select *, (y - amp * g) / n as base from a),
-c as (select *, round(greatest(0, yy - base * y - amp * gy), 6) as sse, yy - y * y / n as sst from b),
+{bank_sql("mono", "curve_id")},
 best as (select * from (select *, row_number() over (partition by curve_id, model order by sse, candidate) as r from c) where r = 1),
-m0 as (select curve_id, model, candidate, base, amp, sse, sst, n, {_P} as p, -0.5 * n * (ln(2 * pi()) + ln(greatest(sse / n, 1e-12)) + 1) as loglik from best),
+m0 as (select curve_id, model, candidate, base, amp, tilt, gbar, sgg, sse, sst, n, {_P} as p, -0.5 * n * (ln(2 * pi()) + ln(greatest(sse / n, 1e-12)) + 1) as loglik from best),
 m1 as (select *, 1 - sse / greatest(sst, 1e-12) as r2, 2 * p - 2 * loglik as aic, p * ln(n) - 2 * loglik as bic from m0),
 fits as (select *, case when n - p - 1 > 0 then aic + 2 * p * (p + 1) / (n - p - 1) end as aicc, {_ORDER} as ord from m1),
 winner as (select * from (select *, row_number() over (partition by curve_id order by round(aicc, 6), ord) as r from fits where aicc is not null) where r = 1)"""
@@ -146,15 +157,3 @@ def f02(t: Tables):
         c = bank.first_crossing(m, s).select("curve_id", F.lit(s).alias("share"), r6("at").alias("cross_at"))
         out = c if out is None else out.unionByName(c)
     return out
-
-
-
-
-@query("h01_regimes", f"{FITS} select curve_id, case when model in ('logistic', 'gompertz', 'richards', 'finke_watzky') then 'cooperative_sigmoidal' when model = 'brain_cousens' then 'non_monotonic_settling' else 'gradual_non_cooperative' end as regime from winner")
-def h01(t: Tables):
-    return R.regime_of_model(bank.best_by_aicc(fits(t))).select("curve_id", "regime")
-
-
-@query("m07_rollup", f"{FITS}, reg as (select curve_id, case when model in ('logistic', 'gompertz', 'richards', 'finke_watzky') then 'cooperative_sigmoidal' when model = 'brain_cousens' then 'non_monotonic_settling' else 'gradual_non_cooperative' end as regime from winner), dom(regime) as (values ('anomalous_unclassified'), ('cooperative_sigmoidal'), ('gradual_non_cooperative'), ('no_detectable_aggregation'), ('non_monotonic_settling'), ('threshold_driven')) select regime, count(curve_id) as n_curves from dom left join reg using (regime) group by 1")
-def m07(t: Tables):
-    return R.rollup(R.regime_of_model(bank.best_by_aicc(fits(t))))

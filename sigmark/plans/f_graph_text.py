@@ -294,12 +294,6 @@ def y02(t: Tables):
     return t.conditions().where(F.col("protein").isin("Brand#11", "Brand#1")).groupBy("protein").agg(F.array_join(F.sort_array(F.collect_set("assay")), ",").alias("assays"), F.min("curve_id").alias("representative"), F.count("*").alias("n_rows"))
 
 
-@query("y03_curve_overlay", f"{FITS}, w as (select curve_id, base, amp, model, p1, p2, p3 from winner join grid using (model, candidate)) select curve_id, i::integer as i, round(base, 3) as base, round(amp, 3) as amp from w, range(0, 20) r(i)")
-def y03(t: Tables):
-    b = bank.best_by_aicc(fits(t)).select("curve_id", "base", "amp")
-    return b.select("curve_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"), F.round("base", 3).alias("base"), F.round("amp", 3).alias("amp"))
-
-
 @query("y05_series_list", f"with {COND} select distinct protein from (select protein from cond where conc > 40 union select p_brand from part where p_size > 45)")
 def y05(t: Tables):
     return t.conditions().where("conc > 40").select("protein").union(t.part.where("p_size > 45").select("p_brand")).distinct()

@@ -139,9 +139,3 @@ def h08(t: Tables):
 def h09(t: Tables):
     m = tier_of(t).select(F.col("protein").alias("series_id"), F.col("tier").alias("regime"))
     return regimes.series_regime(m).select("series_id", "modal", "n_members", r6("agreement").alias("agreement"))
-
-
-@query("v01_triage_of_batches", f"with {PTS} select curve_id, count(distinct t) as n_points from pts group by 1")
-def v01(t: Tables):
-    """What the stream of points settles at once all files have arrived."""
-    return curves.first_rows(t.points()).groupBy("curve_id").agg(F.count("*").alias("n_points"))
