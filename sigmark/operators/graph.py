@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Lineage cut by a table in the shared checkpoint folder, so that a lost executor loses nothing."""
-    spark: SparkSession = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder that all executors share; in local mode a temporary folder where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/sigmark-{name}-{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/sigmark-{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Lineage cut by a table in the shared checkpoint folder, so that a lost executor loses nothing."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -105,9 +105,12 @@ def a16(t: Tables):
     return curves.index_last(t.orders.select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
 
 
-@query("a17_build_id", "select substr(sha256(string_agg(name || '=' || digest, ';' order by name || '=' || digest)), 1, 12) as build_id from (select n_name as name, md5(n_name || n_regionkey::varchar) as digest from nation)")
+@query("a17_build_id", "select substr(sha256(string_agg(name || '=' || digest, ';' order by name || '=' || digest)), 1, 12) as build_id from (select o_orderpriority || o_orderstatus as name, (bit_xor(('0x' || substr(md5(o_orderkey::varchar || ':' || o_custkey::varchar), 1, 12))::bigint))::varchar as digest from orders group by 1)")
 def a17(t: Tables):
-    return curves.build_id(t.nation.select(F.col("n_name").alias("name"), F.md5(F.concat("n_name", F.col("n_regionkey").cast("string"))).alias("digest")))
+    """Components are the parts of orders; a part's digest sums its rows' digests before the shuffle."""
+    own = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))), 1, 12), 16, 10).cast("long")
+    parts = t.orders.groupBy(F.concat("o_orderpriority", "o_orderstatus").alias("name")).agg(F.bit_xor(own).cast("string").alias("digest"))
+    return curves.build_id(parts)
 
 
 @query("a18_comparable", "select a.o_custkey, count(*) as n from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderpriority = b.o_orderpriority and a.o_orderkey < b.o_orderkey group by 1")

@@ -64,10 +64,14 @@ def p04(t: Tables):
     return s.groupBy("protein", "assay", "study").agg(F.count("*").alias("n"), *[r6(F.avg(c)).alias(c) for c in ("weight", "pooled", "posterior_sd")])
 
 
-@query("p05_pool_stratum", f"with {_U}, s as (select * from u where study % 5 = 0 and raw > 60000), {dl_sql('s', 'protein, assay, study', 'dl')} select protein, assay, study, k, k >= 3 as pooled_here from dl")
+@query("p05_pool_stratum", f"with {_U}, {dl_sql('u', 'protein, assay, study, conc', 'dl')} select protein, assay, study, conc, count(*) as n, count(*) >= 3 as pooled_here, round(avg(case when k >= 3 then tau2 / (tau2 + s2) else 1 end), 6) as weight, round(avg(case when k >= 3 then tau2 / (tau2 + s2) * theta + (1 - tau2 / (tau2 + s2)) * mu else theta end), 6) as pooled from u join dl using (protein, assay, study, conc) group by 1, 2, 3, 4")
 def p05(t: Tables):
-    u = units(t).where((F.col("study") % 5 == 0) & (F.col("raw") > 60000))
-    return pooling.dersimonian_laird(u, [*KEYS, "study"]).select(*KEYS, "study", "k", (F.col("k") >= pooling.LEAST).alias("pooled_here"))
+    """Strata alike in all but the replicate: fewer than three units are not pooled and keep weight 1, flagged."""
+    keys = [*KEYS, "study", "conc"]
+    u = units(t).join(pooling.dersimonian_laird(units(t), keys), keys)
+    enough = F.col("k") >= pooling.LEAST
+    w = F.when(enough, F.col("tau2") / (F.col("tau2") + F.col("s2"))).otherwise(1.0)
+    return u.groupBy(*keys).agg(F.count("*").alias("n"), (F.count("*") >= pooling.LEAST).alias("pooled_here"), r6(F.avg(w)).alias("weight"), r6(F.avg(F.when(enough, w * F.col("theta") + (1 - w) * F.col("mu")).otherwise(F.col("theta")))).alias("pooled"))
 
 
 @query("p06_i_squared", f"{_DL} select protein, assay, round({_I2}, 6) as i2 from dl")

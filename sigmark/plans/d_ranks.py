@@ -35,7 +35,7 @@ def r03(t: Tables):
     return rounded(ranks.correlations(parts(t), "x", "y", "protein"), "pearson", "spearman")
 
 
-_B = 20
+_B = 199
 _PERM = f"reps as (select part, protein, y, draw from pp, range(0, {_B}) r(draw)), pa as (select *, row_number() over (partition by protein order by part) as i from pp), pb as (select protein, draw, y as py, row_number() over (partition by protein, draw order by md5('perm:' || draw || ':' || part), part) as i from reps), drawn as (select protein, draw, corr(x, py) as pr from pa join pb using (protein, i) group by 1, 2), seen as (select protein, corr(x, y) as r from pp group by 1)"
 
 
@@ -101,11 +101,11 @@ def r14(t: Tables):
     return p.groupBy("protein").agg(n(a & b).alias("both"), n(a & ~b).alias("only_x"), n(~a & b).alias("only_y"), n(~a & ~b).alias("neither"), r6(n(a != b) / F.count("*")).alias("rate"))
 
 
-@query("r16_coverage", "with d as (select distinct p_partkey % 100 as k from part), a as (select distinct l_partkey % 100 as k, true as a from lineitem where l_quantity > 45), b as (select distinct user_id % 100 as k, true as b from events) select count(*) as n, count(*) filter (a) as n_a, count(*) filter (b) as n_b, count(*) filter (a and b) as n_both from d left join a using (k) left join b using (k)")
+@query("r16_coverage", "with d as (select distinct p_partkey as k from part), a as (select distinct l_partkey as k, true as a from lineitem where l_quantity > 45), b as (select distinct user_id as k, true as b from events) select count(*) as n, count(*) filter (a) as n_a, count(*) filter (b) as n_b, count(*) filter (a and b) as n_both from d left join a using (k) left join b using (k)")
 def r16(t: Tables):
-    d = t.part.select((F.col("p_partkey") % 100).alias("k")).distinct()
-    a = t.lineitem.where("l_quantity > 45").select((F.col("l_partkey") % 100).alias("k"), F.lit(True).alias("a")).distinct()
-    b = t.events.select((F.col("user_id") % 100).alias("k"), F.lit(True).alias("b")).distinct()
+    d = t.part.select(F.col("p_partkey").alias("k")).distinct()
+    a = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("k"), F.lit(True).alias("a")).distinct()
+    b = t.events.select(F.col("user_id").alias("k"), F.lit(True).alias("b")).distinct()
     j = d.join(a, "k", "left").join(b, "k", "left")
     n = lambda c: F.count(F.when(c, 1))
     return j.agg(F.count("*").alias("n"), n(F.col("a")).alias("n_a"), n(F.col("b")).alias("n_b"), n(F.col("a") & F.col("b")).alias("n_both"))

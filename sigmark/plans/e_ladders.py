@@ -40,12 +40,13 @@ def m03(t: Tables):
     return tier_of(t).withColumn("r", rules).select("part", F.array_join("r", ",").alias("rules"), F.get("r", F.lit(0)).alias("primary_rule"))
 
 
-@query("m04_caveats", f"{LADDER}, c as (select part, unnest([case when no_temp then 0 end, case when no_conc then 2 end, case when no_ph then 1 end, case when no_conc then 3 end]) as impact, unnest(['forced temperature', 'concentration', 'ph', 'concentration']) as text from tier), b as (select part, text, min(impact) as impact from c where impact is not null group by 1, 2), r as (select *, row_number() over (partition by part order by impact, text) as r from b) select part, string_agg(text, '; ' order by impact, text) as caveats from r where r <= 2 group by 1")
+@query("m04_caveats", f"{LADDER}, c as (select part, unnest([case when no_temp then 0 end, case when no_conc then 2 end, case when no_ph then 1 end, case when no_conc then 3 end]) as impact, unnest(['forced temperature', 'concentration', 'ph', 'concentration']) as text from tier), b as (select part, text, min(impact) as impact from c where impact is not null group by 1, 2), r as (select *, row_number() over (partition by part order by impact, text) as r from b) select part, string_agg(text, '; ' order by impact, text) as caveats from r where r <= 2 or text like 'forced%' group by 1")
 def m04(t: Tables):
     item = lambda flag, impact, text: F.when(F.col(flag), F.struct(F.lit(impact).alias("impact"), F.lit(text).alias("text")))
     c = tier_of(t).select("part", F.explode(F.filter(F.array(item("no_temp", 0, "forced temperature"), item("no_conc", 2, "concentration"), item("no_ph", 1, "ph"), item("no_conc", 3, "concentration")), lambda x: x.isNotNull())).alias("c"))
     best = c.groupBy("part", "c.text").agg(F.min("c.impact").alias("impact"))
-    return best.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("impact", "text"))).alias("l")).select("part", F.array_join(F.transform(F.slice("l", 1, 2), lambda x: x["text"]), "; ").alias("caveats"))
+    kept = F.filter("l", lambda x, i: (i < 2) | x["text"].startswith("forced"))  # forced ones are exempt from the cap
+    return best.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("impact", "text"))).alias("l")).select("part", F.array_join(F.transform(kept, lambda x: x["text"]), "; ").alias("caveats"))
 
 
 @query("m06_missingness", f"{LADDER} select part, (no_conc::integer + no_ph::integer + no_temp::integer) as n_missing, concat_ws(',', case when no_conc then 'conc' end, case when no_ph then 'ph' end, case when no_temp then 'temp' end) as fields from tier")

@@ -46,7 +46,7 @@ def g06(t: Tables):
     return resample.mcrit_profile(series(t), "series").select("series", r6("mc").alias("mc"), F.round("sse", 5).alias("sse"), "accepted")
 
 
-_D = 25
+_D = 100
 _DRAW = f"nb as (select *, row_number() over (partition by series order by k, lt, lc) - 1 as i, count(*) over (partition by series) as n from sp), rp as (select series, n, i as slot, draw from nb, range(0, {_D}) r(draw)), pk as (select series, draw, floor(('0x' || substr(md5('gamma:' || draw || ':' || series || ':' || slot), 1, 12))::bigint / 281474976710656.0::double * n)::integer as i from rp), dr as (select pk.series, draw, -regr_slope(lt, lc) as g from pk join nb on pk.series = nb.series and pk.i = nb.i group by 1, 2)"
 
 

@@ -169,11 +169,11 @@ def j06(t: Tables):
     return c.groupBy("protein", "assay").agg(F.count("*").alias("n_rows")).join(known, ["protein", "assay"], "left").withColumn("gamma", F.round("gamma", 5))
 
 
-@query("j08_alias_match", "with a as (select distinct lower(p_type) as name from part), e as (select * from (values ('steel', 'STEEL'), ('promo', 'PROMO BRUSHED TIN'), ('brass', 'brass'), ('copper', 'Plated Copper'), ('nothing', 'unobtainium')) v(entry, alias)), h as (select entry, name, name = lower(alias) as exact from e join a on contains(name, lower(alias))) select entry, name, exact from h where exact or entry not in (select entry from h where exact)")
+@query("j08_alias_match", "with a as (select distinct lower(p_name) as name from part), e as (select * from (values ('bolt', 'Small BOLT'), ('cold', 'cold'), ('widget', 'Widget'), ('gear', 'gear'), ('nothing', 'unobtainium')) v(entry, alias)), h as (select entry, name, name = lower(alias) as exact from e join a on contains(name, lower(alias))) select entry, name, exact from h where exact or entry not in (select entry from h where exact)")
 def j08(t: Tables):
     """Exact lower-case matches of an alias; names that contain it only where there is none.  Aliases are a registry of a few rows."""
-    known = t.spark.createDataFrame([("steel", "STEEL"), ("promo", "PROMO BRUSHED TIN"), ("brass", "brass"), ("copper", "Plated Copper"), ("nothing", "unobtainium")], "entry string, alias string")
-    names = t.part.select(F.lower("p_type").alias("name")).distinct()
+    known = t.spark.createDataFrame([("bolt", "Small BOLT"), ("cold", "cold"), ("widget", "Widget"), ("gear", "gear"), ("nothing", "unobtainium")], "entry string, alias string")
+    names = t.part.select(F.lower("p_name").alias("name")).distinct()
     h = names.join(F.broadcast(known), F.col("name").contains(F.lower("alias"))).select("entry", "name", (F.col("name") == F.lower("alias")).alias("exact"))
     return h.withColumn("any_exact", F.max("exact").over(Window.partitionBy("entry"))).where("exact or not any_exact").drop("any_exact")
 
