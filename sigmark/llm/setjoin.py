@@ -43,6 +43,8 @@ BUCKETS = 1 << 18
 PART = 1 << 13
 #: Regions of at most so many sets are compared whole.
 FEW = 8
+#: Candidate pairs that a set of a region may have on average; a region with more is compared with pivots.
+DENSE = 4
 #: Pivots of a larger region in a round after the first.
 PIVOTS = 16
 #: Sets of a block of a region that pivots don't settle.
@@ -199,27 +201,39 @@ def first_split(packed: DataFrame, id_type: np.dtype, kind: str, t: tuple[int, i
         ids, n, pos, sig, key = (x[by] for x in (ids, n, pos, sig, key))
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(key)))
-        big = np.repeat(size > few, size) | (pos < 0)
-        out = np.flatnonzero(big)
-        for a in range(0, len(out), 1 << 16):
-            x = out[a : a + (1 << 16)]
-            none = [pa.nulls(len(x), k) for k in (_ids_arrow(ids[:0]).type, pa.int32()) * 2]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(key[x].view(np.int64)), _ids_arrow(ids[x]), pa.array(n[x]), pa.array(np.where(pos[x] < 0, -1 - pos[x], pos[x])), pa.array(sig[x].view(np.int64))], names=names)
+        big = size > few
+        if len(head):
+            big |= np.minimum.reduceat(pos, head) < 0
+        code = np.repeat(np.arange(len(head), dtype=np.int64), size)
+        pos = np.where(pos < 0, -1 - pos, pos)
+
+        def rows(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(x), 1 << 16):
+                y = x[a : a + (1 << 16)]
+                none = [pa.nulls(len(y), k) for k in (_ids_arrow(ids[:0]).type, pa.int32()) * 2]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(key[y].view(np.int64)), _ids_arrow(ids[y]), pa.array(n[y]), pa.array(pos[y]), pa.array(sig[y].view(np.int64))], names=names)
+
+        yield from rows(np.flatnonzero(big[code]))
         # partners of an entry follow it in its region, up to the size that may still link
         end = np.repeat(head + size, size)
         n64, left = n.astype(np.int64), (n - pos).astype(np.int64)
-        code = np.repeat(np.arange(len(head), dtype=np.int64), size) * (1 << 32)
-        far = np.minimum(end, np.searchsorted(code + n64, code + n64 * t[1] // t[0], "right"))
+        far = np.minimum(end, np.searchsorted(code * (1 << 32) + n64, code * (1 << 32) + n64 * t[1] // t[0], "right"))
         own = np.arange(len(key))
-        far = np.where(big, own + 1, far)
-        for part in slices(far - own - 1, PAIRS):
-            row, y = spread(own[part] + 1, far[part])
-            x = own[part][row]
+        far = np.where(big[code], own + 1, far)
+        work = np.add.reduceat(far - own - 1, head) if len(head) else head
+        for part in slices(work, PAIRS):
+            some = slice(head[part.start], head[part.stop - 1] + size[part.stop - 1])
+            row, y = spread(own[some] + 1, far[some])
+            x = own[some][row]
             both = n64[x] + n64[y]
             ok = np.minimum(left[x], left[y]) * (t[0] + t[1]) >= both * t[0]
             x, y, both = x[ok], y[ok], both[ok]
             ok = np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) * (t[0] + t[1]) <= both * (t[1] - t[0])
             x, y = _order(ids, x[ok], y[ok])
+            # a region most of whose pairs may link is a group of near copies, and goes on to pivots
+            dense = np.bincount(code[x], minlength=len(head)) > DENSE * size
+            x, y = x[~dense[code[x]]], y[~dense[code[x]]]
+            yield from rows(np.flatnonzero(dense[code[some]]) + some.start)
             none = [pa.nulls(len(x), k) for k in (pa.int64(), _ids_arrow(ids[:0]).type, pa.int32(), pa.int32(), pa.int64())]
             yield pa.RecordBatch.from_arrays([_ids_arrow(ids[x]), pa.array(n[x]), _ids_arrow(ids[y]), pa.array(n[y]), *none], names=names)
 
@@ -286,7 +300,7 @@ def with_earlier(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
         tried = near.join(done.withColumnRenamed("id", "b"), "b", "left_anti")
     release(near, sets)
     if first.where("key is not null").limit(1).count():
-        large = region_links(first.where("key is not null"), sets_of, t, name, few, earlier=True)
+        large = region_links(first.where("key is not null"), sets_of, t, name, FEW, wide=True, earlier=True)
         out = out.unionByName(large.select(F.col("b").alias("id")))
     return out.distinct()
 
