@@ -1,23 +1,32 @@
 """Chat formatting as a prefix tree of conversations.
 
-A conversation is its turns in order of ``turn`` (ties by role, then text).
-Conversations with equal first turns share a path of nodes; a node is known by
-the hash of all turns up to it.  The forest is laid out depth first, in order of
-the nodes' paths, so that each shared turn's formatted text is emitted once.  A
-node has its place in the layout, its length, the position id of its first code
-point (what its ancestors take up), its loss span, and the intervals of its
-ancestors, adjacent ones as one: what it may attend to besides itself.
+A conversation is its turns in order of ``turn`` (nulls first; ties by role, then
+text).  Conversations with equal first turns share a path of nodes; a node is
+known by its depth and the exclusive or of the hashes of all (place, turn) up to
+it, 128 bits, so prefixes are running aggregates.  The forest is laid out depth
+first, and each shared turn's formatted text is emitted once.  A node has its
+place in the layout, its length, the position id of its first code point (what
+its ancestors take up), its loss span, and the intervals of its ancestors,
+adjacent ones as one: what it may attend to besides itself.
+
+A node belongs to the least conversation through it.  What belongs to a
+conversation is a chain, laid out as one block, and hangs on a node of another
+one's block; blocks follow their parent's, those that hang deeper first, which is
+depth-first order with each chain ahead of its branches.  Ways from the root over
+blocks are found by doubling, and offsets are prefix sums over range partitions.
 
 The template is ``[INST] text [/INST]`` for user turns, `` text </s>`` for
 assistant turns, and ``<<role>> text <</role>>`` for others; roles and texts
-escape ``<``, ``>`` and ``[``, which all control strings have, and ``\\\\`` by a
-backslash before them, which ``unescape`` takes back.  Loss is on assistant texts.
+escape ``<``, ``>`` and ``[``, which all control strings have, and ``\\`` by a
+backslash before them, which ``unescape`` takes back.  Loss is on assistant
+texts.  Places and lengths are in code points.
 
 Null role or text is empty.  Repeated turns are turns.  A conversation whose id
 is null is left out.  Extra columns are ignored.
 
-Offsets come from a range-partitioned sort and the partitions' totals, so one
-first turn, or one conversation, with a third of all rows is no hot group.
+Turns are sorted in range partitions of (conv_id, turn), whose totals are joined
+back, so one conversation with a third of all rows is no hot group; reading back
+hashes each conversation as a stream.
 """
 
 from __future__ import annotations
@@ -30,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, release
 
 # What opens and closes a turn, by role.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
@@ -60,99 +69,140 @@ def parse(formatted: str) -> tuple[str, str]:
     return unescape(role), unescape(formatted[len(role) + 5 : len(formatted) - len(role) - 6])
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _ahead(totals: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """For each partition of a key, aggregates over the key's earlier partitions: as many rows as partitions hold a key."""
+    w = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("part", key, *[F.coalesce(f.over(w), F.lit(0)).alias(name) for name, f in sums.items()])
+
+
 def turns(conversations: DataFrame) -> DataFrame:
-    """One row a turn: conv_id, k (from 0), path (hashes of the prefixes up to it), role, text."""
-    rows = conversations.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.md5(F.concat_ws("\n", F.sha2("role", 256), F.sha2("text", 256))))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text", "h")
-    rows = rows.withColumn("k", F.row_number().over(order) - 1)
-    lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("hs"))
-    chain = F.aggregate("hs", F.array().cast("array<string>"), lambda acc, x: F.concat(acc, F.array(F.md5(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")), x["h"])))))
-    paths = lists.select("conv_id", chain.alias("path"))
-    return rows.join(paths, "conv_id").select("conv_id", "k", "role", "text", F.get("path", F.col("k")).alias("node"), F.when(F.col("k") > 0, F.get("path", F.col("k") - 1)).alias("parent"), F.get("path", F.lit(0)).alias("root"))
-
-
-def forest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes, and the steps (conv_id, k, node) of each conversation.
-
-    node, parent, depth, formatted, length, loss_from, loss_to, position, at
-    (place in the layout).
-    """
-    rows = cut(rows, "chat-turns")
-    role, text = F.col("role"), F.col("text")
-    body = escape(text)
-    first = rows.groupBy("node").agg(F.first("parent").alias("parent"), F.min("k").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
-    shaped = first.select("node", "parent", "depth", F.concat(_mark(role, 0), body, _mark(role, 1)).alias("formatted"), F.length(_mark(role, 0)).alias("head"), F.length(body).alias("body"), (role == "assistant").alias("learn"))
-    nodes = cut(shaped.select("node", "parent", "depth", "formatted", F.length("formatted").cast("long").alias("length"), F.when(F.col("learn"), F.col("head")).alias("loss_from"), F.when(F.col("learn"), F.col("head") + F.col("body")).alias("loss_to")), "chat-nodes")
-    return nodes, rows.select("conv_id", "k", "node")
-
-
-def layout(nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """nodes with position (code points of their ancestors), at (offset in the depth-first layout) and ancestors (intervals of the layout)."""
-    spark = nodes.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = steps.join(nodes.select("node", "length"), "node")
-    line = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    one = sizes.withColumn("key", F.concat_ws("/", F.collect_list("node").over(line), F.col("node"))).withColumn("position", F.coalesce(F.sum("length").over(line), F.lit(0)))
-    own = one.groupBy("node").agg(F.first("key").alias("key"), F.first("position").alias("position"), F.first("length").alias("length"))
-    ranged = cut(own.repartitionByRange(n, "key").withColumn("part", F.spark_partition_id()), "chat-ranges")
-    total = ranged.groupBy("part").agg(F.sum("length").alias("size"))
-    before = total.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn("inner", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(F.broadcast(before), "part").select("node", "position", "length", (F.col("before") + F.col("inner")).alias("at"))
+    """One row a turn: conv_id, k (from 0), node, parent, formatted, length, loss_from, loss_to, position."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = conversations.where("conv_id is not null").select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    body = escape(F.col("text"))
+    rows = rows.select("*", F.concat(_mark(F.col("role"), 0), body, _mark(F.col("role"), 1)).alias("formatted"), F.length(_mark(F.col("role"), 0)).alias("head"), F.length(body).alias("body"))
+    rows = rows.withColumn("length", F.length("formatted").cast("long"))
+    ranged = cut(rows.repartitionByRange(_parts(rows), "conv_id", "turn").withColumn("part", F.spark_partition_id()), "chat-ranges")
+    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    own = Window.partitionBy("part", "conv_id").orderBy(*order)
+    count = ranged.groupBy("part", "conv_id").agg(F.count("*").alias("n"), F.sum("length").alias("size"))
+    before = _ahead(count, "conv_id", {"k0": F.sum("n"), "p0": F.sum("size")})
+    numbered = ranged.withColumn("k", F.row_number().over(own) - 1).join(before, ["part", "conv_id"]).withColumn("k", F.col("k") + F.col("k0"))
+    numbered = cut(numbered.withColumns({"f": F.xxhash64("k", "role", "text"), "g": F.xxhash64(F.lit("second"), "k", "role", "text")}), "chat-numbered")
+    xors = _ahead(numbered.groupBy("part", "conv_id").agg(F.bit_xor("f").alias("f"), F.bit_xor("g").alias("g")), "conv_id", {"f0": F.bit_xor("f"), "g0": F.bit_xor("g")})
+    upto = Window.partitionBy("part", "conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = numbered.join(xors, ["part", "conv_id"])
+    rows = rows.withColumns({"x": F.bit_xor("f").over(upto).bitwiseXOR(F.col("f0")), "y": F.bit_xor("g").over(upto).bitwiseXOR(F.col("g0")), "position": F.sum("length").over(upto) - F.col("length") + F.col("p0")})
+    name = lambda k, x, y: F.concat_ws(":", k, x, y)
+    node = name(F.col("k"), F.col("x"), F.col("y"))
+    parent = F.when(F.col("k") > 0, name(F.col("k") - 1, F.col("x").bitwiseXOR(F.col("f")), F.col("y").bitwiseXOR(F.col("g"))))
+    learn = F.col("role") == "assistant"
+    return rows.select("conv_id", "k", node.alias("node"), parent.alias("parent"), "formatted", "length", F.when(learn, F.col("head")).alias("loss_from"), F.when(learn, F.col("head") + F.col("body")).alias("loss_to"), "position")
+
+
+def forest(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes, each with the least conversation through it (lead), and the steps (conv_id, k, node) of each conversation."""
+    rows = cut(turns(conversations), "chat-turns")
+    rest = ["parent", "formatted", "length", "loss_from", "loss_to", "position"]
+    nodes = rows.groupBy("node").agg(F.min("conv_id").alias("lead"), F.min("k").alias("depth"), *[F.first(c).alias(c) for c in rest])
+    return cut(nodes, "chat-nodes"), rows.select("conv_id", "k", "node")
+
+
+def blocks(nodes: DataFrame) -> DataFrame:
+    """One row a conversation that nodes belong to: conv, size, start, the node it hangs on, and the way of blocks from the root."""
+    own = nodes.groupBy(F.col("lead").alias("conv")).agg(F.sum("length").alias("size"), F.min_by(F.struct("depth", "parent", "position"), "depth").alias("s"))
+    own = own.select("conv", "size", F.col("s.depth").alias("start"), F.col("s.parent").alias("hook"), F.col("s.position").alias("position"))
+    above = nodes.select(F.col("node").alias("hook"), F.col("lead").alias("up"))
+    step = F.array(F.struct((-F.col("start")).alias("deep"), F.col("conv").alias("conv")))
+    way = cut(own.join(above, "hook", "left").select("conv", "size", "start", "hook", "position", "up", step.alias("way")), "chat-blocks")
+    while way.where("up is not null").limit(1).count():
+        higher = way.select(F.col("conv").alias("up"), F.col("up").alias("_up"), F.col("way").alias("_way"))
+        joined = way.join(higher, "up", "left")
+        longer = joined.select("conv", "size", "start", "hook", "position", F.col("_up").alias("up"), F.when(F.col("_way").isNull(), F.col("way")).otherwise(F.concat("_way", "way")).alias("way"))
+        before, way = way, cut(longer, "chat-ways")
+        release(before)
+    return way
+
+
+def layout(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv, offset) of each block in the depth-first layout, and the blocks."""
+    made = blocks(nodes)
+    ranged = cut(made.repartitionByRange(_parts(made), "way").withColumn("part", F.spark_partition_id()), "chat-order")
+    total = ranged.groupBy("part").agg(F.sum("size").alias("size")).withColumn("_one", F.lit(1))
+    before = _ahead(total, "_one", {"before": F.sum("size")}).drop("_one")
+    inside = Window.partitionBy("part").orderBy("way").rowsBetween(Window.unboundedPreceding, -1)
+    offset = ranged.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(before), "part")
+    return cut(offset.select("conv", "position", (F.col("before") + F.col("inner")).alias("offset")), "chat-offsets"), made
 
 
 def merged(spans: Column) -> Column:
     """Sorted intervals (from, to), adjacent ones as one."""
     kind = "array<struct<from:bigint,to:bigint>>"
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
     return F.aggregate(
         spans, F.array().cast(kind),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["to"] == s["from"]),
-                              F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.get(acc, F.size(acc) - 1)["from"].alias("from"), s["to"].alias("to"))))).otherwise(F.concat(acc, F.array(s))),
+        lambda acc, s: F.when((F.size(acc) > 0) & (last(acc)["to"] == s["from"]),
+                              F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["from"].alias("from"), s["to"].alias("to"))))).otherwise(F.concat(acc, F.array(s))),
     )
 
 
 def format_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes of the forest, each emitted once, and the conversations as ways through it.
 
-    Conversations have steps, the nodes' places in order, and intervals, the
-    layout's parts that their last turn attends to.  A node's own ancestors are
-    the parts of any of its conversations before the node's own place.
+    Nodes: node, parent, depth, formatted, length, loss_from, loss_to, position,
+    at (place in the layout) and ancestors (intervals of the layout).  Ways: one
+    row a turn (conv_id, k, at).  A node attends to its own block before it, and
+    to the parts of other blocks above the places where blocks hang.
     """
-    nodes, steps = forest(turns(conversations))
-    placed = cut(layout(nodes, steps), "chat-layout")
-    spans = steps.join(placed, "node").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "at", "length"))).alias("s"))
-    ways = spans.select("conv_id", F.transform("s", lambda x: x["at"]).alias("steps"), merged(F.transform("s", lambda x: F.struct(x["at"].alias("from"), (x["at"] + x["length"]).alias("to")))).alias("intervals"))
-    lead = steps.groupBy("node").agg(F.min("conv_id").alias("conv_id"))
-    attend = lead.join(ways.select("conv_id", "intervals"), "conv_id").select("node", "intervals")
-    out = nodes.join(placed.drop("length"), "node").join(attend, "node").withColumn(
-        "ancestors", F.filter(F.transform("intervals", lambda i: F.struct(i["from"].alias("from"), F.least(i["to"], F.col("at")).alias("to"))), lambda i: i["to"] > i["from"])
-    )
-    return out.drop("intervals"), ways
+    nodes, steps = forest(conversations)
+    offsets, made = layout(nodes)
+    # within its block, a node lies as far from the start as positions say
+    placed = nodes.join(offsets.select(F.col("conv").alias("lead"), "offset", F.col("position").alias("base")), "lead")
+    placed = cut(placed.withColumn("at", F.col("offset") + F.col("position") - F.col("base")), "chat-layout")
+    hooks = made.where("hook is not null").select("conv", F.col("hook").alias("node")).join(placed.select("node", F.col("offset").alias("from"), (F.col("at") + F.col("length")).alias("to")), "node").select("conv", "from", "to")
+    ways = made.select(F.col("conv").alias("lead"), F.explode("way").alias("w")).select("lead", F.col("w.conv").alias("conv"))
+    spans = ways.join(hooks, "conv").groupBy("lead").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("above"))
+    none = F.array().cast("array<struct<from:bigint,to:bigint>>")
+    out = placed.join(spans, "lead", "left").withColumn("above", F.coalesce("above", none))
+    own = F.when(F.col("at") > F.col("offset"), F.array(F.struct(F.col("offset").alias("from"), F.col("at").alias("to")))).otherwise(none)
+    out = out.withColumn("ancestors", merged(F.concat("above", own)))
+    return out.select("node", "parent", "depth", "formatted", "length", "loss_from", "loss_to", "position", "at", "ancestors"), steps.join(placed.select("node", "at"), "node").select("conv_id", "k", "at")
 
 
 def read_back(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """Each conversation out of the emitted nodes: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    steps = ways.select("conv_id", F.posexplode("steps").alias("k", "at"))
-    rows = steps.join(nodes.where("length > 0").select("at", "formatted", "loss_from", "loss_to"), "at")
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "formatted", "loss_from", "loss_to"))).alias("t"))
+    rows = ways.join(nodes.where("length > 0").select("at", "formatted", "loss_from", "loss_to"), "at")
+    rows = rows.select("conv_id", "k", "formatted", "loss_from", "loss_to").repartition(_parts(ways), "conv_id").sortWithinPartitions("conv_id", "k")
+    kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Turns come in order; a conversation is done when another begins."""
+        now, every, loss, n, size, count = None, sha256(), sha256(), 0, 0, 0
         for b in batches:
             out = []
-            for conv, t in zip(b.column("conv_id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                every, loss, n, size = sha256(), sha256(), 0, 0
-                for x in t:
-                    role, text = parse(x["formatted"])
-                    every.update(f"{role}\n{text}\n".encode())
-                    size += len(x["formatted"])
-                    if x["loss_from"] is not None:
-                        learn = unescape(x["formatted"][x["loss_from"] : x["loss_to"]])
-                        loss.update(learn.encode())
-                        n += len(learn)
-                out.append((conv, len(t), every.hexdigest(), n, loss.hexdigest(), size))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return convs.mapInArrow(each, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            for conv, formatted, lo, hi in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_from", "loss_to")), strict=True):
+                if conv != now:
+                    if count:
+                        out.append((now, count, every.hexdigest(), n, loss.hexdigest(), size))
+                    now, every, loss, n, size, count = conv, sha256(), sha256(), 0, 0, 0
+                role, text = parse(formatted)
+                every.update(f"{role}\n{text}\n".encode())
+                size, count = size + len(formatted), count + 1
+                if lo is not None:
+                    learn = unescape(formatted[lo:hi])
+                    loss.update(learn.encode())
+                    n += len(learn)
+            yield _table(out, kinds)
+        if count:
+            yield _table([(now, count, every.hexdigest(), n, loss.hexdigest(), size)], kinds)
+
+    return rows.mapInArrow(each, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))

@@ -109,3 +109,56 @@ def test_chat(spark):
         assert n["at"] == at and sum(i["to"] - i["from"] for i in n.ancestors) == n.position
         at += n.length
     assert chat.read_back(*chat.format_tree(d.where("false"))).collect() == []
+
+
+def test_long_conversations_take_linear_time(spark):
+    """50,000 turns, beside another that shares half of them, and one that branches off near the end."""
+    n = 50_000
+    text = lambda k: f"t{k} " + "x" * (k % 7)
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", text(k) if k < m else f"own {c} {k}") for c, m in ((0, n), (1, n // 2), (2, n - 3)) for k in range(n)]
+    import pandas as pd
+
+    d = spark.createDataFrame(pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    nodes, ways = chat.format_tree(d)
+    assert nodes.count() == n + n // 2 + 3
+    got = {r.conv_id: r for r in chat.read_back(nodes, ways).collect()}
+    for c in range(3):
+        mine = [r[2:] for r in rows if r[0] == c]
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
+        assert got[c].loss_chars == sum(len(t) for r, t in mine if r == "assistant")
+
+
+# Pages whose main text is known, in layouts that training does not draw: {a}, {b}, {d} are paragraphs, {h} and {c} short, the rest is none of it.
+LAYOUTS = [
+    ("h a c b d", '<nav><ul><li><a href="/">{n}</a></li><li><a href="/x">{n}</a></li></ul></nav><article><h1>{h}</h1><p>{a}</p><table><tr><td>{c}</td><td>{b}</td></tr></table><pre>{d}</pre></article><footer>{f}</footer>'),
+    ("h a b d", '<div class="menu"><a href="/">{n}</a></div><div class="txt"><h1>{h}</h1><p>{a}</p><p>{b}</p><p>{d}</p></div><div class="footer">{f}</div>'),
+    ("h a b d", '<header><p>{n}</p></header><table><tr><td class="left"><ul class="menu"><li><a href="/">{n}</a></li></ul></td><td><h2>{h}</h2><p>{a}</p><p>{b}</p><p>{d}</p></td></tr></table><footer><p>{f}</p></footer>'),
+    ("h a c b d", '<header class="site-header">{n}</header><main><h1>{h}</h1><p>{a}</p><ul><li>{c}</li><li>{b}</li></ul><blockquote>{d}</blockquote></main><aside><p>{f}</p></aside>'),
+    ("h a b d", '<main><article><h1>{h}</h1><p>{a}</p><p>{b}</p><p>{d}</p></article><div class="comments"><p>{n}</p><div class="comment"><p>{f}</p></div></div></main>'),
+]
+
+
+def test_extraction_of_pages_and_layouts_held_out(spark):
+    """Trained on one part of the pages, held to the markup of the others, and to written truths."""
+    from tests.conftest import DATA
+
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").orderBy("page_id").collect()]
+    half = len(pages) // 2
+    model = html.Labeller().fit(html.training(pages[:half]))
+
+    def text(page):
+        read = html.blocks(page)
+        x, mask = html.padded([html.vectors(read, {})])
+        return "\n\n".join(b.text for b, yes in zip(read, model.scores(x, mask)[:, 0] > 0, strict=True) if yes)
+
+    others = pages[half:]
+    right = [text(p) == "\n\n".join(b.text for b in html.blocks(p) if html.looks_main(b.path)) for p in others]
+    assert sum(right) >= 0.97 * len(right)
+    words = [b.text.replace("<", "").replace("&", "") for p in others for b in html.blocks(p) if html.looks_main(b.path) and len(b.text) > 60]
+    rng, good, tried = np.random.default_rng(3), 0, 0
+    for keys, layout in LAYOUTS:
+        for _ in range(20):
+            v = {k: words[rng.integers(len(words))] for k in "abdf"} | {k: " ".join(words[rng.integers(len(words))].split()[:4]) for k in "hcn"}
+            good += text(f"<html><head><title>{v['h']}</title></head><body>{layout.format(**v)}</body></html>") == "\n\n".join(" ".join(v[k].split()) for k in keys.split())
+            tried += 1
+    assert good >= 0.9 * tried
