@@ -30,8 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Training pages at most, and sizes of the vectors and of the LSTM's state.
-TRAIN, PATHS, WORDS, HIDDEN = 200, 96, 24, 16
+#: Training pages at most, blocks and main paragraphs of each that are trained on, and sizes of the vectors and of the LSTM's state.
+TRAIN, BLOCKS, BODY, PATHS, WORDS, HIDDEN = 200, 80, 20, 96, 24, 16
+#: Pages laid out anew at least.
+LEAST = 600
 MEASURES = 6
 
 # Tags by what they do to text.
@@ -41,7 +43,9 @@ OPEN = {"svg", "object", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FRAMES = ['<article>{}</article>', '<main>{}</main>', '<div class="content">{}</div>', '<div id="main-content">{}</div>', '<section class="post">{}</section>', '<div class="entry-content">{}</div>', '<div class="article-body"><div>{}</div></div>', '<div role="main" id="story">{}</div>', '<main><article class="post">{}</article></main>']
+FRAMES = ['<article>{}</article>', '<main>{}</main>', '<div class="content">{}</div>', '<div id="main-content">{}</div>', '<section class="post">{}</section>', '<div class="entry-content">{}</div>', '<div class="article-body"><div>{}</div></div>', '<div role="main" id="story">{}</div>', '<main><article class="post">{}</article></main>', '<div class="txt">{}</div>', '<div>{}</div>', '<table><tr><td>{}</td></tr></table>', '{}', '<div class="page"><div class="col">{}</div></div>']
+# how a paragraph of main text may be marked up
+PARTS = ['<p>{t}</p>', '<p>{t}</p>', '<p>{t}</p>', '<ul><li>{t}</li><li>{s}</li></ul>', '<blockquote>{t}</blockquote>', '<table><tr><th>{s}</th><th>{s}</th></tr><tr><td>{s}</td><td>{t}</td></tr></table>', '<pre>{t}</pre>', '<h2>{s}</h2><p>{t}</p>', '<div>{t}</div>', '<dl><dt>{s}</dt><dd>{t}</dd></dl>', '<figure><figcaption>{s}</figcaption></figure>']
 FURNITURE = ['<nav><ul>{li}</ul></nav>', '<ul class="menu">{li}</ul>', '<header><div class="logo">{t}</div></header>', '<header class="site-header"><p>{t}</p></header>', '<aside><p>{p}</p><p>{t}</p></aside>', '<div class="sidebar"><h3>{t}</h3><p>{p}</p></div>', '<div class="ad">{t}</div>', '<div class="advert"><p>{p}</p></div>', '<div class="promo banner">{p}</div>', '<div class="cookie-notice"><p>{p}</p></div>', '<div class="notice">{p}</div>', '<form><label>{t}</label><p>{t}</p><button>{t}</button></form>', '<div class="comments"><h2>{t}</h2><div class="comment"><p>{p}</p></div><div class="comment"><p>{p}</p></div></div>', '<section id="comments"><p>{p}</p><p>{p}</p></section>', '<div class="related"><ul>{li}</ul></div>', '<div class="newsletter">{t}</div>', '<div class="share">{t}</div>', '<footer><p>{p}</p></footer>', '<footer>{t}</footer>', '<div class="footer">{t}</div>']
 MAIN_TAGS = {"article", "main"}
 OTHER_TAGS = {"head", "title", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog"}
@@ -249,17 +253,19 @@ def vectors(page: list[Block], cache: dict) -> np.ndarray:
     return np.array([vector(b, i, len(page), cache) for i, b in enumerate(page)], np.float32).reshape(-1, SIZE)
 
 
-def training(pages: list[str], seed: int = 7, again: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Vectors and labels of pages, as they are and laid out anew; blocks past the 80th are left to use, not to training."""
+def training(pages: list[str], seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors and labels of pages, as they are where their markup tells what is main, and laid out anew; blocks past BLOCKS are left to use, not to training."""
     rng, cache = np.random.default_rng(seed), {}
     read = [b for b in map(blocks, pages) if b]
-    out = [(vectors(b[:80], cache), np.array([looks_main(x.path) for x in b[:80]], np.float32)) for b in read]
+    marked = [b for b in read if any(looks_main(x.path) for x in b)]
+    out = [(vectors(b[:BLOCKS], cache), np.array([looks_main(x.path) for x in b[:BLOCKS]], np.float32)) for b in marked]
     texts = [x.text for b in read for x in b if len(x.text) > 20] or ["text"]
     pick = lambda: texts[rng.integers(len(texts))].replace("<", "").replace("&", "")
-    for _ in range(again):
+    for _ in range(max(3, -(-LEAST // max(1, len(read))))):
         for b in read:
-            body = [x.text.replace("<", "").replace("&", "") for x in b if looks_main(x.path)][:20] or [pick()]
-            inner = f"<h1>{body[0][:80]}</h1>" + "".join(f"<p>{t}</p>" if rng.random() < 0.8 else f"<ul><li>{t}</li></ul>" if rng.random() < 0.5 else f"<blockquote>{t}</blockquote>" for t in body)
+            body = [x.text.replace("<", "").replace("&", "") for x in b if looks_main(x.path)][:BODY] or [pick() for _ in range(3)]
+            part = lambda t: PARTS[rng.integers(len(PARTS))].replace("{t}", t).replace("{s}", pick()[:40])
+            inner = f"<h1>{body[0][:80]}</h1>" + "".join(map(part, body))
             some = [FURNITURE[i] for i in rng.permutation(len(FURNITURE))[: rng.integers(3, 8)]]
             made = [f.replace("{li}", "".join(f"<li><a href='/'>{pick()[:25]}</a></li>" for _ in range(4))) for f in some]
             made = [re.sub(r"\{([tp])\}", lambda m: pick()[: 40 if m[1] == "t" else 400], f) for f in made]
@@ -274,7 +280,7 @@ def training(pages: list[str], seed: int = 7, again: int = 2) -> list[tuple[np.n
                     on, x.text = False, x.text.replace("@@2", "")
                 label.append(here and bool(x.text))
             keep = [k for k, x in enumerate(page) if x.text]
-            page, label = [page[k] for k in keep][:80], np.array([label[k] for k in keep][:80], np.float32)
+            page, label = [page[k] for k in keep][:BLOCKS], np.array([label[k] for k in keep][:BLOCKS], np.float32)
             out.append((vectors(page, cache), label))
     return out
 

@@ -31,14 +31,15 @@ SPACE = 32
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """True at the code points of letters and of the marks within words."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+    """At each code point 2 for letters, 1 for the marks within words, else 0."""
+    return np.array(["-ML".find(unicodedata.category(chr(c))[0]) for c in range(0x110000)], np.int8).clip(0)
 
 
 def symbols(text: str) -> np.ndarray:
     """Code points of the lower-cased text, each run of non-letters as one space, with a space at either end."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    c = np.where(_letters()[c], c, SPACE)
+    kind = _letters()[c]
+    c = np.where(kind > 0, c, SPACE) if (kind == 2).any() else c[:0]
     c = np.concatenate(([SPACE], c, [SPACE]))
     keep = np.append(True, (c[1:] != SPACE) | (c[:-1] != SPACE))
     return c[keep].astype(np.uint64)
@@ -94,7 +95,11 @@ class Profiles:
 
 def learn(train: DataFrame, ranks: int = RANKS, sample: int = SAMPLE) -> Profiles:
     """Profiles from (doc_id, text, lang); counting is a Spark job, ranks n-grams a language reach the driver."""
-    chosen = train.where("lang is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    known = train.where("lang is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # a share of each language's documents that holds its sample, so that no task gets all of a language
+    size = known.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.col("h").cast("double") / 2.0**64 + 0.5
+    chosen = known.join(F.broadcast(size), "lang").where(share * F.col("n") <= sample + 6 * sample**0.5 + 20).drop("n")
     chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= sample).select("doc_id", "lang")
     texts = train.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
