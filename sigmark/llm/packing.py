@@ -3,8 +3,11 @@
 Each task tokenizes its documents and packs their pieces best-fit decreasing.
 Bins that are nearly full are done.  The others go up a tree: in each round some
 neighbouring tasks' bins meet as items of one best-fit round.  After a best-fit
-round at most one bin is half empty, so what goes up is little; a node hands on
-the emptiest bins, at most CARRY of them, and the others are done as they are.
+round at most one bin is half empty, and two bins that are more than half full
+never fit together, so all that a node can save is to put the half-empty bins of
+its children, FAN at most, into others.  For each of those the emptiest of the
+other bins does whenever any does, so handing on the emptiest ones, CARRY of them
+and far more than FAN, loses no sequence; the others are done as they are.
 
 Null or empty text is one token, the end mark.  Repeated rows are packed one by
 one, since each is data.  Extra columns are ignored.
@@ -52,7 +55,7 @@ def encoder(path: str):
     def encode(text: str) -> np.ndarray:
         try:
             return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
-        except Exception:  # its pattern engine gives up on some very long runs
+        except ValueError:  # its pattern engine gives up on some very long runs
             return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode

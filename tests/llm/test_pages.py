@@ -32,10 +32,18 @@ def test_urls(spark):
 def test_digests_that_collide(spark):
     name = urls.publish(spark, [("block", "a.com", "/")], ["b.org"])
     table = urls.Digests(name)
-    table.text = [("other", k) for _, k in table.text]
+    assert table.probe(["a.com/", "b.org/", "c.org/"]) == [urls.BLOCK, urls.LISTED, None]
+    table.entry = lambda k: "other"
     assert table.probe(["a.com/", "b.org/"]) == [None, None]
 
 
+def test_listed_entries_from_a_table(spark):
+    listed = spark.createDataFrame([("bad.org",), ("good.org/x",), ("bad.org",), (None,), ("com",)], "host string")
+    pages = spark.createDataFrame([(0, "http://a.bad.org/q"), (1, "http://good.org/xy"), (2, "http://good.org/z"), (3, "http://x.com/"), (4, "http://" + "a." * 300 + "bad.org/" + "p" * 5000)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, queries.URL_RULES, listed).collect()}
+    assert got == {0: (None, "block"), 1: (None, "block"), 2: (None, "allow"), 3: ("com/", "allow"), 4: (None, "block")}
+
+
 def test_blocks():
     page = "<p>One &amp; <b>two</b><br>three<p>four<script>var x='</p>';</script><!-- no --><ul><li>a<li>b</ul>tail &lt;"
     assert [b.text for b in html.blocks(page)] == ["One & two three", "four", "a", "b", "tail <"]
