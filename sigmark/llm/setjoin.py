@@ -15,7 +15,7 @@ gives right results, so the order may come from a bounded table of counts.
 * Larger regions go on as rows.  A region is split by rings of set size, the
   distance to the empty set; a set visits the ring above its own.
 * In a large region's ring the sets with the least ids are pivots and are
-  compared with the others, first one, then PIVOTS.  A pair is needed only while
+  compared with the others, first one, then PIVOTS of them.  A pair is needed only while
   it may tell something new: for components, while the two sets are in different
   ones; to know whether a set has an earlier partner, while it has none yet.  So a
   large group of near copies is settled by its pivots, and what is left of it is
@@ -46,7 +46,7 @@ FEW = 8
 #: Candidate pairs that a set of a region may have on average; a region with more is compared with pivots.
 DENSE = 4
 #: Pivots of a larger region in a round after the first.
-PIVOTS = 16
+PIVOTS = 4
 #: Sets of a block of a region that pivots don't settle.
 BLOCK = 1024
 #: Entries of a bucket on average, count above which a member is hot, pairs that are looked at together.
@@ -251,7 +251,9 @@ def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
     large = first.where("key is not null").select("key", F.explode(F.array(ring, ring + 1)).alias("ring"), "id", "n", "pos", "sig")
     live = cut(_sized(large), f"{name}-rings")
     near = first.where("key is null").select("a", "an", "b", "bn").unionByName(_near(live, few, t))
-    many, label, links = live.where(F.col("m") > few).withColumn("label", F.col("id")), None, None
+    many, links = live.where(F.col("m") > few).withColumn("label", F.col("id")), None
+    # a set's component; or, with earlier, a partner if it is known to have one
+    labels = lambda x: components(links, x) if not earlier else links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("least"))
     side = lambda x: many.select("key", "ring", *[F.col(c).alias(f"{x}{'' if c == 'id' else c}") for c in ("id", "n", "pos", "sig", "label")])
     new = F.col("alabel") != F.col("blabel") if not earlier else F.col("blabel") == F.col("b")
     for step in range(3):
@@ -265,16 +267,25 @@ def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
             far = _blocks(many, sets_of, t, f"{name}{step}", wide, earlier)
         far = far.select("a", "an", "b", "bn")
         pairs = cut((near.unionByName(far) if near else far).distinct(), f"{name}-pairs{step}")
-        likely, near = None, None
+        likely, near = pairs, None
         if wide:
-            likely = pairs = cut(_both(pairs, _wide(sets_of(_ids(pairs, f"{name}-wide-ids{step}")))).mapInArrow(_agree(t), pairs.schema), f"{name}-likely{step}")
-        done = cut(verified(_both(pairs, sets_of(_ids(pairs, f"{name}-ids{step}")))).where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select("a", "b"), f"{name}-done{step}")
-        release(pairs, likely)
-        links = done if links is None else links.unionByName(done)
+            likely = cut(_both(pairs, _wide(sets_of(_ids(pairs, f"{name}-wide-ids{step}")))).mapInArrow(_agree(t), pairs.schema), f"{name}-likely{step}")
+        # each set's first candidate is verified first, and of the others only those that may still tell something new
+        tried = likely.groupBy("b").agg(F.min(F.struct("a", "an")).alias("x"), F.first("bn").alias("bn")).select("x.a", "x.an", "b", "bn")
+        for turn in range(2):
+            done = cut(verified(_both(tried, sets_of(_ids(tried, f"{name}-ids{step}{turn}")))).where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select("a", "b"), f"{name}-done{step}{turn}")
+            links = done if links is None else links.unionByName(done)
+            label = labels(f"{name}{step}{turn}")
+            if turn == 0:
+                known = lambda x: label.select(F.col("id").alias(x), F.col("least").alias(f"{x}label"))  # noqa: B023, E731
+                rest = likely.join(known("a"), "a", "left").join(known("b"), "b", "left").withColumns({"alabel": F.coalesce("alabel", "a"), "blabel": F.coalesce("blabel", "b")})
+                tried = cut(rest.where(new).select("a", "an", "b", "bn"), f"{name}-rest{step}")
+                if not tried.limit(1).count():
+                    break
+        release(pairs, likely, tried)
         if step == 2:
             break
         # regions whose sets are all settled are done
-        label = components(links, f"{name}{step}") if not earlier else links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("least"))
         own = many.drop("label").join(label, "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least")
         open_ = own.groupBy("key", "ring").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max((F.col("label") == F.col("id")).cast("int")).alias("free")).where("lo <> hi" if not earlier else "free = 1").select("key", "ring")
         before, live = live, cut(own.join(open_, ["key", "ring"]), f"{name}-open{step}")
