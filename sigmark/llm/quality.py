@@ -26,7 +26,7 @@ RULES = [
     ("long_repeat", "100 * n_repeat_words > 80 * n_words"),
 ]
 #: Versioned policies, as sums of rule bits.
-POLICIES = {"base": 0b11, "v1": 0b1111, "v2": 0b1111111}
+POLICIES = {"base": 0b11, "v1": 0b1111, "v2": 0b1111111, "v3": 0b11111111}
 SPACE = " \t\n\u000b\f\r"
 
 

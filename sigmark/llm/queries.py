@@ -23,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "n_lines", "n_capitals", "n_exclaims")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ f as (
      + case when 100 * n_repeat_words > 80 * n_words then 128 else 0 end)::integer as failed
   from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (failed & 3) <> 0 as base_failed, (failed & 127) = 0 as kept, failed
+       (failed & 3) <> 0 as base_failed, (failed & 127) = 0 as kept, failed, n_lines::bigint as n_lines, n_capitals::bigint as n_capitals, n_exclaims::bigint as n_exclaims
 from f
 """
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 
 import corpus_pipeline
-from sigmark.llm import decontam, packing, quality
+from sigmark.llm import packing, quality
 from tests.conftest import DATA
 
 from .test_dedup import components, repeated_lines
+from .test_registered import held
 from .test_rules import measured
 
 
@@ -36,13 +37,12 @@ def test_stages(spark):
     docs = corpus_pipeline.cut(corpus_pipeline.STAGES[2][1](spark, docs, DATA), "t")
     assert sorted(map(tuple, docs.collect())) == kept
 
-    items = spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
-    flat = lambda t: " " + " ".join(w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "").lower()).split()) + " "
-    exact = {i for i, t, *_ in kept if any(flat(x.text) in flat(t) for x in items if x.text)}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    want = {r[0] for r in kept} - {d for d, _ in held([(r[0], r[1]) for r in kept], items)}
     docs = corpus_pipeline.cut(corpus_pipeline.STAGES[3][1](spark, docs, DATA), "t")
     left = {r.doc_id for r in docs.collect()}
-    assert not left & exact and left <= {r[0] for r in kept}
-    assert decontam.budget(40) == 10
+    # the search reaches its target recall, and drops nothing else
+    assert want <= left and len(left - want) <= 0.03 * (len(kept) - len(want)) and 0 < len(want) < len(kept)
 
     packed = corpus_pipeline.STAGES[4][1](spark, docs, DATA).collect()
     assert {r.doc_id for r in packed} == left
@@ -50,3 +50,15 @@ def test_stages(spark):
     again = corpus_pipeline.run(spark, DATA).collect()
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, again)) == sorted(map(key, packed))
+
+
+def test_stages_on_awkward_documents(spark, docs, none):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through; an empty table stays empty."""
+    for start in (docs, none):
+        now = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = corpus_pipeline.cut(stage(spark, now, DATA), name)
+            assert now.columns == start.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, DATA).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in now.collect()}
+        assert bool(packed) == (start is docs)
