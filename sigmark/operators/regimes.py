@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from .graph import cut
 
 # The regimes, and the thresholds in force.
 REGIMES = ["anomalous_unclassified", "cooperative_sigmoidal", "gradual_non_cooperative", "no_detectable_aggregation", "non_monotonic_settling", "threshold_driven"]
@@ -60,6 +61,7 @@ def bh_fdr(rows: DataFrame, p: str, alpha: float = ALPHA) -> DataFrame:
     Ranks come from counts by distinct p-value, so the global order runs over
     distinct values (bounded by the rounding of p), not over rows.
     """
+    rows = cut(rows, "p-values")  # read four times
     known = rows.where(F.col(p).isNotNull())
     by = known.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
     ranked = by.withColumn("_rank", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))

@@ -157,7 +157,7 @@ def h05(t: Tables):
 @query("h07_proposals", f"{_res()}, pv as (select p, count(*) as k from an where p is not null group by 1), pr as (select p, sum(k) over (order by p) as r, sum(k) over () as m from pv), lim as (select max(p) as cutoff from pr where p <= r / m * 0.05) select curve_id, model, runs, p, round(r2, 4) as r2, coalesce(p <= cutoff, false) and r2 < 0.90 as proposed from an, lim")
 def h07(t: Tables):
     """Tested curves; a change of the registry is proposed where residuals are structured at the false-discovery rate and the fit is poor."""
-    a = regimes.bh_fdr(cut(anomalies(t), "anomalies"), "p")
+    a = regimes.bh_fdr(anomalies(t), "p")
     return a.select("curve_id", "model", "runs", "p", F.round("r2", 4).alias("r2"), (F.col("rejected") & (F.col("r2") < regimes.MISFIT_R2)).alias("proposed"))
 
 

@@ -17,11 +17,11 @@ from .h_features import DENSE, Shapes
 from .registry import COND, PTS, SQL, query, r6
 
 
-@query("m02_result_row", f"{LADDER} select part, tier, case when tier in ('descriptive', 'scaling', 'mechanistic') then 'full' else 'compact' end as kind, round(case when tier in ('descriptive', 'scaling', 'mechanistic') then x end, 4) as price, round(case when tier in ('descriptive', 'scaling', 'mechanistic') then y end, 4) as quantity from tier join (select part, x, y from pp) using (part)")
+@query("m02_result_row", f"{LADDER} select part, tier, case when tier in ('descriptive', 'scaling', 'mechanistic') then 'full' else 'compact' end as kind, round(case when tier in ('descriptive', 'scaling', 'mechanistic') then x end, 8) as price, round(case when tier in ('descriptive', 'scaling', 'mechanistic') then y end, 8) as quantity from tier join (select part, x, y from pp) using (part)")
 def m02(t: Tables):
     """Full rows for tiers that licence a description, else the tier alone."""
     full = F.col("tier").isin("descriptive", "scaling", "mechanistic")
-    return tier_of(t).join(parts(t).select("part", "x", "y"), "part").select("part", "tier", F.when(full, "full").otherwise("compact").alias("kind"), F.round(F.when(full, F.col("x")), 4).alias("price"), F.round(F.when(full, F.col("y")), 4).alias("quantity"))
+    return tier_of(t).join(parts(t).select("part", "x", "y"), "part").select("part", "tier", F.when(full, "full").otherwise("compact").alias("kind"), F.round(F.when(full, F.col("x")), 8).alias("price"), F.round(F.when(full, F.col("y")), 8).alias("quantity"))
 
 
 #: Permutations of the trend test.
