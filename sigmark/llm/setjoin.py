@@ -275,8 +275,11 @@ def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
         for turn in range(2):
             done = cut(verified(_both(tried, sets_of(_ids(tried, f"{name}-ids{step}{turn}")))).where(F.col("common") * (t[0] + t[1]) >= (F.col("an") + F.col("bn")) * t[0]).select("a", "b"), f"{name}-done{step}{turn}")
             links = done if links is None else links.unionByName(done)
-            label = labels(f"{name}{step}{turn}")
             if turn == 0:
+                label = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("least"))
+                if not earlier:  # two steps towards the least of a component: enough to leave out most pairs
+                    label = label.join(label.select(F.col("id").alias("least"), F.col("least").alias("further")), "least", "left").select("id", F.coalesce("further", "least").alias("least"))
+                label = cut(label, f"{name}-near{step}")
                 known = lambda x: label.select(F.col("id").alias(x), F.col("least").alias(f"{x}label"))  # noqa: B023, E731
                 rest = likely.join(known("a"), "a", "left").join(known("b"), "b", "left").withColumns({"alabel": F.coalesce("alabel", "a"), "blabel": F.coalesce("blabel", "b")})
                 tried = cut(rest.where(new).select("a", "an", "b", "bn"), f"{name}-rest{step}")
@@ -286,6 +289,8 @@ def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
         if step == 2:
             break
         # regions whose sets are all settled are done
+        release(label)
+        label = labels(f"{name}{step}")
         own = many.drop("label").join(label, "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least")
         open_ = own.groupBy("key", "ring").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max((F.col("label") == F.col("id")).cast("int")).alias("free")).where("lo <> hi" if not earlier else "free = 1").select("key", "ring")
         before, live = live, cut(own.join(open_, ["key", "ring"]), f"{name}-open{step}")
