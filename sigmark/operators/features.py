@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bank
+from . import bank, regimes, triage
+from .graph import cut
 
 #: Points of the dense grid, how much steeper than its edges an inflection must be, and the least that counts as a rise.
 GRID, STEEPER, EPS = 600, 1.15, 1e-9
@@ -82,3 +83,17 @@ def shaped(winners: DataFrame, features: DataFrame, verdicts: DataFrame) -> Data
 
 def quantiles(values: Column, low: float = 0.025, high: float = 0.975) -> Column:
     return F.percentile(values, F.array(F.lit(low), F.lit(0.5), F.lit(high)))
+
+
+def analysis(points: DataFrame) -> DataFrame:
+    """What is known of each curve of points (curve_id, t, y): triage, the selected model, half-time and regime.
+
+    Curves that triage rejects, or that no model fits, keep nulls and their regime.
+    """
+    cands, points = bank.grid(points.sparkSession), bank.scaled(points)
+    winners = cut(bank.best_by_aicc(bank.metrics(bank.fit(points.select("curve_id", "x", "y"), cands))), "winners")
+    verdicts = cut(triage.triage(triage.features(points.select("curve_id", "t", "y"))), "verdicts")
+    found = vector(cut(densify(winners, cands, spans(points)), "dense"))
+    regime = regimes.classify(shaped(winners, found, verdicts)).select("curve_id", "regime")
+    out = verdicts.select("curve_id", "n_points", "fittability", "censoring", "handling").join(regime, "curve_id")
+    return out.join(winners.select("curve_id", "model"), "curve_id", "left").join(found.select("curve_id", "t50"), "curve_id", "left")

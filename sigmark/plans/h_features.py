@@ -100,10 +100,7 @@ def m07(t: Tables):
 @query("v01_triage_of_batches", f"{DENSE} select v.curve_id, n_points, handling, censoring, model, round(t50, 3) as t50, regime from verdict v join reg using (curve_id) left join (select curve_id, model from winner) using (curve_id) left join (select curve_id, t50 from vec) using (curve_id)")
 def v01(t: Tables):
     """What the stream of points settles at once all files have arrived: triage, model, half-time and regime."""
-    s = Shapes(t)
-    v = s.vectors().select("curve_id", F.round("t50", 3).alias("t50"))
-    r = regimes.classify(features.shaped(s.winners, s.vectors(), s.verdicts)).select("curve_id", "regime")
-    return s.verdicts.select("curve_id", "n_points", "handling", "censoring").join(r, "curve_id").join(s.winners.select("curve_id", "model"), "curve_id", "left").join(v, "curve_id", "left")
+    return features.analysis(mono(t).select("curve_id", "t", "y")).select("curve_id", "n_points", "handling", "censoring", "model", F.round("t50", 3).alias("t50"), "regime")
 
 
 @query("b22_predict", f"{FITS}, par as (select f.curve_id, f.model, p1, p2, p3, base, amp, tilt from best f join grid using (model, candidate)), d0 as (select *, {_basis('x')} as g from (select * from par, (values (0.0::double), (0.25::double), (0.5::double), (1.0::double)) z(x))) select curve_id, model, x, round({_PRED}, 4) as v from d0")

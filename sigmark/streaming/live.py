@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators import curves, triage
+from ..operators import curves, features
+
+#: What a verdict says of a curve.
+FIELDS = ["n_points", "fittability", "censoring", "handling", "regime", "model", "t50"]
 
 
 def point_stream(spark: SparkSession, path: str, schema: StructType, per_batch: int = 1) -> DataFrame:
@@ -16,7 +19,7 @@ def point_stream(spark: SparkSession, path: str, schema: StructType, per_batch:
 
 
 def analyze_stream(points: DataFrame, store: str, verdicts: str, checkpoint: str) -> StreamingQuery:
-    """Each batch adds its points to the store and triages the curves that it touches anew.
+    """Each batch adds its points to the store and analyses the curves that it touches anew: triage, model, half-time, regime.
 
     A batch that runs again after a failure overwrites its own folder, so the
     store holds every point once.
@@ -28,7 +31,7 @@ def analyze_stream(points: DataFrame, store: str, verdicts: str, checkpoint: str
         every = spark.read.parquet(store)
         mine = every.join(spark.read.parquet(f"{store}/epoch={epoch}").select("curve_id").distinct(), "curve_id", "left_semi")
         clean = curves.first_rows(mine.select("curve_id", "seq", "t", "y")).select("curve_id", "t", "y")
-        out = triage.triage(triage.features(clean)).select("curve_id", "n_points", "fittability", "censoring", "handling", F.lit(epoch).alias("as_of"))
+        out = features.analysis(clean).select("curve_id", *FIELDS, F.lit(epoch).alias("as_of"))
         out.write.mode("overwrite").parquet(f"{verdicts}/epoch={epoch}")
 
     return points.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -36,7 +39,7 @@ def analyze_stream(points: DataFrame, store: str, verdicts: str, checkpoint: str
 
 def latest(verdicts: DataFrame) -> DataFrame:
     """The newest verdict of each curve."""
-    return verdicts.groupBy("curve_id").agg(F.max_by(F.struct("n_points", "fittability", "censoring", "handling"), "as_of").alias("v")).select("curve_id", "v.*")
+    return verdicts.groupBy("curve_id").agg(F.max_by(F.struct(*FIELDS), "as_of").alias("v")).select("curve_id", "v.*")
 
 
 def ledger_stream(claims: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
