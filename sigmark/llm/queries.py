@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, decontam, html, langid, line_dedup, ngram_join, packing, quality, substring_dedup, urls
+from . import chat, decontam, html, langid, line_dedup, ngram_join, packing, quality, simhash, substring_dedup, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(*chat.format_tree(every))
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_best_fit_packing, op5_ngram_jaccard_join, op6_url_filters, op7_html_extraction, op8_line_dedup, op9_substring_dedup, op10_chat_formatting)
+    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_best_fit_packing, op5_ngram_jaccard_join, op6_url_filters, op7_html_extraction, op8_line_dedup, op9_substring_dedup, op10_chat_formatting, op13_simhash_near_dedup)
 }
 
 _OP2 = r"""
