@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, decontam, html, langid, line_dedup, ngram_join, packing, quality, simhash, substring_dedup, urls
+from . import chat, decontam, html, langid, lexical, line_dedup, ngram_join, packing, quality, simhash, substring_dedup, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,12 +67,16 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(*chat.format_tree(every))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_best_fit_packing, op5_ngram_jaccard_join, op6_url_filters, op7_html_extraction, op8_line_dedup, op9_substring_dedup, op10_chat_formatting, op13_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_best_fit_packing, op5_ngram_jaccard_join, op6_url_filters, op7_html_extraction, op8_line_dedup, op9_substring_dedup, op10_chat_formatting, op11_lexical_search, op13_simhash_near_dedup)
 }
 
 _OP2 = r"""
@@ -116,4 +120,22 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from f
 """
 
-SQL: dict[str, str] = {"op2_quality_rules": _OP2}
+_OP11 = r"""
+with term as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+own as (select doc_id, t, count(*) as tf from term group by doc_id, t),
+size as (select doc_id, sum(tf)::bigint as n from own group by doc_id),
+corpus as (select count(*) as docs, sum(n)::bigint as total from size),
+freq as (select t, count(*) as df from own where t in (select t from asked) group by t),
+part as (
+  select item_id, own.doc_id,
+         floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))) as s
+  from asked join own using (t) join freq using (t) join size on size.doc_id = own.doc_id cross join corpus),
+score as (select item_id, doc_id, sum(s)::bigint as score from part group by item_id, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::integer as rank, doc_id, score
+from score where score > 0 qualify rank <= 50
+"""
+
+SQL: dict[str, str] = {"op2_quality_rules": _OP2, "op11_lexical_search": _OP11}
