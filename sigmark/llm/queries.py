@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, decontam, html, langid, lexical, line_dedup, ngram_join, packing, quality, simhash, substring_dedup, urls
+from . import chat, decontam, html, langid, lexical, line_dedup, ngram_join, packing, quality, simhash, substring_dedup, urls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,12 +71,16 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_best_fit_packing, op5_ngram_jaccard_join, op6_url_filters, op7_html_extraction, op8_line_dedup, op9_substring_dedup, op10_chat_formatting, op11_lexical_search, op13_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_best_fit_packing, op5_ngram_jaccard_join, op6_url_filters, op7_html_extraction, op8_line_dedup, op9_substring_dedup, op10_chat_formatting, op11_lexical_search, op12_embedding_whitening, op13_simhash_near_dedup)
 }
 
 _OP2 = r"""
