@@ -117,4 +117,5 @@ def test_moments():
     m = whitening.Moments(5)
     for part in np.array_split(x, 7):
         m.add(part)
-    assert m.n == 1000 and (m.sum == x.sum(0)).all() and np.allclose(m.m / 1000, want := np.cov(x.T, bias=True), rtol=0, atol=1e-12 * want.max())
+    want = np.cov(x.T, bias=True)
+    assert m.n == 1000 and (m.sum == x.sum(0)).all() and np.allclose(m.m / 1000, want, rtol=0, atol=1e-12 * want.max())
