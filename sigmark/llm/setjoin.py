@@ -49,6 +49,8 @@ DENSE = 4
 PIVOTS = 4
 #: Sets of a block of a region that pivots don't settle.
 BLOCK = 1024
+#: Sets of a block that are compared with another block at a time.
+SOME = 64
 #: Entries of a bucket on average, count above which a member is hot, pairs that are looked at together.
 ENTRIES, HOT, PAIRS = 1 << 18, 1 << 16, 1 << 20
 #: Parity bits by which candidate pairs are told apart before their sets are sent.
@@ -240,7 +242,7 @@ def first_split(packed: DataFrame, id_type: np.dtype, kind: str, t: tuple[int, i
     return packed.groupBy("bucket").applyInArrow(compare, schema)
 
 
-def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW, wide: bool = False, earlier: bool = False) -> DataFrame:
+def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, few: int = FEW, wide: bool = False, earlier: bool = False, width: int = WIDE) -> DataFrame:
     """Links (a, b), a before b: enough to connect whatever the sets' full join would, or with earlier to give each set an earlier partner if it has any.
 
     first: what first_split gives, as a table.  sets_of(ids) gives (id, members) of
@@ -264,12 +266,12 @@ def region_links(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
             pivots = side("a").withColumn("r", F.row_number().over(lead)).where(F.col("r") <= PIVOTS).drop("r")
             far = side("b").join(pivots, ["key", "ring"]).where(could(t) & new & (F.col("a") < F.col("b")))
         else:
-            far = _blocks(many, sets_of, t, f"{name}{step}", wide, earlier)
+            far = _blocks(many, sets_of, t, f"{name}{step}", width if wide else 0, earlier)
         far = far.select("a", "an", "b", "bn")
         pairs = cut((near.unionByName(far) if near else far).distinct(), f"{name}-pairs{step}")
         likely, near = pairs, None
         if wide:
-            likely = cut(_both(pairs, _wide(sets_of(_ids(pairs, f"{name}-wide-ids{step}")))).mapInArrow(_agree(t), pairs.schema), f"{name}-likely{step}")
+            likely = cut(_both(pairs, _wide(sets_of(_ids(pairs, f"{name}-wide-ids{step}")), width)).mapInArrow(_agree(t), pairs.schema), f"{name}-likely{step}")
         # each set's first candidate is verified first, and of the others only those that may still tell something new
         tried = likely.groupBy("b").agg(F.min(F.struct("a", "an")).alias("x"), F.first("bn").alias("bn")).select("x.a", "x.an", "b", "bn")
         for turn in range(2):
@@ -316,18 +318,18 @@ def with_earlier(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
         tried = near.join(done.withColumnRenamed("id", "b"), "b", "left_anti")
     release(near, sets)
     if first.where("key is not null").limit(1).count():
-        large = region_links(first.where("key is not null"), sets_of, t, name, FEW, wide=True, earlier=True)
+        large = region_links(first.where("key is not null"), sets_of, t, name, FEW, wide=True, earlier=True, width=WIDE // 4)
         out = out.unionByName(large.select(F.col("b").alias("id")))
     return out.distinct()
 
 
-def _blocks(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, wide: bool, earlier: bool) -> DataFrame:
+def _blocks(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple[int, int], name: str, wide: int, earlier: bool) -> DataFrame:
     """Pairs that are needed and may link of whole regions: sets are dealt to blocks by hash, and each two blocks of a region are compared by one task."""
     if wide:
-        rows = rows.join(_wide(sets_of(cut(rows.select("id").distinct(), f"{name}-block-ids"))).withColumnRenamed("members", "bits"), "id")
+        rows = rows.join(_wide(sets_of(cut(rows.select("id").distinct(), f"{name}-block-ids")), wide).withColumnRenamed("members", "bits"), "id")
     count = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("settled", F.col("label") != F.col("id")).withColumn("own", F.pmod(F.xxhash64("id"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    rows = rows.select("key", "ring", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("one"), "id", "n", "pos", "sig", "settled", F.xxhash64("label").alias("group"), *["bits"] * wide)
+    rows = rows.select("key", "ring", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("one"), "id", "n", "pos", "sig", "settled", F.xxhash64("label").alias("group"), *["bits"] * bool(wide))
     kind = rows.schema["id"].dataType
     schema = StructType().add("a", kind).add("an", "integer").add("b", kind).add("bn", "integer")
     flags = lambda table, c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
@@ -336,22 +338,27 @@ def _blocks(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: tuple
         one, settled = flags(table, "one"), flags(table, "settled")
         n, pos, sig, group = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "sig", "group"))
         sig, left = sig.view(U), n - pos
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), U).reshape(len(n), 16) if wide and len(n) else None
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), U).reshape(len(n), -1) if wide and len(n) else None
         same = table.column("p")[0] == table.column("q")[0]
         mine, others = np.flatnonzero(one), np.flatnonzero(one if same else ~one)
         xs, ys = [], []
-        for k, x in enumerate(mine):
-            y = others[k + 1 :] if same else others
+        for k in range(0, len(mine), SOME):
+            x = mine[k : k + SOME, None]
+            # the 64 bits turn most pairs away, in one table of some sets and all others
+            ok = np.bitwise_count(sig[x] ^ sig[others]).astype(np.int64) * (t[0] + t[1]) <= (n[x] + n[others]) * (t[1] - t[0])
+            x, y = np.nonzero(ok)
+            x, y = mine[x + k], others[y]
             # of two sets that both have an earlier partner, or are in one component, there is nothing to learn
-            y = y[~(settled[y] & settled[x])] if earlier else y[group[y] != group[x]]
-            both = n[x] + n[y]
-            ok = (np.minimum(left[x], left[y]) * (t[0] + t[1]) >= both * t[0]) & (np.minimum(n[x], n[y]) * t[1] >= np.maximum(n[x], n[y]) * t[0])
-            ok &= np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) * (t[0] + t[1]) <= both * (t[1] - t[0])
-            y, both = y[ok], both[ok]
+            new = ~(settled[y] & settled[x]) if earlier else group[y] != group[x]
+            new &= np.minimum(left[x], left[y]) * (t[0] + t[1]) >= (n[x] + n[y]) * t[0]
+            new &= np.minimum(n[x], n[y]) * t[1] >= np.maximum(n[x], n[y]) * t[0]
+            if same:
+                new &= x < y
+            x, y = x[new], y[new]
             if wide:
-                ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1).astype(np.int64) * (t[0] + t[1]) <= both * (t[1] - t[0])
-                y = y[ok]
-            xs.append(np.full(len(y), x))
+                ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1).astype(np.int64) * (t[0] + t[1]) <= (n[x] + n[y]) * (t[1] - t[0])
+                x, y = x[ok], y[ok]
+            xs.append(x)
             ys.append(y)
         x, y = (pa.array(np.concatenate([np.zeros(0, np.int64), *v])) for v in (xs, ys))
         ids, sizes = table.column("id"), table.column("n")
