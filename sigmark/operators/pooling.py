@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import tails
 
 LEAST = 3
+#: Newton steps; studies of an array that others are held against.
+STEPS, BLOCK = 10, 1024
 
 
 def moments(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,26 +52,54 @@ def study_effects(units: DataFrame, keys: list[str]) -> DataFrame:
     return units.groupBy(*keys, "study").agg((F.sum(w * F.col("theta")) / F.sum(w)).alias("theta"), (1 / F.sum(w)).alias("s2"), F.count("*").alias("n_units"))
 
 
-def paule_mandel(studies: DataFrame, keys: list[str], steps: int = 8) -> DataFrame:
-    """tau2 by so many Newton steps on sum of w (theta - mu)^2 = k - 1, each over the group's array of studies."""
-    g = studies.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("study", "theta", "s2"))).alias("u"))
-    sums = lambda tau: F.aggregate("u", F.struct(*[F.lit(0.0).alias(n) for n in ("w", "wt")]), lambda a, x: F.struct((a["w"] + 1 / (x["s2"] + tau)).alias("w"), (a["wt"] + x["theta"] / (x["s2"] + tau)).alias("wt")))
-    one = lambda tau, mu: F.aggregate("u", F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("d")), lambda a, x: F.struct((a["q"] + F.pow(x["theta"] - mu, 2) / (x["s2"] + tau)).alias("q"), (a["d"] + F.pow(x["theta"] - mu, 2) / F.pow(x["s2"] + tau, 2)).alias("d")))
-    g = g.withColumn("k", F.size("u")).withColumn("tau2", F.lit(0.0))
-    for i in range(steps):
-        g = g.withColumn(f"_s{i}", sums(F.col("tau2"))).withColumn(f"_q{i}", one(F.col("tau2"), F.col(f"_s{i}.wt") / F.col(f"_s{i}.w")))
-        g = g.withColumn("tau2", F.when((F.col("k") > 1) & (F.col(f"_q{i}.d") > 0), F.greatest(F.lit(0.0), F.col("tau2") + (F.col(f"_q{i}.q") - (F.col("k") - 1)) / F.col(f"_q{i}.d"))).otherwise(0.0)).drop(f"_s{i}", f"_q{i}")
-    return g.select(*keys, "k", "tau2")
-
-
-def leave_one_out(studies: DataFrame, keys: list[str]) -> DataFrame:
-    """Fixed-effect mean, Q and I2 without each study, from the group's sums less its own terms."""
-    p = Window.partitionBy(*keys)
-    w, th = 1 / F.col("s2"), F.col("theta")
-    rest = {n: F.sum(c).over(p) - c for n, c in {"rw": w, "rwt": w * th, "rwtt": w * th * th}.items()}
-    out = studies.withColumn("k", F.count("*").over(p) - 1).withColumns(rest).withColumn("all_mu", F.sum(w * th).over(p) / F.sum(w).over(p)).where("k > 0")
-    out = out.withColumn("mu_without", F.col("rwt") / F.col("rw")).withColumn("q_without", F.greatest(F.lit(0.0), F.col("rwtt") - F.col("rwt") * F.col("rwt") / F.col("rw")))
-    return out.withColumns({"delta": F.col("mu_without") - F.col("all_mu"), "i2_without": i_squared(F.col("q_without"), F.col("k"))})
+def paule_mandel(studies: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
+    """k and tau2 by so many Newton steps on sum of w (theta - mu)^2 = k - 1 from the moment estimate, each a pass of grouped sums over the studies."""
+    s2, th = F.greatest(F.col("s2"), F.lit(1e-12)), F.col("theta")
+    at = dersimonian_laird(studies, keys).select(*keys, "k", "tau2", F.col("mu").alias("about"))
+    for _ in range(steps):
+        w, d = 1 / (s2 + F.col("tau2")), th - F.col("about")
+        g = studies.join(at, keys).groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("k", "tau2", "about")], F.sum(w).alias("w"), F.sum(w * d).alias("wd"), F.sum(w * d * d).alias("wdd"), F.sum(w * w).alias("ww"), F.sum(w * w * d).alias("wwd"), F.sum(w * w * d * d).alias("wwdd"))
+        m = F.col("wd") / F.col("w")
+        q, slope = F.col("wdd") - m * F.col("wd"), F.col("wwdd") - 2 * m * F.col("wwd") + m * m * F.col("ww")
+        step = F.when((F.col("k") > 1) & (slope > 1e-30), F.greatest(F.lit(0.0), F.col("tau2") + (q - (F.col("k") - 1)) / slope)).otherwise(F.lit(0.0))
+        at = g.select(*keys, "k", step.alias("tau2"), "about")
+    return at.select(*keys, "k", "tau2")
+
+
+def random_effects(studies: DataFrame, keys: list[str]) -> DataFrame:
+    """k, q, tau2 (Paule-Mandel), mu and se of each group of studies."""
+    q = dersimonian_laird(studies, keys).select(*keys, "q")
+    j = studies.join(paule_mandel(studies, keys), keys)
+    w = 1 / (F.greatest(F.col("s2"), F.lit(1e-12)) + F.col("tau2"))
+    g = j.groupBy(*keys).agg(F.first("k").alias("k"), F.first("tau2").alias("tau2"), (F.sum(w * F.col("theta")) / F.sum(w)).alias("mu"), F.sqrt(1 / F.sum(w)).alias("se"))
+    return g.join(q, keys)
+
+
+def leave_one_out(studies: DataFrame, keys: list[str], whole: DataFrame) -> DataFrame:
+    """Each study with what its group gives without it: tau2 and I2 from the group's sums less its own terms, the random-effects mean with that tau2, its distance from the group's (whole), and whether it stands out.
+
+    The mean needs a sum over the others for each study, since tau2 differs: a
+    study meets the others in arrays of at most BLOCK of them.
+    """
+    s2 = F.greatest(F.col("s2"), F.lit(1e-12))
+    sums = moments(studies, keys).withColumnRenamed("k", "n_studies")
+    w, th = 1 / s2, F.col("theta")
+    own = studies.join(sums, keys).where("n_studies > 1").join(whole.select(*keys, "mu", "tau2"), keys)
+    left = {"k": F.col("n_studies") - 1, "rw": F.col("sw") - w, "rwt": F.col("swt") - w * th, "rwtt": F.col("swtt") - w * th * th, "rww": F.col("sww") - w * w}
+    own = own.withColumns(left).withColumn("q_without", F.when(F.col("k") > 1, F.greatest(F.lit(0.0), F.col("rwtt") - F.col("rwt") * F.col("rwt") / F.col("rw"))).otherwise(0.0))
+    c = F.col("rw") - F.col("rww") / F.col("rw")
+    own = own.withColumn("tau2_without", F.when((F.col("k") > 1) & (c > 1e-9), F.greatest(F.lit(0.0), (F.col("q_without") - (F.col("k") - 1)) / c)).otherwise(0.0))
+    block = F.pmod(F.xxhash64("study"), F.ceil(F.col("n_studies") / BLOCK)).alias("block")
+    others = studies.join(sums.select(*keys, "n_studies"), keys).groupBy(*keys, block).agg(F.collect_list(F.struct("study", "theta", s2.alias("s2"))).alias("others"))
+    met = own.select(*keys, "study", "tau2_without").join(others, keys)
+    rest = F.filter("others", lambda x: x["study"] != F.col("study"))
+    total = lambda f: F.aggregate(rest, F.lit(0.0), lambda a, x: a + f(x) / (x["s2"] + F.col("tau2_without")))
+    mean = met.groupBy(*keys, "study").agg((F.sum(total(lambda x: x["theta"])) / F.sum(total(lambda x: F.lit(1.0)))).alias("mu_without"))
+    own = own.join(mean, [*keys, "study"]).withColumns({"delta": F.abs(F.col("mu_without") - F.col("mu")), "i2_without": i_squared(F.col("q_without"), F.col("k")), "residual": (th - F.col("mu")) / F.sqrt(s2 + F.col("tau2"))})
+    most = own.groupBy(*keys).agg(F.min_by("study", F.struct(-F.round("delta", 9), "study")).alias("top"), F.median(F.abs("residual")).alias("usual"))
+    own = own.join(most, keys)
+    far = F.abs(F.col("residual"))
+    return own.select(*keys, "study", "mu_without", "tau2_without", "i2_without", "q_without", "delta", "residual", ((far > 1.96) & (far > 2 * (F.col("usual") + 1e-9))).alias("outlier"), (F.col("study") == F.col("top")).alias("most_influential"))
 
 
 def egger(studies: DataFrame, keys: list[str]) -> DataFrame:

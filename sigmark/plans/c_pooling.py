@@ -6,17 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..operators import pooling
+from ..operators import pooling, regression
+from ..operators.graph import cut
 from ..sources.tables import Tables
 from .registry import query, r6, rounded
 
 # studies = suppliers, proteins = brands
-_U = "u as (select p_brand as protein, l_suppkey as study, s_nationkey as author, ln(l_extendedprice) as theta, l_extendedprice as raw, pow(0.05 + l_tax, 2) as s2, log10(l_quantity) as lconc, l_discount as ph, l_returnflag as assay, l_linestatus = 'F' as mutant, l_quantity as conc from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey)"
+_U = "u as (select p_brand as protein, l_suppkey as study, s_nationkey as author, ln(l_extendedprice) as theta, l_extendedprice as raw, pow(0.05 + l_tax, 2) as s2, log10(l_quantity) as lconc, l_discount as ph, l_returnflag as assay, l_linestatus = 'F' as mutant, l_quantity as conc, p_size::double as temp from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey)"
 
 
 def units(t: Tables):
     item = t.lineitem.select("l_partkey", F.col("l_suppkey").alias("study"), F.log("l_extendedprice").alias("theta"), F.col("l_extendedprice").alias("raw"), F.pow(0.05 + F.col("l_tax"), 2).alias("s2"), F.log10("l_quantity").alias("lconc"), F.col("l_discount").alias("ph"), F.col("l_returnflag").alias("assay"), (F.col("l_linestatus") == "F").alias("mutant"), F.col("l_quantity").alias("conc"))
-    part = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("protein"))
+    part = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("protein"), F.col("p_size").cast("double").alias("temp"))
     sup = t.supplier.select(F.col("s_suppkey").alias("study"), F.col("s_nationkey").alias("author"))
     return item.join(part, "l_partkey").join(sup, "study").drop("l_partkey")
 
@@ -108,32 +109,78 @@ def k02(t: Tables):
     return c.select("protein", "study", (F.col("c") >= 3).alias("conc"), (F.col("p") >= 2).alias("ph"), (F.col("m") >= 2).alias("construct"))
 
 
-_RES = f"with {_U}, m as (select protein, sum(lconc / s2) / sum(1 / s2) as mx, sum(theta / s2) / sum(1 / s2) as my from u group by 1), b as (select protein, sum((lconc - mx) * (theta - my) / s2) / nullif(sum((lconc - mx) * (lconc - mx) / s2), 0) as slope, any_value(mx) as mx, any_value(my) as my from u join m using (protein) group by 1)"
-
-
-def slopes(t: Tables):
-    """Weighted regression of effect on log concentration by group means: two passes of sums."""
-    u = units(t)
-    w = 1 / F.col("s2")
-    m = u.groupBy("protein").agg((F.sum(w * F.col("lconc")) / F.sum(w)).alias("mx"), (F.sum(w * F.col("theta")) / F.sum(w)).alias("my"))
-    d = u.join(m, "protein")
-    x, y = F.col("lconc") - F.col("mx"), F.col("theta") - F.col("my")
-    b = d.groupBy("protein").agg((F.sum(w * x * y) / F.nullif(F.sum(w * x * x), F.lit(0.0))).alias("slope"))
-    return u.join(m, "protein").join(b, "protein")
-
-
-@query("k03_wls", f"{_RES} select protein, round(slope, 6) as slope, round(my, 6) as centre from b")
+#: Moderators with the digits that tell their levels, flags, and levels that each needs.
+NUMBERS, FLAGS, LEVELS = {"lconc": 4, "ph": 1, "temp": 1}, ["mutant"], {"lconc": 3, "ph": 2, "temp": 2, "mutant": 2}
+MODERATORS = [*NUMBERS, *FLAGS]
+
+
+def reg_sql(keys: str, name: str) -> str:
+    """{name}d: units with centred moderators; {name}: their coefficients by keys, by a sweep over lists."""
+    m = len(MODERATORS) + 2
+    col = ["1.0", *[f"x_{c}" for c in MODERATORS], "theta"]
+    matrix = "[" + ", ".join(f"sum({col[min(i, j)]} * {col[max(i, j)]} / s2)" for i in range(m) for j in range(m)) + "]"
+    at = lambda i, j: f"s[{i} * {m} + {j} + 1]"
+    k, pivot = "k[1]::bigint", f"s[k[1]::bigint * {m + 1} + 1]"
+    first = f"s[{m * m} + 2 + {k}]"
+    good = f"(abs({pivot}) >= {regression.LEAST} and abs({pivot}) >= {regression.RELATIVE} * abs({first}))"
+    i, j = f"(e // {m})", f"(e % {m})"
+    entry = f"case when e < {m * m} then case when k[2] = 1 and {good} then case when {i} = {k} and {j} = {k} then 1 / {pivot} when {i} = {k} then s[e + 1] / {pivot} when {j} = {k} then -s[e + 1] / {pivot} else s[e + 1] - {at(i, k)} * {at(k, j)} / {pivot} end else s[e + 1] end when e = {m * m} and k[2] = 1 and not {good} then 1.0 else s[e + 1] end"
+    pivots = "[[0.0::double, 1.0], " + ", ".join(f"[{n}.0::double, use_{c}::integer::double]" for n, c in enumerate(MODERATORS, 1)) + "]"
+    coef = [("intercept", 0), *[(c, n) for n, c in enumerate(MODERATORS, 1)]]
+    out = []
+    for c, n in coef:
+        alone = (f"a[{m}] / a[1]", "sqrt(1 / a[1])") if n == 0 else ("null", "null")
+        there = "true" if n == 0 else f"use_{c}"
+        out.append(f"case when singular then {alone[0]} when {there} then s[{n * m + m}] end as b_{c}, case when singular then {alone[1]} when {there} then sqrt(s[{n * m + n + 1}]) end as se_{c}")
+    levels = ", ".join([*[f"count(distinct round_even({c}, {d})) >= {LEVELS[c]} as use_{c}, avg({c}) as m_{c}" for c, d in NUMBERS.items()], *[f"count(distinct {c}) >= {LEVELS[c]} as use_{c}" for c in FLAGS]])
+    xs = ", ".join([*[f"case when use_{c} then {c} - m_{c} else 0 end as x_{c}" for c in NUMBERS], *[f"case when use_{c} and {c} then 1.0 else 0.0 end as x_{c}" for c in FLAGS]])
+    uses = ", ".join(f"use_{c}" for c in MODERATORS)
+    return f"""{name}c as materialized (select {keys}, {levels} from u group by {keys}),
+{name}d as materialized (select u.*, {uses}, {xs} from u join {name}c using ({keys})),
+{name}a as materialized (select {keys}, {uses}, count(*) as n, {matrix} as a from {name}d group by {keys}, {uses}),
+{name}s as materialized (select *, list_reduce({pivots}, lambda s, k: list_transform(range({m * m + 1 + m}), lambda e: {entry}), list_concat(a, [0.0::double, {', '.join(f'a[{q * (m + 1) + 1}]' for q in range(m))}])) as s from {name}a),
+{name} as materialized (select {keys}, {uses}, n, {', '.join(out)}, singular from (select *, s[{m * m + 1}] > 0 as singular from {name}s))"""
+
+
+def moderated(t: Tables, keys: list[str]):
+    """Units with centred moderators, and the weighted regression of the effect on them by keys."""
+    d = regression.centred(units(t), keys, NUMBERS, FLAGS, LEVELS)
+    fit = regression.wls(d, keys, {c: F.col(f"x_{c}") for c in MODERATORS}, F.col("theta"), 1 / F.col("s2"), {c: F.col(f"use_{c}") for c in MODERATORS})
+    return d, fit
+
+
+_STRATA = "protein, study, author, assay, mutant"
+
+
+@query("k03_wls", f"with {_U}, {reg_sql('protein', 'rg')}, {reg_sql(_STRATA, 'rs')}, b as (select protein, count(*) as n_strata, count(*) filter (singular) as n_singular, avg(b_intercept) filter (singular) as mean_alone from rs group by 1) select protein, n, singular, n_strata, n_singular, round(mean_alone, 6) as mean_alone, " + ", ".join(f"round(b_{c}, 5) as b_{c}, round(se_{c}, 5) as se_{c}" for c in ["intercept", *MODERATORS]) + " from rg join b using (protein)")
 def k03(t: Tables):
-    return rounded(slopes(t).groupBy("protein").agg(F.first("slope").alias("slope"), F.first("my").alias("centre")), "slope", "centre")
+    """Coefficients of each protein; and how many of its finest strata have a singular design, with the mean of the intercepts that these keep alone."""
+    _, whole = moderated(t, ["protein"])
+    _, fine = moderated(t, _STRATA.split(", "))
+    few = fine.groupBy("protein").agg(F.count("*").alias("n_strata"), F.count(F.when(F.col("singular"), 1)).alias("n_singular"), r6(F.avg(F.when(F.col("singular"), F.col("b_intercept")))).alias("mean_alone"))
+    return whole.join(few, "protein").select("protein", "n", "singular", "n_strata", "n_singular", "mean_alone", *[F.round(f"{x}_{c}", 5).alias(f"{x}_{c}") for c in ["intercept", *MODERATORS] for x in ("b", "se")])
 
 
-_STUDY = "st as (select protein, study, sum(theta / s2) / sum(1 / s2) as theta, 1 / sum(1 / s2) as s2, count(*) as n_units from u group by 1, 2)"
+_SHIFT = " + ".join(f"coalesce(b_{c}, 0) * x_{c}" for c in MODERATORS)
+_STUDY = f"{reg_sql('protein', 'rg')}, ru as materialized (select d.*, theta - ({_SHIFT}) as resid from rgd d join (select * exclude ({', '.join(f'use_{c}' for c in MODERATORS)}) from rg) using (protein)), st as materialized (select protein, study, sum(resid / s2) / sum(1 / s2) as theta, 1 / sum(1 / s2) as s2, count(*) as n_units from ru group by 1, 2)"
 STUDY = f"with {_U}, {_STUDY}"
-_SDL = f"{STUDY}, {dl_sql('st', 'protein', 'dl')}"
+_PM = "pm0 as materialized (select protein, k, tau2, mu as about from dl), " + ", ".join(
+    f"pm{i + 1} as materialized (select protein, k, case when k > 1 and wwdd - 2 * wd / w * wwd + wd / w * wd / w * ww > 1e-30 then greatest(0.0, tau2 + (wdd - wd / w * wd - (k - 1)) / (wwdd - 2 * wd / w * wwd + wd / w * wd / w * ww)) else 0.0 end as tau2, about from (select protein, any_value(k) as k, any_value(tau2) as tau2, any_value(about) as about, sum(v) as w, sum(v * d) as wd, sum(v * d * d) as wdd, sum(v * v) as ww, sum(v * v * d) as wwd, sum(v * v * d * d) as wwdd from (select protein, k, tau2, about, 1 / (s2 + tau2) as v, theta - about as d from st join pm{i} using (protein)) group by 1))"
+    for i in range(pooling.STEPS)
+)
+_SDL = f"{STUDY}, {dl_sql('st', 'protein', 'dl')}, {_PM}, re as materialized (select protein, any_value(p.k) as k, any_value(q) as q, any_value(p.tau2) as tau2, sum(st.theta / (s2 + p.tau2)) / sum(1 / (s2 + p.tau2)) as mu, sqrt(1 / sum(1 / (s2 + p.tau2))) as se from st join pm{pooling.STEPS} p using (protein) join dl using (protein) group by 1)"
+
+
+def residuals(t: Tables):
+    """Units with what is left of their effects when the moderators' share is taken away."""
+    d, fit = moderated(t, ["protein"])
+    share = sum((F.coalesce(f"b_{c}", F.lit(0.0)) * F.col(f"x_{c}") for c in MODERATORS), F.lit(0.0))
+    return d.join(fit.select("protein", *[f"b_{c}" for c in MODERATORS]), "protein").withColumn("resid", F.col("theta") - share).drop(*[f"b_{c}" for c in MODERATORS])
 
 
 def studies(t: Tables):
-    return pooling.study_effects(units(t), ["protein"])
+    """One effect a study, of the units' residuals; a table, since iterations read it again."""
+    return cut(pooling.study_effects(residuals(t).withColumn("theta", F.col("resid")), ["protein"]), "studies")
 
 
 @query("k04_study_effects", f"{STUDY} select protein, study, round(theta, 6) as theta, round(s2, 9) as s2, n_units from st")
@@ -141,9 +188,7 @@ def k04(t: Tables):
     return rounded(rounded(studies(t), "theta"), "s2", digits=9)
 
 
-
-
-@query("k05_paule_mandel", f"with recursive {_U}, {_STUDY}, it as (select protein, 0 as i, 0.0::double as tau2 from st group by 1 union all select protein, any_value(i) + 1, case when count(*) > 1 and sum(pow(theta - mu, 2) / pow(s2 + tau2, 2)) > 0 then greatest(0.0, any_value(tau2) + (sum(pow(theta - mu, 2) / (s2 + tau2)) - (count(*) - 1)) / sum(pow(theta - mu, 2) / pow(s2 + tau2, 2))) else 0.0 end from (select st.protein, i, tau2, theta, s2, sum(theta / (s2 + tau2)) over (partition by st.protein) / sum(1 / (s2 + tau2)) over (partition by st.protein) as mu from it join st using (protein) where i < 8) group by protein) select protein, (select count(*) from st where st.protein = it.protein)::integer as k, round(tau2, 6) as tau2 from it where i = 8")
+@query("k05_paule_mandel", f"{_SDL} select protein, k, round(tau2, 6) as tau2 from re")
 def k05(t: Tables):
     return rounded(pooling.paule_mandel(studies(t), ["protein"]), "tau2")
 
@@ -154,24 +199,32 @@ def k07(t: Tables):
     return h.select("protein", "k", F.round("q", 3).alias("q"), r6("i2").alias("i2"), F.round("h2", 4).alias("h2"), F.round("p", 5).alias("p"))
 
 
-@query("k08_pooled_effect", f"{_SDL} select protein, round(mu, 6) as mu, round(mu - 1.96 * se, 6) as lo, round(mu + 1.96 * se, 6) as hi, round(exp(mu), 2) as back from dl")
+@query("k08_pooled_effect", f"{_SDL} select protein, round(mu, 6) as mu, round(mu - 1.96 * se, 6) as lo, round(mu + 1.96 * se, 6) as hi, round(exp(mu), 2) as back from re")
 def k08(t: Tables):
-    d = pooling.dersimonian_laird(studies(t), ["protein"])
+    d = pooling.random_effects(studies(t), ["protein"])
     return d.select("protein", r6("mu").alias("mu"), r6(F.col("mu") - 1.96 * F.col("se")).alias("lo"), r6(F.col("mu") + 1.96 * F.col("se")).alias("hi"), F.round(F.exp("mu"), 2).alias("back"))
 
 
-@query("k09_blup", f"{_SDL} select protein, study, round(case when k < 3 then theta else tau2 / (tau2 + s2) * theta + s2 / (tau2 + s2) * mu end, 6) as blup from st join dl using (protein)")
+@query("k09_blup", f"{_SDL} select protein, study, round(case when k < 3 then theta else tau2 / (tau2 + s2) * theta + s2 / (tau2 + s2) * mu end, 6) as blup from st join re using (protein)")
 def k09(t: Tables):
     s = studies(t)
-    return pooling.shrink(s, pooling.dersimonian_laird(s, ["protein"]), ["protein"]).select("protein", "study", r6("pooled").alias("blup"))
+    return pooling.shrink(s, pooling.random_effects(s, ["protein"]), ["protein"]).select("protein", "study", r6("pooled").alias("blup"))
+
 
+_SHARES = ["between_study", "within_study", "measurement", "construct"]
 
-@query("k10_variance_decomposition", f"{STUDY}, w as (select protein, study, var_pop(theta) as v, count(*) as n, avg(s2) as m from u group by 1, 2), b as (select protein, var_pop(theta) as between_study from st group by 1), x as (select protein, sum(v * n) / sum(n) as within_study, sum(m * n) / sum(n) as measurement from w group by 1) select protein, round(between_study, 6) as between_study, round(within_study, 6) as within_study, round(measurement, 6) as measurement, round(between_study / (between_study + within_study), 6) as share from b join x using (protein)")
+
+@query("k10_variance_decomposition", f"{_SDL}, w as (select protein, study, var_samp(resid) - avg(s2) as v from ru group by 1, 2 having count(*) >= 2), wi as (select protein, avg(greatest(0.0, v)) as within_study from w group by 1), m as (select protein, avg(s2) as measurement, avg(mutant::integer) as p from u group by 1), x as (select protein, re.tau2 as between_study, coalesce(within_study, 0) as within_study, measurement, coalesce(b_mutant * b_mutant * p * (1 - p), 0) as construct from re join m using (protein) join rg using (protein) left join wi using (protein)) select protein, " + ", ".join(f"round({c}, 6) as {c}, round({c} / ({' + '.join(_SHARES)}), 6) as share_{c}" for c in _SHARES) + " from x")
 def k10(t: Tables):
-    w = units(t).groupBy("protein", "study").agg(F.var_pop("theta").alias("v"), F.count("*").alias("n"), F.avg("s2").alias("m"))
-    x = w.groupBy("protein").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("within_study"), (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("measurement"))
-    b = studies(t).groupBy("protein").agg(F.var_pop("theta").alias("between_study")).join(x, "protein")
-    return rounded(b.withColumn("share", F.col("between_study") / (F.col("between_study") + F.col("within_study"))), "between_study", "within_study", "measurement", "share")
+    """Variance between studies, within them beyond sampling, of measurement, and of the construct, with their shares."""
+    r = residuals(t)
+    w = r.groupBy("protein", "study").agg(F.greatest(F.lit(0.0), F.var_samp("resid") - F.avg("s2")).alias("v"), F.count("*").alias("n")).where("n >= 2").groupBy("protein").agg(F.avg("v").alias("within_study"))
+    m = r.groupBy("protein").agg(F.avg("s2").alias("measurement"), F.avg(F.col("mutant").cast("int")).alias("p"))
+    b = moderated(t, ["protein"])[1].select("protein", "b_mutant")
+    j = pooling.random_effects(studies(t), ["protein"]).select("protein", F.col("tau2").alias("between_study")).join(m, "protein").join(b, "protein").join(w, "protein", "left")
+    j = j.withColumns({"within_study": F.coalesce("within_study", F.lit(0.0)), "construct": F.coalesce(F.col("b_mutant") * F.col("b_mutant") * F.col("p") * (1 - F.col("p")), F.lit(0.0))})
+    total = sum((F.col(c) for c in _SHARES[1:]), F.col(_SHARES[0]))
+    return j.select("protein", *[r6(F.col(c)).alias(c) for c in _SHARES], *[r6(F.col(c) / total).alias(f"share_{c}") for c in _SHARES])
 
 
 @query("k11_lab_effect", f"{STUDY}, a as (select protein, author, count(distinct study) as n, var_samp(st.theta) as v from st join supplier on study = s_suppkey, lateral (select s_nationkey as author) group by 1, 2) select protein, author, n, round(v, 6) as lab_variance, case when n >= 2 then 'estimated' else 'confounded' end as status from a")
@@ -181,10 +234,20 @@ def k11(t: Tables):
     return g.select("protein", "author", "n", r6(F.when(F.col("n") >= 2, F.col("v"))).alias("lab_variance"), F.when(F.col("n") >= 2, "estimated").otherwise("confounded").alias("status"))
 
 
-@query("k12_leave_one_study_out", f"{STUDY}, l as (select protein, study, theta, s2, count(*) over p - 1 as k, sum(1 / s2) over p - 1 / s2 as rw, sum(theta / s2) over p - theta / s2 as rwt, sum(theta * theta / s2) over p - theta * theta / s2 as rwtt, sum(theta / s2) over p / sum(1 / s2) over p as mu from st window p as (partition by protein)) select protein, study, round(rwt / rw, 5) as mu_without, round(rwt / rw - mu, 5) as delta, round(greatest(0.0, rwtt - rwt * rwt / rw), 2) as q_without from l where k > 0")
+_LOSO = f"""{_SDL}, sw as (select protein, count(*) as ns, sum(1 / s2) as sw, sum(theta / s2) as swt, sum(theta * theta / s2) as swtt, sum(1 / (s2 * s2)) as sww from st group by 1),
+l0 as (select st.*, ns - 1 as k, sw - 1 / s2 as rw, swt - theta / s2 as rwt, swtt - theta * theta / s2 as rwtt, sww - 1 / (s2 * s2) as rww from st join sw using (protein) where ns > 1),
+l1 as (select *, case when k > 1 then greatest(0.0, rwtt - rwt * rwt / rw) else 0.0 end as q from l0),
+l2 as materialized (select *, case when k > 1 and rw - rww / rw > 1e-9 then greatest(0.0, (q - (k - 1)) / (rw - rww / rw)) else 0.0 end as t2 from l1),
+l3 as (select l2.protein, l2.study, sum(st.theta / (st.s2 + t2)) / sum(1 / (st.s2 + t2)) as mu_without from l2 join st on l2.protein = st.protein and l2.study <> st.study group by 1, 2),
+l4 as (select l2.*, mu_without, abs(mu_without - re.mu) as delta, (theta - re.mu) / sqrt(s2 + re.tau2) as r from l2 join l3 using (protein, study) join re using (protein)),
+l5 as (select *, median(abs(r)) over (partition by protein) as usual, row_number() over (partition by protein order by round(delta, 9) desc, study) as place from l4)"""
+
+
+@query("k12_leave_one_study_out", f"{_LOSO} select protein, study, round(mu_without, 5) as mu_without, round(t2, 5) as tau2_without, round(case when k > 1 and q > 0 then greatest(0.0, (q - (k - 1)) / q) else 0.0 end, 5) as i2_without, round(delta, 5) as delta, round(r, 5) as residual, abs(r) > 1.96 and abs(r) > 2 * (usual + 1e-9) as outlier, place = 1 as most_influential from l5")
 def k12(t: Tables):
-    x = pooling.leave_one_out(studies(t), ["protein"])
-    return x.select("protein", "study", F.round("mu_without", 5).alias("mu_without"), F.round("delta", 5).alias("delta"), F.round("q_without", 2).alias("q_without"))
+    s = studies(t)
+    x = pooling.leave_one_out(s, ["protein"], pooling.random_effects(s, ["protein"]))
+    return x.select("protein", "study", *[F.round(c, 5).alias(c) for c in ("mu_without", "tau2_without", "i2_without", "delta", "residual")], "outlier", "most_influential")
 
 
 _T975 = "case when df <= 1 then 12.706 when df <= 2 then 4.303 when df <= 5 then 4.303 + (df - 2) * (2.571 - 4.303) / 3 when df <= 10 then 2.571 + (df - 5) * (2.228 - 2.571) / 5 when df <= 30 then 2.228 + (df - 10) * (2.042 - 2.228) / 20 when df <= 120 then 2.042 + (df - 30) * (1.98 - 2.042) / 90 else 1.96 end"
@@ -204,17 +267,17 @@ def b21(t: Tables):
     return t.lineitem.select(F.col("l_suppkey").alias("df")).distinct().select("df", r6(t975(F.col("df"))).alias("t975"))
 
 
-@query("k13_prediction_interval", f"{_SDL}, x as (select *, k - 2 as df from dl where k > 2) select protein, round(mu - {_T975} * sqrt(tau2 + se * se), 5) as lo, round(mu + {_T975} * sqrt(tau2 + se * se), 5) as hi from x")
+@query("k13_prediction_interval", f"{_SDL}, x as (select *, k - 2 as df from re where k > 2) select protein, round(mu - {_T975} * sqrt(tau2 + se * se), 5) as lo, round(mu + {_T975} * sqrt(tau2 + se * se), 5) as hi from x")
 def k13(t: Tables):
-    d = pooling.dersimonian_laird(studies(t), ["protein"]).where("k > 2")
+    d = pooling.random_effects(studies(t), ["protein"]).where("k > 2")
     half = t975(F.col("k") - 2) * F.sqrt(F.col("tau2") + F.col("se") * F.col("se"))
     return d.select("protein", F.round(F.col("mu") - half, 5).alias("lo"), F.round(F.col("mu") + half, 5).alias("hi"))
 
 
-@query("k14_forest", f"{_SDL} select protein, study::varchar as label, round(theta, 6) as effect, round(100 * (1 / (s2 + tau2)) / sum(1 / (s2 + tau2)) over (partition by protein), 5) as weight_pct from st join dl using (protein) union all select protein, 'pooled', round(mu, 6), 100.0 from dl")
+@query("k14_forest", f"{_SDL} select protein, study::varchar as label, round(theta, 6) as effect, round(100 * (1 / (s2 + tau2)) / sum(1 / (s2 + tau2)) over (partition by protein), 5) as weight_pct from st join re using (protein) union all select protein, 'pooled', round(mu, 6), 100.0 from re")
 def k14(t: Tables):
     s = studies(t)
-    d = pooling.dersimonian_laird(s, ["protein"])
+    d = pooling.random_effects(s, ["protein"])
     w = 1 / (F.col("s2") + F.col("tau2"))
     rows = s.join(d.select("protein", "tau2"), "protein").select("protein", F.col("study").cast("string").alias("label"), r6("theta").alias("effect"), F.round(100 * w / F.sum(w).over(Window.partitionBy("protein")), 5).alias("weight_pct"))
     return rows.unionByName(d.select("protein", F.lit("pooled").alias("label"), r6("mu").alias("effect"), F.lit(100.0).alias("weight_pct")))
@@ -225,11 +288,14 @@ def k15(t: Tables):
     return pooling.egger(studies(t), ["protein"]).select("protein", "k", F.round("intercept", 3).alias("intercept"), F.round("p", 4).alias("p"))
 
 
-@query("k16_moderators", f"{_RES}, g as (select protein, -slope as implied_gamma from b), c as (select protein, avg(theta) filter (mutant) - avg(theta) filter (not mutant) as ln_fold from u group by 1) select protein, round(implied_gamma, 6) as implied_gamma, round(exp(ln_fold), 6) as construct_fold from g join c using (protein)")
+@query("k16_moderators", f"with {_U}, {reg_sql('protein', 'rg')}, g as (select protein, -regr_slope(log10(raw), lconc) as gamma from u group by 1) select protein, " + ", ".join(f"round(b_{c}, 6) as b_{c}, round(se_{c}, 6) as se_{c}" for c in MODERATORS) + ", round(-b_lconc / ln(10), 6) as implied_gamma, round(gamma, 6) as scaling_gamma, round(-b_lconc / ln(10) - gamma, 6) as gamma_gap, round(exp(b_mutant), 6) as construct_fold from rg join g using (protein)")
 def k16(t: Tables):
-    m = F.col("mutant")
-    g = slopes(t).groupBy("protein").agg((-F.first("slope")).alias("implied_gamma"), F.exp(F.avg(F.when(m, F.col("theta"))) - F.avg(F.when(~m, F.col("theta")))).alias("construct_fold"))
-    return rounded(g, "implied_gamma", "construct_fold")
+    """Coefficients of the moderators; the exponent that the concentration's implies beside that of the log-log slope; fold change of the construct."""
+    gamma = units(t).groupBy("protein").agg((-F.regr_slope(F.log10("raw"), F.col("lconc"))).alias("scaling_gamma"))
+    f = moderated(t, ["protein"])[1].join(gamma, "protein").withColumn("implied_gamma", -F.col("b_lconc") / F.log(F.lit(10.0)))
+    f = f.withColumns({"gamma_gap": F.col("implied_gamma") - F.col("scaling_gamma"), "construct_fold": F.exp("b_mutant")})
+    cols = [f"{x}_{c}" for c in MODERATORS for x in ("b", "se")] + ["implied_gamma", "scaling_gamma", "gamma_gap", "construct_fold"]
+    return rounded(f.select("protein", *cols), *cols)
 
 
 @query("k17_meta_status", f"with {_U}, c as (select assay, conc, count(distinct study) filter (raw > 90000) as n from u group by 1, 2) select assay, conc, n, case when n = 0 then 'no_data' when n = 1 then 'single_study' else 'pooled' end as status from c")

@@ -15,13 +15,6 @@ from .registry import COND, RAW, query, r6
 # ---- claims -------------------------------------------------------------
 
 
-@query("t01_sections", "with b as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1)::integer as block from documents), h as (select *, case when length(line) < 40 then left(line, 20) end as head from b) select doc_id, block, last_value(head ignore nulls) over (partition by doc_id order by block) as section from h")
-def t01(t: Tables):
-    b = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    head = F.when(F.length("line") < 40, F.substring("line", 1, 20))
-    return b.select("doc_id", (F.col("i") + 1).alias("block"), F.last(head, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("i")).alias("section"))
-
-
 _CLAIM = f"with {RAW}, cl as (select seq, curve_id, protein, unnest(['concentration', 'time', 'ph']) as field, unnest([regexp_extract(parameter, '^([0-9.]+) microM', 1)::double, regexp_extract(parameter, 'at ([0-9]+) Hours', 1)::double, regexp_extract(parameter, 'pH ([0-9.]+)', 1)::double]) as value from raw)"
 
 
@@ -32,30 +25,6 @@ def claims(t: Tables):
     return t.raw().select("seq", "curve_id", "protein", F.explode(got).alias("field", "value"))
 
 
-@query("t02_extract_claims", f"{_CLAIM} select seq, curve_id, field, value from cl")
-def t02(t: Tables):
-    return claims(t).select("seq", "curve_id", "field", "value")
-
-
-@query("t03_dictionary_claims", "with d(term, canon) as (values ('ation', 'assay'), ('thin', 'dye'), ('sch', 'buffer')) select term, canon, count(*) as n from documents join d on contains(lower(text), term) group by 1, 2")
-def t03(t: Tables):
-    d = t.spark.createDataFrame([("ation", "assay"), ("thin", "dye"), ("sch", "buffer")], "term string, canon string")
-    return t.documents.join(F.broadcast(d), F.lower("text").contains(F.col("term"))).groupBy("term", "canon").agg(F.count("*").alias("n"))
-
-
-@query("t04_gazetteer", "select name, count(*) as n from (select unnest(regexp_extract_all(lower(text), '(thereon|there|the)')) as name from documents) group by 1")
-def t04(t: Tables):
-    """The longest name wins, since the alternation tries it first."""
-    return t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(thereon|there|the)"), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-
-
-@query("t06_confidence", f"{_CLAIM} select field, case when (field = 'ph' and value between 1 and 4) or (field <> 'ph') then 'plausible' else 'implausible' end as verdict, count(*) as n, round(avg(0.9 * 0.8 * case when (field = 'ph' and value between 1 and 4) or (field <> 'ph') then 1.0 else 0.15 end), 6) as confidence from cl group by 1, 2")
-def t06(t: Tables):
-    ok = (F.col("field") != "ph") | F.col("value").between(1, 4)
-    c = claims(t).withColumn("verdict", F.when(ok, "plausible").otherwise("implausible"))
-    return c.groupBy("field", "verdict").agg(F.count("*").alias("n"), r6(F.avg(0.9 * 0.8 * F.when(F.col("verdict") == "plausible", 1.0).otherwise(0.15))).alias("confidence"))
-
-
 @query("t07_claim_id", f"{_CLAIM} select substr(sha256(concat_ws('|', curve_id, seq, field)), 1, 16) as claim_id, count(*) as n from cl group by 1")
 def t07(t: Tables):
     return claims(t).groupBy(F.substring(F.sha2(F.concat_ws("|", "curve_id", "seq", "field"), 256), 1, 16).alias("claim_id")).agg(F.count("*").alias("n"))
@@ -74,21 +43,6 @@ def t09(t: Tables):
     return t.orders.select("o_orderkey").join(superseded, "o_orderkey", "left_anti")
 
 
-@query("t10_conflicts", f"with {_U} select protein, assay, count(distinct study) as n_papers, min(conc) as least, max(conc) as most from u group by protein, assay having count(distinct conc) >= 2 and count(distinct study) >= 2 and (max(conc) - min(conc)) / max(conc) > 0.15")
-def t10(t: Tables):
-    g = units(t).groupBy("protein", "assay").agg(F.countDistinct("study").alias("n_papers"), F.countDistinct("conc").alias("v"), F.min("conc").alias("least"), F.max("conc").alias("most"))
-    return g.where((F.col("v") >= 2) & (F.col("n_papers") >= 2) & ((F.col("most") - F.col("least")) / F.col("most") > 0.15)).drop("v")
-
-
-@query("t12_validate_claims", f"{_CLAIM}, b as (select curve_id, field, arg_max(value, seq) as value from cl group by 1, 2), g as (select curve_id, arg_min(conc, seq) as gold from cond group by 1) select count(*) filter (abs(value - gold) < 1) as tp, count(*) filter (abs(value - gold) >= 1) as fp, count(*) filter (value is null) as fn from g left join b on g.curve_id = b.curve_id and field = 'concentration'")
-def t12(t: Tables):
-    best = claims(t).where("field = 'concentration'").groupBy("curve_id").agg(F.max_by("value", "seq").alias("value"))
-    j = first_conditions(t).select("curve_id", F.col("conc").alias("gold")).join(best, "curve_id", "left")
-    far = F.abs(F.col("value") - F.col("gold"))
-    n = lambda c: F.count(F.when(c, 1))
-    return j.agg(n(far < 1).alias("tp"), n(far >= 1).alias("fp"), n(F.col("value").isNull()).alias("fn"))
-
-
 # ---- residues and neighbours ------------------------------------------------
 
 # Hydropathy of the residues.

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import bank, regimes
+from ..operators import bank, regimes, terms
 from ..sources.tables import Tables, read_artifact, write_artifact
 from .b_triage_bank import _GRID, _MONO, FITS, bank_sql, fits, mono
 from .c_pooling import p04
@@ -157,12 +157,16 @@ def w18(t: Tables):
     return g.select("curve_id", "class", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("curve_id")), 4).alias("score"))
 
 
-@query("x02_leakage", "with r as (select item_id, lower(left(text, 40)) as name from benchmark where length(text) >= 40) select item_id, count(doc_id) as n_docs from r left join documents on contains(lower(text), name) group by 1")
+_NAMES = "nm as (select distinct item_id, trim(unnest(regexp_split_to_array(lower(text), '[.\n]')), ' ') as term from benchmark), rn as (select * from nm where length(term) >= 20)"
+
+
+@query("x02_leakage", f"with {_NAMES}, hit as (select item_id, term, doc_id, source from (select distinct term from rn) join documents on contains(lower(text), term) join rn using (term)) select item_id, source, count(distinct doc_id) as n_docs, count(distinct term) as n_names from hit group by 1, 2")
 def x02(t: Tables):
-    """Reserved names, the first 40 characters of benchmark items, in the strings of documents; the names are a registry and their table is small."""
-    r = t.benchmark.where(F.length("text") >= 40).select("item_id", F.lower(F.substring("text", 1, 40)).alias("name"))
-    hit = t.documents.select("doc_id", F.lower("text").alias("low")).join(F.broadcast(r), F.col("low").contains(F.col("name"))).groupBy("item_id").agg(F.count("*").alias("n"))
-    return r.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_docs"))
+    """Reserved names, the sentences of benchmark items, in the texts of documents, tallied by item and source; each text is read once, whatever the number of names."""
+    sentence = F.explode(F.split(F.lower("text"), r"[.\n]"))
+    names = t.benchmark.select("item_id", sentence.alias("s")).select("item_id", F.trim("s").alias("term")).where(F.length("term") >= 20).distinct()
+    hit = terms.find(t.documents.select("doc_id", "source", "text"), names, once=True).select("doc_id", "source", "term").join(names, "term")
+    return hit.groupBy("item_id", "source").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("term").alias("n_names"))
 
 
 _JSON = "js as (select event_id, '{\"a\": ' || props || ', \"list\": [1, 2], \"none\": null, \"empty\": {}, \"kind\": \"' || event_type || '\"}' as doc from events)"
