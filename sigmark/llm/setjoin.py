@@ -318,8 +318,12 @@ def with_earlier(first: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t:
         tried = near.join(done.withColumnRenamed("id", "b"), "b", "left_anti")
     release(near, sets)
     if first.where("key is not null").limit(1).count():
-        large = region_links(first.where("key is not null"), sets_of, t, name, FEW, wide=True, earlier=True, width=WIDE // 4)
-        out = out.unionByName(large.select(F.col("b").alias("id")))
+        # the sets of large regions are asked for again and again
+        asked = cut(first.where("key is not null").select("id").distinct(), f"{name}-large-ids")
+        own = cut(sets_of(asked), f"{name}-large-sets")
+        large = region_links(first.where("key is not null"), lambda ids: own.join(small(ids), "id", "left_semi"), t, name, FEW, wide=True, earlier=True, width=WIDE // 4)
+        out = cut(out.unionByName(large.select(F.col("b").alias("id"))), f"{name}-earlier")
+        release(asked, own)
     return out.distinct()
 
 
