@@ -1,8 +1,9 @@
-"""Streams end where the batch operators end, whatever arrives twice."""
+"""Streams end where the batch operators end, whatever arrives twice or late, and read only what arrives."""
 
 from __future__ import annotations
 
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -13,30 +14,72 @@ from sigmark.streaming import live
 from .conftest import DATA
 
 
-def test_live_triage_equals_batch(spark):
-    points = Tables(spark, DATA).points()
-    src, store, out, ck = (tempfile.mkdtemp(prefix="spark-") for _ in range(4))
-    points.repartition(3, "seq").write.mode("overwrite").parquet(src)
-    live.analyze_stream(live.point_stream(spark, src, points.schema), f"{store}/s", f"{out}/v", ck).awaitTermination()
-    got = {r.curve_id: tuple(r)[1:] for r in live.latest(spark.read.parquet(f"{out}/v")).collect()}
+def folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def near(r):
+    return tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+
+
+def verdicts(df) -> dict:
+    return {r.curve_id: near(tuple(r)[1:]) for r in df.collect()}
+
+
+def rows_read(query) -> list[int]:
+    return [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+
+
+def test_live_verdicts_equal_batch_after_a_restart_and_late_rows(spark):
+    points = Tables(spark, DATA).points().where("curve_id < 4")
+    src, out, ck = folder(), folder(), folder()
+    # the later file has the earlier points, and some rows again
+    late = points.where("t < 50").unionByName(points.where("t >= 50").limit(20))
+    parts = [points.where("t >= 50"), late]
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(f"{src}/s")
+        query = live.analyze_stream(live.point_stream(spark, f"{src}/s", points.schema), f"{out}/v", ck)
+        query.awaitTermination()
+        assert rows_read(query) == [p.count()]
     want = features.analysis(curves.first_rows(points).select("curve_id", "t", "y")).select("curve_id", *live.FIELDS)
-    near = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
-    assert {k: near(v) for k, v in got.items()} == {r.curve_id: near(tuple(r)[1:]) for r in want.collect()}
-    assert all(v[4] for v in got.values())
+    got = verdicts(live.latest(spark.read.parquet(f"{out}/v")))
+    assert got == verdicts(want) and all(v[4] for v in got.values())
+
+
+def test_idle_curves_are_forgotten(spark):
+    kind, src = "curve_id long, seq long, t double, y double", folder()
+    spark.createDataFrame([], kind).write.mode("append").parquet(f"{src}/s")
+    every = live.with_history(live.point_stream(spark, f"{src}/s", spark.createDataFrame([], kind).schema), idle=1)
+    query = every.writeStream.format("memory").queryName("idle").outputMode("update").option("checkpointLocation", folder()).trigger(processingTime="1 second").start()
+    try:
+        for k in range(2):
+            spark.createDataFrame([(1, k, 0.0, 0.0)], kind).coalesce(1).write.mode("append").parquet(f"{src}/s")
+            until = time.time() + 30
+            while time.time() < until and not (query.lastProgress and query.lastProgress["batchId"] >= 3 * (k + 1)):
+                time.sleep(0.5)
+    finally:
+        query.stop()
+    assert sorted(r.seq for r in spark.table("idle").collect()) == [0, 1]
 
 
 def test_ledger_takes_each_claim_once(spark):
-    src, ledger, ck = (tempfile.mkdtemp(prefix="spark-") for _ in range(3))
+    src, ledger, ck = folder(), folder(), folder()
     claims = spark.range(50).select(F.concat(F.lit("c"), F.col("id") % 20).alias("claim_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("seen_at"))
-    claims.repartition(4).write.mode("overwrite").parquet(src)
-    for _ in range(2):
-        live.ledger_stream(live.point_stream(spark, src, claims.schema), f"{ledger}/l", tempfile.mkdtemp(prefix="spark-") if _ else ck).awaitTermination()
-    ids = [r.claim_id for r in spark.read.parquet(f"{ledger}/l").collect()]
-    assert sorted(ids) == sorted({f"c{i}" for i in range(20)})
+    for k in range(3):
+        claims.where(F.col("id") >= (30 if k else 0)).repartition(2).write.mode("append").parquet(f"{src}/s")
+        query = live.ledger_stream(live.point_stream(spark, f"{src}/s", claims.schema, 10), f"{ledger}/l", ck)
+        query.awaitTermination()
+        assert rows_read(query) == [20 if k else 50]
+    got = [(r.claim_id, (r.seen_at.timestamp() - 1_700_000_000) % 20) for r in spark.read.parquet(f"{ledger}/l").collect()]
+    assert sorted(got) == sorted((f"c{i}", i) for i in range(20))
+    # another checkpoint, which is told what the ledger has
+    spark.sql("select * from values ('c3', timestamp '2024-01-01'), ('new', timestamp '2024-01-02'), ('new', timestamp '2024-01-01') v(claim_id, seen_at)").write.mode("append").parquet(f"{src}/s")
+    live.ledger_stream(live.point_stream(spark, f"{src}/s", claims.schema, 10), f"{ledger}/m", folder(), known=spark.read.parquet(f"{ledger}/l")).awaitTermination()
+    assert [r.claim_id for r in spark.read.parquet(f"{ledger}/m").collect()] == ["new"]
 
 
 def test_artifacts(spark):
-    where = tempfile.mkdtemp(prefix="spark-")
+    where = folder()
     with open(f"{where}/a.jsonl", "w") as f:
         f.write('{"k": 1, "v": "x"}\nnot json\n{"k": 2, "v": null}\n')
     rows = read_artifact(spark, f"{where}/a.jsonl", "k long, v string")
