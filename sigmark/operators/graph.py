@@ -1,4 +1,4 @@
-"""Components, levels, leaf paths and snapshot differences."""
+"""Components and levels."""
 
 from __future__ import annotations
 
@@ -54,13 +54,3 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         left = cut(left.join(free, "id", "left_anti"))
         arcs = cut(arcs.join(free.withColumnRenamed("id", "a"), "a", "left_anti").select("a", "b"))
         level += 1
-
-
-def diff_tables(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row a difference: removed or added records, and changed columns of others."""
-    a = old.select(F.col(key), F.struct(*columns).alias("_a"))
-    b = new.select(F.col(key), F.struct(*columns).alias("_b"))
-    j = a.join(b, key, "full_outer")
-    changed = F.filter(F.array(*[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
-    kind = F.when(F.col("_b").isNull(), F.array(F.lit("removed"))).when(F.col("_a").isNull(), F.array(F.lit("added"))).otherwise(changed)
-    return j.select(key, F.explode(kind).alias("change"))

@@ -196,12 +196,6 @@ def x06(t: Tables):
     return e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
 
 
-@query("x08_no_derivation", "select o_orderkey, round(o_totalprice, 2) as node_value from orders join (select l_orderkey, count(*) as n from lineitem group by 1) on o_orderkey = l_orderkey where (o_totalprice > 1000 * n) is distinct from true")
-def x08(t: Tables):
-    n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return t.orders.join(n, "o_orderkey").where(~(F.col("o_totalprice") > 1000 * F.col("n")).eqNullSafe(F.lit(True))).select("o_orderkey", F.round("o_totalprice", 2).alias("node_value"))
-
-
 @query("x09_vocabulary", "select o_orderpriority as value, count(*) as n from orders where o_orderpriority not in ('1-URGENT', '2-HIGH', '5-LOW') group by 1")
 def x09(t: Tables):
     vocab = t.spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("5-LOW",)], "value string")
@@ -216,14 +210,6 @@ def x11(t: Tables):
     return t.orders.withColumn("r", F.row_number().over(w)).where("r <= 5").select("o_orderstatus", "o_orderkey")
 
 
-@query("x12_snapshot_diff", "with n as (select o_orderkey, case when o_orderkey % 100 = 1 then o_orderstatus || '!' else o_orderstatus end as s, case when o_orderkey % 100 = 2 then null else o_totalprice end as p from orders where o_orderkey % 100 <> 3), o as (select o_orderkey, o_orderstatus as s, o_totalprice as p from orders where o_orderkey % 100 <> 4), j as (select o_orderkey, o.o_orderkey is null as added, n.o_orderkey is null as removed, o.s as s1, n.s as s2, o.p as p1, n.p as p2 from (select o_orderkey from o union select o_orderkey from n) left join o using (o_orderkey) left join n using (o_orderkey)) select o_orderkey, 'removed' as change from j where removed union all select o_orderkey, 'added' from j where added union all select o_orderkey, 's' from j where not added and not removed and s1 is distinct from s2 union all select o_orderkey, 'p' from j where not added and not removed and p1 is distinct from p2")
-def x12(t: Tables):
-    k = F.col("o_orderkey") % 100
-    base = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("p"))
-    new = base.where(k != 3).withColumns({"s": F.when(k == 1, F.concat("s", F.lit("!"))).otherwise(F.col("s")), "p": F.when(k != 2, F.col("p"))})
-    return graph.diff_tables(base.where(k != 4), new, "o_orderkey", ["s", "p"])
-
-
 @query("x13_dangling_refs", "select l_orderkey, l_linenumber from lineitem where l_partkey not in (select p_partkey from part where p_size > 5)")
 def x13(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(t.part.where("p_size > 5").select("p_partkey"), "p_partkey", "left_anti").select("l_orderkey", "l_linenumber")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import bank, regimes, terms
+from ..operators import bank, records, regimes, terms
 from ..sources.tables import Tables, read_artifact, write_artifact
 from .b_triage_bank import _GRID, _MONO, FITS, bank_sql, fits, mono
 from .c_pooling import p04
@@ -169,22 +169,14 @@ def x02(t: Tables):
     return hit.groupBy("item_id", "source").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("term").alias("n_names"))
 
 
-_JSON = "js as (select event_id, '{\"a\": ' || props || ', \"list\": [1, 2], \"none\": null, \"empty\": {}, \"kind\": \"' || event_type || '\"}' as doc from events)"
+_JSON = "js as (select event_id, '{\"a\": ' || props || ', \"list\": [1, 2], \"none\": null, \"empty\": {}, \"kind\": \"' || event_type || '\", \"deep\": {\"b\": {\"c\": {\"d\": {\"e\": {\"f\": {\"g\": {\"h\": {\"i\": {\"j\": ' || event_id || '}}}}}}}}}}' as doc from events)"
 _TREE = _JSON + ", tr as (select event_id, fullkey, type, coalesce(atom::varchar, value::varchar) as v, path from js, json_tree(js.doc)), lf as (select event_id, replace(fullkey, '$.', '') as path, type from tr where fullkey <> '$' and fullkey not like '%[%' and (type <> 'OBJECT' or v = '{}'))"
 
 
 def leaves(t: Tables):
-    """(event_id, path): the leaves of nested records, level by level; lists, nulls and empty objects are leaves."""
-    doc = F.concat(F.lit('{"a": '), F.col("props"), F.lit(', "list": [1, 2], "none": null, "empty": {}, "kind": "'), F.col("event_type"), F.lit('"}'))
-    level = t.events.select("event_id", F.lit("").alias("path"), F.parse_json(doc).alias("v"))
-    out = None
-    for _ in range(4):  # deeper records go on in the same way
-        open_ = F.schema_of_variant("v").startswith("OBJECT") & (F.schema_of_variant("v") != "OBJECT<>")
-        leaf = level.where(~open_ | F.col("v").isNull()).where("path <> ''").select("event_id", "path", F.to_json("v").alias("value"))
-        out = leaf if out is None else out.unionByName(leaf)
-        inner = level.where(open_).alias("l").lateralJoin(t.spark.tvf.variant_explode(F.col("l.v").outer()).alias("x"))
-        level = inner.select(F.col("l.event_id").alias("event_id"), F.when(F.col("l.path") == "", F.col("x.key")).otherwise(F.concat_ws(".", "l.path", "x.key")).alias("path"), F.col("x.value").alias("v"))
-    return out
+    """(event_id, path): the leaves of events as nested records."""
+    doc = F.concat(F.lit('{"a": '), F.col("props"), F.lit(', "list": [1, 2], "none": null, "empty": {}, "kind": "'), F.col("event_type"), F.lit('", "deep": {"b": {"c": {"d": {"e": {"f": {"g": {"h": {"i": {"j": '), F.col("event_id").cast("string"), F.lit("}}}}}}}}}}"))
+    return records.leaves(t.events.select("event_id", F.parse_json(doc).alias("record")), ["event_id"])
 
 
 @query("x03_leaf_paths", f"with {_TREE} select event_id, path from lf")
@@ -200,12 +192,65 @@ def x10(t: Tables):
     return n.join(F.broadcast(total)).select("path", "n", F.col("path").isin("a.k", "kind").alias("explained"), r6(F.col("n") / F.col("m")).alias("share"))
 
 
-@query("x04_resolve_path", "select l_orderkey, arg_min(l_quantity, (l_suppkey, l_quantity)) filter (l_linenumber = 2)::double as quantity, count(*) filter (l_linenumber = 2) as n_matches from lineitem group by 1")
+#: Paths that are resolved in each order's record.
+PATHS = ["items[line=2].quantity", "items[0].line", "items[line=2]", "status.now", "status.was", "items[line=99].quantity", "items[7].line", "nothing.here", "items[line=1", "status[0]"]
+
+
+def order_records(t: Tables):
+    """(o_orderkey, record): an order with its lines, by line number, supplier and quantity."""
+    items = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("quantity")))).alias("items"))
+    o = t.orders.join(items, "o_orderkey").select("o_orderkey", F.struct("items", F.struct(F.col("o_orderstatus").alias("now"), F.lit(None).cast("string").alias("was")).alias("status")).alias("r"))
+    return o.select("o_orderkey", F.parse_json(F.to_json("r", {"ignoreNullFields": "false"})).alias("record"))
+
+
+_REC = "it as (select l_orderkey as o_orderkey, list({'line': l_linenumber, 'supplier': l_suppkey, 'quantity': l_quantity} order by l_linenumber, l_suppkey, l_quantity) as items from lineitem group by 1), rc as (select o_orderkey, o_orderstatus as now, items, list_filter(items, lambda x: x.line = 2) as two from orders join it using (o_orderkey))"
+
+
+@query("x04_resolve_path", f"""with {_REC}, p as (
+select o_orderkey, unnest({PATHS!r}) as path, unnest([len(two) > 0, true, len(two) > 0, true, true, false, len(items) > 7, false, false, false]) as found,
+unnest([two[1].quantity::varchar, items[1].line::varchar, case when len(two) > 0 then 'object' end, now, null, null, items[8].line::varchar, null, null, null]) as value from rc)
+select * from p""")
 def x04(t: Tables):
-    """The path ``items[line=2].quantity`` of an order's record: the first item that matches, null if none does."""
-    orders = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity")))).alias("items"))
-    hit = F.filter("items", lambda x: x["line"] == 2)
-    return orders.select("l_orderkey", F.get(hit, F.lit(0))["quantity"].cast("double").alias("quantity"), F.size(hit).cast("long").alias("n_matches"))
+    """What each of a table of paths leads to in each order's record: keys, places, selectors, a stored null, and paths that lead nowhere."""
+    paths = t.spark.createDataFrame([(p,) for p in PATHS], "path string")
+    r = order_records(t).join(F.broadcast(paths)).withColumn("r", records.resolve(F.col("record"), F.col("path")))
+    v = F.col("r.value")
+    number = F.coalesce(v.try_cast("long").cast("string"), v.try_cast("string"))
+    text = F.when(v.try_cast("map<string,variant>").isNotNull(), "object").when(F.col("path").endswith("quantity"), v.try_cast("double").cast("string")).otherwise(number)
+    return r.select("o_orderkey", "path", F.col("r.found").alias("found"), text.alias("value"))
+
+
+@query("x08_no_derivation", f"with {_REC}, q as (select *, two[1].quantity as source from rc) select o_orderkey, len(two) > 0 as found from q where len(two) = 0 or o_orderkey % 7 = 0")
+def x08(t: Tables):
+    """Nodes that don't hold what their path leads to: those of orders without a second line, and of each seventh, whose value was derived."""
+    nodes = t.lineitem.where("l_linenumber = 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min_by("l_quantity", F.struct("l_suppkey", "l_quantity")).alias("q"))
+    r = order_records(t)
+    value = F.when(F.col("o_orderkey") % 7 == 0, F.col("q") + 1).otherwise(F.col("q")).cast("string")
+    n = r.select("o_orderkey").join(nodes, "o_orderkey", "left").select("o_orderkey", F.lit("items[line=2].quantity").alias("path"), value.alias("value"))
+    return records.underived(n, r, "o_orderkey").select("o_orderkey", "found")
+
+
+_OLD = "'{\"a\": ' || props || ', \"l\": [1, {\"x\": 2}, 3], \"n\": 1, \"s\": \"' || event_type || '\", \"z\": null}'"
+_NEW = "'{\"a\": ' || case event_id % 9 when 0 then '7' else props end || ', \"l\": ' || case event_id % 9 when 1 then '[1, {\"x\": 2}]' when 2 then '[3, {\"x\": 2}, 1]' when 3 then '[1, {\"x\": 5}, 3]' else '[1, {\"x\": 2}, 3]' end || ', \"n\": ' || case event_id % 9 when 4 then '1.0' when 5 then '\"1\"' else '1' end || case event_id % 9 when 6 then '' else ', \"s\": \"' || event_type || '\"' end || ', \"z\": ' || case event_id % 9 when 7 then '{\"y\": [0]}, \"fresh\": {\"y\": 1}, \"note\": 2' else 'null' end || '}'"
+_JT = "select event_id, fullkey, case when type in ('BIGINT', 'UBIGINT', 'DOUBLE') then 'NUMBER' else type end as kind, case when type = 'ARRAY' then json_array_length(value) end as size, case when type = 'ARRAY' then cast(json_extract(value, '$[*]') as varchar[]) end as items, case when type not in ('ARRAY', 'OBJECT') then atom::varchar end as atom from {0}, json_tree({0}.doc)"
+_DIFF = f"""with ov as (select event_id, {_OLD} as doc from events where event_id % 11 <> 0), nv as (select event_id, {_NEW} as doc from events where event_id % 13 <> 0),
+o as ({_JT.format('ov')}), n as ({_JT.format('nv')}),
+j as (select coalesce(o.event_id, n.event_id) as event_id, coalesce(o.fullkey, n.fullkey) as path,
+  case when n.fullkey is null then case when o.fullkey = '$' then 'record_removed' else 'key_removed' end
+       when o.fullkey is null then case when n.fullkey = '$' then 'record_added' when n.fullkey = '$.note' then 'allowed' else 'unexpected_new_key' end
+       when o.kind <> n.kind then 'type_changed' when o.size <> n.size then 'list_length_changed'
+       when o.items <> n.items and list_sort(o.items) = list_sort(n.items) then 'list_order_changed'
+       when o.kind = 'NUMBER' and o.atom::double <> n.atom::double then 'value_changed'
+       when o.kind not in ('NUMBER', 'OBJECT', 'ARRAY') and o.atom is distinct from n.atom then 'value_changed' end as issue
+  from o full join n on o.event_id = n.event_id and o.fullkey = n.fullkey),
+d as (select * from j where issue is not null)"""
+
+
+@query("x12_snapshot_diff", f"{_DIFF} select event_id, path, issue from d where issue <> 'allowed' and not exists (select 1 from d s where s.event_id = d.event_id and (starts_with(d.path, s.path || '.') or starts_with(d.path, s.path || '[')))")
+def x12(t: Tables):
+    """Two versions of nested records: every class of difference, told once, at the highest place that it concerns."""
+    version = lambda df, doc: df.select("event_id", F.parse_json(F.expr(doc)).alias("record"))
+    return records.typed_diff(version(t.events.where("event_id % 11 <> 0"), _OLD), version(t.events.where("event_id % 13 <> 0"), _NEW), ["event_id"], [r"^\$\.note$"])
 
 
 @query("y04_overview", f"with b as ({SQL['n06_blockers']}), t as ({LADDER} select tier, count(*) as n from tier group by 1) select 'tier' as kind, tier as name, n::bigint as n from t union all select 'blocker', blocker, n from (select blocker, n::bigint as n from b order by n desc, blocker limit 5)")
