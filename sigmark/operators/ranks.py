@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from .selection import kth, running
 
 
 def avg_rank(value: str, *by: str) -> Column:
@@ -110,9 +111,9 @@ def youden(rows: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
 
 
 def split_half(rows: DataFrame, key: str, label: str, share: float = 0.5) -> DataFrame:
-    """rows with train: a deterministic share of each label, by an md5 of the key."""
-    w = Window.partitionBy(label)
-    return rows.withColumn("train", F.row_number().over(w.orderBy(parse.seed(F.col(key), "split"), key)) <= F.floor(F.count("*").over(w) * share))
+    """rows with train: a deterministic share of each label, by an md5 of the key, which tells rows apart."""
+    r = running(rows.withColumns({"_seed": parse.seed(F.col(key), "split"), "_one": F.lit(1)}), [label], ["_seed", key], "_one")
+    return r.withColumn("train", F.col("below") + 1 <= F.floor(F.col("total") * share)).drop("_seed", "_one", "below", "total")
 
 
 def confusion(rows: DataFrame, truth: str, chosen: str) -> DataFrame:
@@ -122,14 +123,11 @@ def confusion(rows: DataFrame, truth: str, chosen: str) -> DataFrame:
 
 def conformal_q(scores: DataFrame, score: str, alpha: float, *by: str) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest score, the largest where that lies beyond n."""
-    w = Window.partitionBy(*by)
-    r = scores.withColumn("_r", F.row_number().over(w.orderBy(score))).withColumn("_n", F.count("*").over(w))
-    goal = F.least(F.col("_n"), F.ceil((F.col("_n") + 1) * (1 - alpha)))
-    return r.where(F.col("_r") == goal).select(*by, F.col(score).alias("q"), F.col("_n").alias("n"))
+    return kth(scores, [*by], score, F.least(F.col("total"), F.ceil((F.col("total") + 1) * (1 - alpha))))
 
 
 def mondrian_q(scores: DataFrame, score: str, alpha: float, stratum: str, least: int = 20) -> DataFrame:
     """Quantiles by stratum; the marginal one where a stratum has fewer than so many scores."""
     own = conformal_q(scores, score, alpha, stratum)
-    whole = conformal_q(scores.withColumn("_one", F.lit(1)), score, alpha, "_one").select(F.col("q").alias("_q"))
+    whole = conformal_q(scores, score, alpha).select(F.col("q").alias("_q"))
     return own.join(F.broadcast(whole)).select(stratum, "n", F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("_q")).alias("q"), (F.col("n") < least).alias("marginal"))

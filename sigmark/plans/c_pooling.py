@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..operators import pooling, regression
+from ..operators import pooling, regression, selection
 from ..operators.graph import cut
 from ..sources.tables import Tables
 from .registry import query, r6, rounded
@@ -317,16 +317,11 @@ def l01(t: Tables):
     return groups(t).select("protein", "study", "assay", F.round("t50", 4).alias("t50"), "n_bounds", F.col("t50").isNull().alias("censored_only"))
 
 
-def hazen(value, *by):
-    """Mid-rank percentile within a group, from counts below and equal."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return 100 * (F.rank().over(w) - 1 + 0.5 * F.count("*").over(Window.partitionBy(*by, value))) / F.count("*").over(Window.partitionBy(*by))
-
-
 @query("l02_hazen_rank", f"{_G} select protein, study, assay, round(100 * (rank() over (partition by assay order by t50) - 1 + 0.5 * count(*) over (partition by assay, t50)) / count(*) over (partition by assay), 6) as percentile from g where t50 is not null")
 def l02(t: Tables):
-    g = groups(t).where("t50 is not null")
-    return g.select("protein", "study", "assay", r6(hazen(F.col("t50"), "assay")).alias("percentile"))
+    """Mid-rank percentile among all groups of the assay."""
+    g = selection.hazen(cut(groups(t).where("t50 is not null"), "groups"), ["assay"], "t50")
+    return g.select("protein", "study", "assay", r6("percentile").alias("percentile"))
 
 
 @query("l03_intrinsic_anchor", f"{_G}, c as (select *, count(*) over (partition by assay) - count(*) over (partition by assay, study) as pool from g where t50 is not null) select protein, study, assay, pool, case when pool >= 20 then 'corpus_with_interval' when pool >= 8 then 'corpus' else 'reference_scale' end as anchor from c")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import bank, records, regimes, terms
+from ..operators import bank, records, regimes, selection, terms
 from ..sources.tables import Tables, read_artifact, write_artifact
 from .b_triage_bank import _GRID, _MONO, FITS, bank_sql, fits, mono
 from .c_pooling import p04
@@ -137,7 +137,7 @@ def w16(t: Tables):
     e = F.array(*[F.exp(-F.abs(F.lit(k) - at)) for k in range(5)])
     s = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("truth"), e.alias("e")).withColumn("score", F.transform("e", lambda x: F.round(x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b), 9)))
     s = s.withColumn("own", F.element_at("score", F.array_position(F.array(*map(F.lit, names)), F.col("truth")).cast("int")))
-    q = s.agg(F.percentile(1 - F.col("own"), F.lit(0.9)).alias("q"))
+    q = selection.quantile(s.select((1 - F.col("own")).alias("lack")), [], "lack", 0.9)
     j = s.join(F.broadcast(q)).withColumn("inside", F.transform("score", lambda x: (1 - x <= F.col("q")) | (x == F.array_max("score"))))
     j = j.withColumn("size", F.size(F.filter("inside", lambda x: x)).cast("long"))
     return j.select("o_orderkey", "size", (F.col("size") == 5).alias("saturated"), F.element_at("inside", F.array_position(F.array(*map(F.lit, names)), F.col("truth")).cast("int")).alias("covered"))
