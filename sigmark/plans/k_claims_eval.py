@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators import bank, records, regimes, selection, terms
-from ..sources.tables import Tables, read_artifact, write_artifact
+from ..sources.tables import Tables, publish, read_artifact, read_published
+from .a_sources import a17
 from .b_triage_bank import _GRID, _MONO, FITS, bank_sql, fits, mono
 from .c_pooling import p04
 from .d_ranks import _CONF, _PARTS, chosen, parts, r01, r03, r04, r05, r06
@@ -325,15 +326,16 @@ def a11(t: Tables):
     return read_artifact(t.spark, where, "o_orderkey long, o_orderstatus string")
 
 
-@query("a12_write_artifact", "select o_orderstatus, count(*) as n, count(distinct o_orderkey) as n_keys from orders group by 1")
+@query("a12_write_artifact", f"select o_orderstatus, count(*) as n, count(distinct o_orderkey) as n_keys, 1::bigint as n_builds, any_value(build_id) as build_id from orders, ({SQL['a17_build_id']}) group by 1")
 def a12(t: Tables):
-    """One record a key, the whole table replaced: written twice, it holds each key once."""
+    """The whole table published twice, stamped with its build: the newest version holds each key once, and one build."""
     from ..operators.graph import shared_path
 
     where = shared_path(t.spark, "artifact")
-    for _ in range(2):
-        write_artifact(t.orders.select("o_orderkey", "o_orderstatus"), where, ["o_orderstatus"])
-    return t.spark.read.parquet(where).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_keys"))
+    build = a17(t).first().build_id
+    publish(t.orders.where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderstatus"), where, "draft")
+    publish(t.orders.select("o_orderkey", "o_orderstatus"), where, build)
+    return read_published(t.spark, where).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_keys"), F.countDistinct("build_id").alias("n_builds"), F.first("build_id").alias("build_id"))
 
 
 @query("v02_ledger_stream", "select event_type, count(*) as n_rows, count(distinct event_id) as n_claims from events group by 1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -64,3 +67,57 @@ def write_artifact(df: DataFrame, path: str, by: list[str] | None = None) -> Non
     """The whole table anew, one record a key."""
     out = df.write.mode("overwrite")
     (out.partitionBy(*by) if by else out).parquet(path)
+
+
+#: Folder of a published artifact's manifests, one a version.
+MANIFESTS = "_manifests"
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of path, and a maker of its paths."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    fs, at = _store(spark, path)
+    where = at(f"{path}/{MANIFESTS}")
+    names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(x) for x in names if x.isdigit())
+
+
+def publish(df: DataFrame, path: str, build: str) -> int:
+    """Publish df, each row stamped with its build, as the next version of an artifact.
+
+    The rows go to a folder of their own, and then one rename brings in the manifest
+    that names it: readers have the old version whole until then, and a write that
+    fails leaves no trace that they could see.  Of two writers that race for a number
+    one takes the next.
+    """
+    spark = df.sparkSession
+    fs, at = _store(spark, path)
+    data = f"{path}/data-{uuid.uuid4().hex}"
+    df.withColumn("build_id", F.lit(build)).write.parquet(data)
+    draft = at(f"{path}/draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps({"data": data, "build_id": build}).encode()))
+    out.close()
+    fs.mkdirs(at(f"{path}/{MANIFESTS}"))
+    number = max(versions(spark, path), default=0) + 1
+    while fs.exists(at(f"{path}/{MANIFESTS}/{number}")) or not fs.rename(draft, at(f"{path}/{MANIFESTS}/{number}")):
+        number += 1
+    return number
+
+
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
+    """What a version, else the newest, consists of; nothing if none is published."""
+    known = versions(spark, path)
+    if not known:
+        return None
+    text = spark.read.text(f"{path}/{MANIFESTS}/{version or known[-1]}", wholetext=True).first()
+    return json.loads(text.value)
+
+
+def read_published(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version's rows; they stay as they are, whatever is published meanwhile."""
+    return spark.read.parquet(manifest(spark, path, version)["data"])

@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from sigmark.operators import curves, features
-from sigmark.sources.tables import Tables, read_artifact, write_artifact
+from sigmark.sources.tables import Tables, manifest, publish, read_artifact, read_published, write_artifact
 from sigmark.streaming import live
 
 from .conftest import DATA
@@ -87,3 +88,19 @@ def test_artifacts(spark):
     assert read_artifact(spark, f"{where}/none.jsonl", "k long").count() == 0
     write_artifact(rows, f"{where}/out", ["k"])
     assert spark.read.parquet(f"{where}/out").count() == 2
+
+
+def test_publication_is_atomic(spark):
+    where = folder() + "/artifact"
+    assert manifest(spark, where) is None
+    assert publish(spark.range(5), where, "one") == 1
+    reader = read_published(spark, where)
+    assert publish(spark.range(3), where, "two") == 2
+    assert sorted(r.id for r in reader.collect()) == [0, 1, 2, 3, 4]
+    broken = spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("lost"))).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        publish(broken, where, "three")
+    assert {(r.id, r.build_id) for r in read_published(spark, where).collect()} == {(k, "two") for k in range(3)}
+    # the rerun of a failed write, and an older version
+    assert publish(spark.range(9), where, "three") == 3 and manifest(spark, where)["build_id"] == "three"
+    assert read_published(spark, where).count() == 9 and read_published(spark, where, 1).count() == 5
