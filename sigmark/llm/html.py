@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -52,8 +54,58 @@ OTHER_TAGS = {"head", "title", "nav", "header", "footer", "aside", "form", "butt
 OTHER_NAMES = re.compile(r"\b(ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|sidebar|footer|header|cookie\S*|notice|comments?|related|newsletter|share|social|popup)\b")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+MARK, NAME_END = re.compile("[>\"']"), re.compile(r"[\s/>]")
 NAMES = re.compile(r"(?:\s|^)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
+#: Blocks of a group of pages that are labelled together, each page counted as long as the longest; a longer page is alone.
+CELLS = 1 << 14
+
+
+class Tokens:
+    """Tags and comments of a page from left to right, in time that grows with the page, however broken it is.
+
+    A ``<`` begins a tag if an unquoted ``>`` follows.  After the first that doesn't,
+    it is worked out for all places, from the right, over the marks ``>``, ``"`` and ``'``.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last, self.stop = html, html.rfind(">"), -1
+        self.places: list[int] | None = None
+
+    def _look_ahead(self) -> None:
+        html = self.html
+        self.places = [m.start() for m in MARK.finditer(html)]
+        # does reading on from mark k, outside quotes or inside either kind, reach an unquoted >
+        n = len(self.places)
+        self.plain, double, single = bytearray(n + 1), 0, 0
+        for k in range(n - 1, -1, -1):
+            c, ahead = html[self.places[k]], self.plain[k + 1]
+            self.plain[k] = 1 if c == ">" else double if c == '"' else single
+            double, single = (ahead if c == '"' else double), (ahead if c == "'" else single)
+
+    def _name_ends(self, at: int) -> int:
+        if self.stop < at:
+            m = NAME_END.search(self.html, at)
+            self.stop = m.start() if m else len(self.html)
+        return self.stop
+
+    def next(self, at: int) -> re.Match | None:
+        """The first token from there on."""
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            if self.places is None:
+                if m := TOKEN.match(html, at):
+                    return m
+                self._look_ahead()
+            first = html[at + 1 : at + 2]
+            if html.startswith("<!--", at) or first in ("!", "?") and self.last > at:
+                return TOKEN.match(html, at)
+            name = at + 1 + (first == "/")
+            if first and html[name : name + 1].isascii() and html[name : name + 1].isalpha() and self.plain[bisect_left(self.places, self._name_ends(name))]:
+                return TOKEN.match(html, at)
+            at += 1
+        return None
+
 
 class Block:
     __slots__ = ("path", "text", "linked")
@@ -68,25 +120,30 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked, where, at = 0, (), 0
+    linked, where, at, begun = 0, (), 0, False
+    tokens, unclosed, opened = Tokens(html), set(), Counter()
 
     def text(raw: str) -> None:
-        nonlocal linked, where
+        nonlocal linked, where, begun
         if raw and not raw.isspace():
-            if not "".join(parts).strip():
-                where = tuple(x for _, x in stack)
-            if any(t == "a" for t, _ in stack):
+            if not begun:
+                where, begun = tuple(x for _, x in stack), True
+            if opened["a"]:
                 linked += len(raw)
         parts.append(raw)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, begun
         if t := " ".join(unescape("".join(parts)).split()):
             out.append(Block(tuple(p for p in where if p.partition(".")[0] not in INLINE), t, linked))
         parts.clear()
-        linked = 0
+        linked, begun = 0, False
+
+    def close(i: int) -> None:
+        opened.subtract(t for t, _ in stack[i:])
+        del stack[i:]
 
-    while m := TOKEN.search(html, at):
+    while m := tokens.next(at):
         text(html[at : m.start()])
         at = m.end()
         if m[2] is None:
@@ -95,15 +152,15 @@ def blocks(html: str | None) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag == "svg" and m[3].rstrip().endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            if not end:
+                unclosed.add(tag)
             if end or tag not in OPEN:
                 at = end.end() if end else len(html)
             continue
@@ -112,16 +169,17 @@ def blocks(html: str | None) -> list[Block]:
                 parts.append(" ")
         else:
             flush()
-            if shut := CLOSED_BY.get(tag):
+            if (shut := CLOSED_BY.get(tag)) and any(opened[x] for x in shut):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in shut:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] not in INLINE and stack[i][0] not in shut:
                         break
         if tag not in VOID and not m[3].rstrip().endswith("/"):
             names = " ".join(next(v for v in x[1:] if v or v == x[-1]) for x in NAMES.findall(m[3])).lower() if m[3] else ""
             stack.append((tag, f"{tag}.{names}" if names else tag))
+            opened[tag] += 1
     text(html[at:])
     flush()
     return out
@@ -302,8 +360,9 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
                 read = [blocks(h) for h in part.column("html").to_pylist()]
                 text = [""] * len(read)
                 some = sorted((i for i, x in enumerate(read) if x), key=lambda i: len(read[i]))
-                for k in range(0, len(some), 32):  # pages of like length together
-                    group = some[k : k + 32]
+                while some:  # pages of like length together, the longest first
+                    fit = max(1, min(32, CELLS // len(read[some[-1]])))
+                    group, some = some[-fit:], some[:-fit]
                     x, mask = padded([vectors(read[i], cache) for i in group])
                     yes = known.value.scores(x, mask) > 0
                     for j, i in enumerate(group):

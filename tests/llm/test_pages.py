@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from sigmark.llm import chat, html, queries, urls
+from tests.conftest import DATA
 
 
 def plain(url, rules, listed):
@@ -170,3 +174,32 @@ def test_extraction_of_pages_and_layouts_held_out(spark):
             good += text(f"<html><head><title>{v['h']}</title></head><body>{layout.format(**v)}</body></html>") == "\n\n".join(" ".join(v[k].split()) for k in keys.split())
             tried += 1
     assert good >= 0.9 * tried
+
+
+BROKEN = {"tag": "<a " * 350_000, "raw": "<svg>" * 200_000, "quote": '<a "x' * 200_000 + ">", "name": "<a" * 500_000, "inline": "<b>x</b>" * 100_000, "close": "<b>" * 100_000 + "</x>" * 100_000, "doctype": "<!-" * 300_000}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_broken_megabytes_take_seconds(kind):
+    began = time.process_time()
+    html.blocks("<p>in front</p>" + BROKEN[kind])
+    assert time.process_time() - began < 5
+
+
+def test_tokens_equal_a_plain_search():
+    rng = random.Random(1)
+    bits = ["<a ", "<b>", "</b>", "<p class='x>y'>", "<!--", "-->", "<!x", "<?", "text", "'", '"', ">", "<", "</", "<1", "<é>", "<a/b", "\n", "<p'q>"]
+    for _ in range(3000):
+        page, at, tokens = "".join(rng.choice(bits) for _ in range(rng.randrange(30))), 0, []
+        reader = html.Tokens(page)
+        while m := reader.next(at):
+            tokens.append(m.span())
+            at = m.end()
+        assert tokens == [m.span() for m in html.TOKEN.finditer(page)]
+
+
+def test_a_very_long_page_among_short_ones(spark):
+    rows = [(1, "u", "<main>" + "<p>words of the article</p>" * 40_000 + "</main>"), (2, "v", None)] + [(k, "w", f"<main><p>a paragraph {k} of the article</p></main>") for k in range(3, 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.n_chars for r in html.extract(pages, html.train(spark.read.parquet(f"{DATA}/pages.parquet"))).collect()}
+    assert len(got) == 39 and got[2] == 0 and got[1] > 0
