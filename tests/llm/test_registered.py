@@ -6,13 +6,14 @@ import hashlib
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 
 from sigmark.llm import decontam, html, packing, urls
-from sigmark.llm.queries import QUERIES, URL_RULES
+from sigmark.llm.queries import QUERIES, SQL, URL_RULES
 from tests.conftest import DATA
 
 from .test_dedup import components, passages, repeated_lines
@@ -49,6 +50,13 @@ def test_op1(spark, documents):
     assert right >= 0.95 * tried > 0
 
 
+def test_op2(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    got = QUERIES["op2_quality_rules"](spark, DATA)
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({SQL['op2_quality_rules']})").fetchall())
+
+
 def test_op3(spark, documents):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op3_decontamination"](spark, DATA).collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
