@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import bank, records, regimes, selection, terms
+from ..operators import bank, basins, curves, records, regimes, selection, terms
+from ..operators.graph import cut
 from ..sources.tables import Tables, publish, read_artifact, read_published
 from .a_sources import a17
-from .b_triage_bank import _GRID, _MONO, FITS, bank_sql, fits, mono
+from .b_triage_bank import _GRID, FITS, bank_sql, fits, mono
 from .c_pooling import p04
 from .d_ranks import _CONF, _PARTS, chosen, parts, r01, r03, r04, r05, r06
 from .e_ladders import LADDER, n06, s06, tier_of
@@ -273,29 +274,42 @@ def y08(t: Tables):
     return s06(t).groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score")).orderBy(F.desc("n"), "field").limit(3)
 
 
-_BAS = f"with {PTS}, {_MONO}, {_GRID}, {bank_sql('mono', 'curve_id')}, o as (select curve_id, candidate % 3 as start, arg_min(candidate, (sse, candidate)) as candidate, min(sse) as sse from c where model = 'logistic' group by 1, 2), op as (select o.*, p1, p2 from o join grid using (candidate)), wn as (select curve_id, arg_min(p1, (sse, candidate)) as w1, arg_min(p2, (sse, candidate)) as w2, min(sse) as ws, count(*) as n from op group by 1), rv as (select op.curve_id, count(*) filter (abs(ln(p1 / w1)) + abs(p2 - w2) > 0.75) as n_rivals, min(sse) filter (abs(ln(p1 / w1)) + abs(p2 - w2) > 0.75) as rs, any_value(ws) as ws, any_value(n) as n from op join wn using (curve_id) group by 1), ld as (select *, case when n < 2 then 'not_evaluable' when n_rivals = 0 then 'stable' when rs <= ws * 1.02 + 1e-6 then 'knife_edge' else 'stable' end as state from rv)"
-
-
-def basins(t: Tables):
-    """Outcomes of three starts of each curve's logistic fit: starts in another basin than the winner are rivals, and a rival nearly as good makes a knife edge."""
-    p = bank.profiles(mono(t).select("curve_id", "x", "y"), bank.grid(t.spark).where("model = 'logistic'"), ["curve_id"])
-    o = p.groupBy("curve_id", (F.col("candidate") % 3).alias("start")).agg(F.min_by("candidate", F.struct("sse", "candidate")).alias("candidate"), F.min("sse").alias("sse"))
-    o = o.join(F.broadcast(bank.grid(t.spark).select("candidate", "p1", "p2")), "candidate")
-    w = o.groupBy("curve_id").agg(F.min_by(F.struct("p1", "p2"), F.struct("sse", "candidate")).alias("w"), F.min("sse").alias("ws"), F.count("*").alias("n"))
-    j = o.join(w, "curve_id").withColumn("rival", F.abs(F.ln(F.col("p1") / F.col("w.p1"))) + F.abs(F.col("p2") - F.col("w.p2")) > 0.75)
-    g = j.groupBy("curve_id").agg(F.count(F.when(F.col("rival"), 1)).alias("n_rivals"), F.min(F.when(F.col("rival"), F.col("sse"))).alias("rs"), F.first("ws").alias("ws"), F.first("n").alias("n"))
-    return g.withColumn("state", F.when(F.col("n") < 2, "not_evaluable").when(F.col("n_rivals") == 0, "stable").when(F.col("rs") <= F.col("ws") * 1.02 + 1e-6, "knife_edge").otherwise("stable"))
-
-
-@query("e17_basin_ledger", f"{_BAS} select curve_id, n_rivals, state from ld")
+_LATTICE = basins.lattice("logistic")
+_NEAR = "nb(a, b) as (values " + ", ".join(f"({g[0]}, {_LATTICE[j][0]})" for g in _LATTICE for j in g[3]) + ")"
+_JUMPS = ", ".join(f"j{i} as (select x.curve_id, x.a, y.b from j{i - 1} x join j{i - 1} y on x.curve_id = y.curve_id and x.b = y.a)" for i in range(1, 7))
+_FAR = "greatest(" + ", ".join(f"abs(a.{p} - b.{p}) / greatest(abs(a.{p}), abs(b.{p}), 1e-12)" for p in ("p1", "p2", "base", "amp")) + ")"
+_UNIT = "unit as (select curve_id, y / greatest(1e-9, max(abs(y)) over (partition by curve_id)) as y, case when max(t) over (partition by curve_id) > min(t) over (partition by curve_id) then (t - min(t) over (partition by curve_id)) / (max(t) over (partition by curve_id) - min(t) over (partition by curve_id)) else 0 end as x from (select * from (select *, row_number() over (partition by curve_id, t order by seq) as r from pts) where r = 1))"
+_BAS = f"""with recursive {PTS}, {_UNIT}, {_GRID}, {bank_sql('unit', 'curve_id')}, lg as (select curve_id, candidate, sse, base, amp, sst, p1, p2 from c join grid using (model, candidate) where model = 'logistic'), {_NEAR},
+j0 as (select l.curve_id, l.candidate as a, arg_min(m.candidate, (m.sse, m.candidate)) as b from lg l join nb on l.candidate = nb.a join lg m on m.curve_id = l.curve_id and m.candidate = nb.b group by 1, 2), {_JUMPS},
+o as (select j6.curve_id, j6.a as start, lg.* exclude (curve_id) from j6 join lg on lg.curve_id = j6.curve_id and lg.candidate = j6.b),
+ok as (select * from o where amp > 1e-9),
+link as (select a.curve_id, a.start as a, b.start as b from ok a join ok b on a.curve_id = b.curve_id and {_FAR} <= 1e-3),
+reach as (select curve_id, a, b from link union select r.curve_id, r.a, l.b from reach r join link l on l.curve_id = r.curve_id and l.a = r.b),
+named as (select ok.*, basin from ok join (select curve_id, a as start, min(b) as basin from reach group by 1, 2) using (curve_id, start)),
+st as (select curve_id, count(*) as n_starts, max(sst) as sst from o group by 1),
+wn as (select a.*, n_converged, n_basins from (select * from named qualify row_number() over (partition by curve_id order by sse, start) = 1) a join (select curve_id, count(*) as n_converged, count(distinct basin) as n_basins from named group by 1) using (curve_id)),
+rv as (select b.curve_id, count(*) filter (a.basin = b.basin) as n_agree, min(a.sse) filter (a.basin <> b.basin) as rival_sse, min({_FAR}) filter (a.basin <> b.basin) as param_gap from named a join wn b on a.curve_id = b.curve_id group by 1),
+al as (select st.curve_id, n_starts, coalesce(n_converged, 0) as n_converged, wn.start as win, wn.sse as win_sse, coalesce(n_basins, 0) as n_basins, n_agree / n_converged as share, rival_sse, (rival_sse - wn.sse) / greatest(wn.sse, 1e-12, st.sst * 1e-9) as gap, param_gap from st left join wn on st.curve_id = wn.curve_id left join rv on st.curve_id = rv.curve_id),
+ld as (select *, case when n_converged = 0 then 'no_fit' when n_converged = 1 then 'not_evaluable' when n_basins = 1 or gap > 1e-3 then 'stable' else 'knife_edge' end as state, case when n_converged = 0 then 'no_start_converged' when n_converged = 1 then 'single_start_converged' when n_basins = 1 then 'all_starts_agree' when gap > 1e-3 then 'rivals_decisively_worse' else 'basins_within_sse_tol' end as reason from al)"""
+
+
+def fit_basins(t: Tables):
+    """Every candidate of the logistic grid is a start of each curve's fit; curves are as measured, by their largest value."""
+    y = F.col("y") / F.greatest(F.lit(1e-9), F.max(F.abs("y")).over(Window.partitionBy("curve_id")))
+    unit = bank.scaled(curves.first_rows(t.points()).withColumn("y", y))
+    p = bank.profiles(unit.select("curve_id", "x", "y"), bank.grid(t.spark).where("model = 'logistic'"), ["curve_id"])
+    return basins.ledger(cut(basins.descend(p, "logistic", ["curve_id"])), ["curve_id"])
+
+
+@query("e17_basin_ledger", f"{_BAS} select curve_id, n_starts, n_converged, win, win_sse, n_basins, round(share, 6) as share, rival_sse, round(param_gap, 6) as param_gap, state, reason from ld")
 def e17(t: Tables):
-    return basins(t).select("curve_id", "n_rivals", "state")
+    return fit_basins(t).select("curve_id", "n_starts", "n_converged", "win", "win_sse", "n_basins", r6("share").alias("share"), "rival_sse", r6("param_gap").alias("param_gap"), "state", "reason")
 
 
-@query("e18_basin_stable", f"{_BAS} select curve_id from ld where state = 'stable'")
+@query("e18_basin_stable", f"{_BAS} select curve_id, win from ld where state = 'stable'")
 def e18(t: Tables):
     """Curves that may serve as anchors."""
-    return basins(t).where("state = 'stable'").select("curve_id")
+    return basins.stable(fit_basins(t)).select("curve_id", "win")
 
 
 _PAIRS = [("b", "a"), ("b", "k"), ("b", "m"), ("a", "k"), ("a", "m"), ("k", "m")]
