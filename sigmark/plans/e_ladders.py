@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import bank, design
 from ..sources.tables import Tables
 from .a_sources import _CURVES, first_conditions
+from .b_triage_bank import FITS, mono
 from .c_pooling import _U, units
 from .d_ranks import _PARTS, parts
 from .registry import query, r6, rounded
@@ -170,39 +172,61 @@ def o03(t: Tables):
     return recommend(t).groupBy("action").agg(F.count("*").alias("n_units"), F.countDistinct("protein").alias("n_proteins"), F.count(F.when(F.col("rank") == 1, 1)).alias("n_first"))
 
 
-_CAND = f"with {_PARTS}, cost(design, hours, price) as (values ('new_concentration', 6.0::double, 2.0::double), ('series', 30.0, 8.0), ('replicates', 12.0, 4.0), ('longer', 48.0, 3.0)), cand as (select part, protein, design, round(0.5 * log2(1 + case design when 'new_concentration' then y / 10 when 'series' then y / 3 when 'replicates' then 20 * d else x / 40000 end), 6) as bits, price, hours from pp, cost)"
+_PLAN = "pl(ord, fold, stretch, density, intervals, reps) as (values " + ", ".join(f"({i}, {a!r}::double, {b!r}::double, {c}, {d}, {e})" for i, a, b, c, d, e in design.curves_of_designs()) + ")"
+_NAMES = "nm(ord, design, cost, opens, gating) as (values " + ", ".join(f"({i}, '{d}', {(1.0 + sum(c[4] for c in cs)) if cs else 0.25!r}::double, {d == design.SERIES}, {d == design.NOTE})" for i, (d, cs) in enumerate(design.DESIGNS)) + ")"
+_DET = "0.5 * log2(({u} + a * ({p}11)) * ({u} + b * ({p}22)) - a * b * ({p}12) * ({p}12))"
+_OPEN = "0.5 * ln(1 + (f11 + f22) / 2) / ln(2::double)"
+_CAND = f"""{FITS}, {_PLAN}, {_NAMES},
+un as (select curve_id, p1 as k, p2 as t0, amp, n::integer as n, greatest(sse, 1e-6) / greatest(n - 4, 1) as sigma2, count(*) over (partition by curve_id // 10) >= 3 as has_series, hours from best join grid using (model, candidate) join (select curve_id, max(t) - min(t) as hours from pts group by 1) using (curve_id) where model = 'logistic'),
+gx as (select curve_id, ord, k, t0, amp, reps / sigma2 as w, unnest(range(0, (intervals * (n - 1) + 1)::bigint)) * (stretch * pow(fold, -1.0) / density / (n - 1)) as x from un, pl where n >= 2),
+gs as (select *, 1 / (1 + exp(greatest(-50, least(50, -k * (x - t0))))) as g from gx),
+inf as (select curve_id, ord, sum(w * pow(amp * g * (1 - g) * (x - t0), 2)) as f11, sum(-w * pow(amp * g * (1 - g), 2) * (x - t0) * k) as f12, sum(w * pow(amp * g * (1 - g) * k, 2)) as f22, max(x) as reach from gs group by 1, 2),
+cd as (select un.curve_id, nm.*, has_series, hours, greatest(1e-12, k * k) as a, greatest(1e-12, t0 * t0) as b, coalesce(f11, 0) as f11, coalesce(f12, 0) as f12, coalesce(f22, 0) as f22, reach from un cross join nm left join inf on inf.curve_id = un.curve_id and inf.ord = nm.ord where n >= 2),
+cand as (select *, case when gating then case when has_series then 2.0 else 0.0 end else {_DET.format(u='1', p='f')} + case when opens then {_OPEN} else 0 end end as bits, case when gating then 0 else 2 + hours * reach end as run_hours, case when not gating then greatest(0, 1 - sqrt((1 / b + f22) / ((1 / a + f11) * (1 / b + f22) - f12 * f12) / a), 1 - sqrt((1 / a + f11) / ((1 / a + f11) * (1 / b + f22) - f12 * f12) / b)) end as se_less from cd)"""
 
 
 def designs(t: Tables):
-    """Expected information of each design for each unit, with its cost and run time."""
-    cost = t.spark.createDataFrame([("new_concentration", 6.0, 2.0), ("series", 30.0, 8.0), ("replicates", 12.0, 4.0), ("longer", 48.0, 3.0)], "design string, hours double, price double")
-    gain = F.when(F.col("design") == "new_concentration", F.col("y") / 10).when(F.col("design") == "series", F.col("y") / 3).when(F.col("design") == "replicates", 20 * F.col("d")).otherwise(F.col("x") / 40000)
-    return parts(t).join(F.broadcast(cost)).select("part", "protein", "design", r6(0.5 * F.log2(1 + gain)).alias("bits"), "price", "hours")
+    """Every design for each curve by its logistic fit. Ten curves that follow one another are a series; what was done was never noted, and no exponent is known."""
+    f = bank.fit(mono(t).select("curve_id", "x", "y"), bank.grid(t.spark).where("model = 'logistic'"))
+    f = f.join(F.broadcast(bank.grid(t.spark)), ["model", "candidate"]).join(t.points().groupBy("curve_id").agg((F.max("t") - F.min("t")).alias("hours")), "curve_id")
+    sigma2 = F.greatest("sse", F.lit(design.SSE_DIGITS)) / F.greatest(F.col("n") - 4, F.lit(1.0))
+    series = F.count("*").over(Window.partitionBy(F.floor(F.col("curve_id") / 10))) >= 3
+    u = f.select("curve_id", F.col("p1").alias("k"), F.col("p2").alias("t0"), "amp", F.col("n").cast("int").alias("n"), sigma2.alias("sigma2"), F.lit(None).cast("double").alias("gamma"), series.alias("has_series"), F.lit(False).alias("notes_known"), "hours")
+    return design.score(u, ["curve_id"])
 
 
-@query("o04_score_candidates", f"{_CAND} select part, design, bits from cand")
+@query("o04_score_candidates", f"{_CAND} select curve_id, design, round(bits, 6) as bits, round(se_less, 6) as se_less, design in ('add_single_concentration', 'add_concentration_series') as guessed from cand")
 def o04(t: Tables):
-    return designs(t).select("part", "design", "bits")
+    return designs(t).select("curve_id", "design", r6("bits").alias("bits"), r6("se_less").alias("se_less"), "guessed")
 
 
-@query("o05_cost_runtime", f"{_CAND} select part, design, price, hours, bits / price as priority from cand")
+@query("o05_cost_runtime", f"{_CAND} select curve_id, design, cost, round(run_hours, 6) as run_hours, round(bits / cost, 6) as priority from cand")
 def o05(t: Tables):
-    return designs(t).select("part", "design", "price", "hours", (F.col("bits") / F.col("price")).alias("priority"))
+    return designs(t).select("curve_id", "design", "cost", r6("run_hours").alias("run_hours"), r6("priority").alias("priority"))
 
 
-@query("j11_pareto", f"{_CAND} select part, design from cand a where not exists (select 1 from cand b where a.part = b.part and b.bits >= a.bits and b.price <= a.price and b.hours <= a.hours and (b.bits > a.bits or b.price < a.price or b.hours < a.hours))")
+@query("j11_pareto", f"{_CAND}, v as (select curve_id, design, round(bits, 6) as bits, cost, round(run_hours, 6) as hrs from cand) select curve_id, design from v a where not exists (select 1 from v b where a.curve_id = b.curve_id and b.bits >= a.bits and b.cost <= a.cost and b.hrs <= a.hrs and (b.bits > a.bits or b.cost < a.cost or b.hrs < a.hrs))")
 def j11(t: Tables):
-    a = designs(t)
-    b = a.select("part", *[F.col(c).alias(f"_{c}") for c in ("bits", "price", "hours")])
-    better = (a["part"] == b["part"]) & (F.col("_bits") >= F.col("bits")) & (F.col("_price") <= F.col("price")) & (F.col("_hours") <= F.col("hours")) & ((F.col("_bits") > F.col("bits")) | (F.col("_price") < F.col("price")) | (F.col("_hours") < F.col("hours")))
-    return a.join(b, better, "left_anti").select("part", "design")
+    return design.pareto(designs(t), ["curve_id"])
 
 
-@query("o06_greedy_batch", f"{_CAND}, r as (select part, design, bits, row_number() over (partition by part order by bits desc, design) as step from cand) select part, step::integer as step, design, bits / pow(2, step - 1) as gain from r where step <= 3")
+def _greedy_sql(steps: int) -> str:
+    """CTEs of the greedy rule, three a step: what each adds, who wins, what is known then."""
+    out = ["ag0 as (select *, 1 / a as g11, 0::double as g12, 1 / b as g22, has_series as series, null::integer as step, null::double as gain from cand)"]
+    for i in range(1, steps + 1):
+        more = f"{_DET.format(u='1', p='f').replace('(f', '(g{0} + f')}"
+        for x in ("11", "12", "22"):
+            more = more.replace("(g{0} + f" + x, f"(g{x} + f{x}")
+        out.append(f"am{i} as (select *, case when step is null then case when gating then case when series then 2.0 else 0.0 end else {more} - {_DET.format(u='1', p='g')} + case when opens and not series then {_OPEN} else 0 end end end as adds from ag{i - 1})")
+        out.append(f"aw{i} as (select curve_id, ord as wo, f11 as w11, f12 as w12, f22 as w22, opens as wopens from am{i} where step is null qualify row_number() over (partition by curve_id order by round(adds / cost, 9) desc, ord) = 1)")
+        out.append(f"ag{i} as (select m.* exclude (g11, g12, g22, series, step, gain, adds), g11 + w11 as g11, g12 + w12 as g12, g22 + w22 as g22, series or wopens as series, case when ord = wo then {i} else step end as step, case when ord = wo then adds else gain end as gain from am{i} m join aw{i} using (curve_id))")
+    return ", ".join(out)
+
+
+@query("o06_greedy_batch", f"{_CAND}, {_greedy_sql(3)} select curve_id, step, design, round(gain, 6) as gain, round(gain / cost, 6) as priority, round(sum(greatest(0, gain)) over w, 6) as total_gain, sum(cost) over w as total_cost from ag3 where step is not null window w as (partition by curve_id order by step)")
 def o06(t: Tables):
-    """Three steps; each design that is taken halves what the next adds."""
-    r = designs(t).withColumn("step", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("bits"), "design"))).where("step <= 3")
-    return r.select("part", "step", "design", (F.col("bits") / F.pow(F.lit(2.0), F.col("step") - 1)).alias("gain"))
+    """Three steps; what is left is scored again by what is known after each."""
+    return rounded(design.greedy(designs(t), ["curve_id"]), "gain", "priority", "total_gain")
 
 
 @query("o07_rescale", f"with {_U}, w as (select protein, min(conc) as lo, max(conc) as hi, -regr_slope(theta, lconc) / ln(10) as gamma, avg(raw) as t0, avg(conc) as c0 from u group by 1) select protein, round(t0 * pow(60.0 / c0, -gamma), 2) as t_new, 60.0 > hi as extrapolated from w")
