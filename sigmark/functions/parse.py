@@ -20,8 +20,6 @@ ASSAYS = [
 ]
 DECIMAL, SCIENTIFIC = r"(-?[0-9]+(?:\.[0-9]+)?)", r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
 DIGITS, WORD = r"([0-9.]+)\s*", r"([A-Za-z]+)\b"
-#: A unit begins with a lower-case letter and may have its M apart.
-UNIT = r"([a-zµ]+(?:\s*[Mm])?)"
 REDUCERS = r"(?i)\b(DTT|TCEP|BME|mercaptoethanol|glutathione)\b"
 
 
@@ -56,12 +54,34 @@ def num(text: Column) -> Column:
     return _first(clean(text), SCIENTIFIC).try_cast("double")
 
 
+def _cut(text: Column, head: Column) -> Column:
+    return F.ltrim(F.substring(text, F.length(head) + 1, F.length(text)))
+
+
+def _amount(piece: Column) -> Column:
+    """{number, unit} of a number and what follows it, up to the next number.
+
+    A unit is the small letters behind the number; the M of molar may stand
+    apart from them. A unit that begins with a capital has no small letters, so
+    it isn't one.
+    """
+    number = F.regexp_extract(piece, "^[0-9.]+", 0)
+    behind = F.regexp_replace(_cut(piece, number), "^\\s+", "")
+    small = F.regexp_extract(behind, "^[a-zµ]+", 0)
+    after = F.substring(behind, F.length(small) + 1, F.length(behind))
+    gap = F.regexp_extract(after, "^\\s*", 0)
+    molar = F.upper(F.substring(after, F.length(gap) + 1, F.lit(1))) == "M"
+    unit = F.concat(small, F.when(molar, F.substring(after, F.lit(1), F.length(gap) + 1)).otherwise(""))
+    return F.struct(number.alias("number"), F.when(small != "", unit).alias("unit"))
+
+
 def parse_concentration(text: Column) -> Column:
-    """{raw, value_uM, unit}; the unit needs a lower-case first letter, so '20 M' has no value."""
+    """{raw, value_uM, unit} of the first number that a unit follows; '20 M' has no value."""
     raw = clean(text)
-    unit = _first(raw, DIGITS + UNIT, 2)
-    factor = F.try_element_at(_names(AMOUNTS), F.lower(F.translate(unit, " ", "")))
-    return F.struct(raw.alias("raw"), (_first(raw, DIGITS + UNIT).try_cast("double") * factor).alias("value_uM"), F.trim(unit).alias("unit"))
+    amounts = F.transform(F.regexp_extract_all(raw, F.lit("[0-9.]+[^0-9.]*"), F.lit(0)), _amount)
+    first = F.get(F.filter(amounts, lambda a: a["unit"].isNotNull()), F.lit(0))
+    factor = F.try_element_at(_names(AMOUNTS), F.lower(F.translate(first["unit"], " ", "")))
+    return F.struct(raw.alias("raw"), (first["number"].try_cast("double") * factor).alias("value_uM"), first["unit"].alias("unit"))
 
 
 def classify_assay(text: Column) -> Column:
