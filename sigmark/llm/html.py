@@ -24,7 +24,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Training pages at most, blocks and main paragraphs of each that are trained on, and sizes of the vectors and of the LSTM's state.
-TRAIN, BLOCKS, BODY, PATHS, WORDS, HIDDEN = 200, 80, 20, 96, 24, 16
+TRAIN, BLOCKS, BODY, PATHS, WORDS, HIDDEN = 200, 80, 20, 256, 24, 16
 #: Pages laid out anew at least.
 LEAST = 600
-MEASURES = 6
+MEASURES = 8
 
 # Tags by what they do to text.
 RAW = {"script", "style", "template", "noscript", "iframe", "svg", "object", "textarea"}
@@ -107,6 +107,15 @@ class Tokens:
         return None
 
 
+def closes_itself(attributes: str) -> bool:
+    """Whether a tag ends in a slash that isn't the end of a value without quotes, as in ``href=/``."""
+    tail = attributes.rstrip()
+    if not tail.endswith("/"):
+        return False
+    last = tail.rsplit(None, 1)[-1]
+    return "=" not in last or last[-2] in "\"'"
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
@@ -155,7 +164,7 @@ def blocks(html: str | None) -> list[Block]:
             if opened[tag]:
                 close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
-        if tag == "svg" and m[3].rstrip().endswith("/"):
+        if tag == "svg" and closes_itself(m[3]):
             continue
         if tag in RAW:
             end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -176,7 +185,7 @@ def blocks(html: str | None) -> list[Block]:
                         break
                     if stack[i][0] not in INLINE and stack[i][0] not in shut:
                         break
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
+        if tag not in VOID and not closes_itself(m[3]):
             names = " ".join(next(v for v in x[1:] if v or v == x[-1]) for x in NAMES.findall(m[3])).lower() if m[3] else ""
             stack.append((tag, f"{tag}.{names}" if names else tag))
             opened[tag] += 1
@@ -191,7 +200,64 @@ def looks_main(path: tuple[str, ...]) -> bool:
     return bool(tags & MAIN_TAGS) and not tags & OTHER_TAGS and not any(OTHER_NAMES.search(p.partition(".")[2]) for p in path)
 
 
-def vector(b: Block, i: int, n: int, cache: dict) -> np.ndarray:
+# words of names in layouts that are made up; half of the names are letters and digits only
+PLACES = "wrap wrapper box inner outer page col left right mid center top bottom bar row grid cell area zone block part unit container layout body text story".split()
+TALK = "comments comment discussion replies responses thread feedback remarks reactions talk".split()
+
+
+class Layouts:
+    """Pages laid out by a grammar: names, depths and what stands before and after the main text are drawn, so that training meets few names twice."""
+
+    def __init__(self, rng: np.random.Generator, pick: Callable[[], str]) -> None:
+        self.rng, self.pick = rng, pick
+
+    def _one(self, of: list):
+        return of[self.rng.integers(len(of))]
+
+    def name(self, words: list[str] = PLACES) -> str:
+        made = self._one(words) if self.rng.random() < 0.5 else "".join(self._one(list("abcdefghijklmnopqrstuvwxyz")) for _ in range(self.rng.integers(1, 7)))
+        made += self._one(["", "", str(self.rng.integers(1, 12)), "-" + self._one(PLACES)])
+        return self._one([f' class="{made}"', f' id="{made}"', f" id={made}", ""])
+
+    def wrap(self, inner: str, depth: int) -> str:
+        for _ in range(depth):
+            tag = self._one(["div", "div", "div", "section"])
+            inner = f"<{tag}{self.name()}>{inner}</{tag}>"
+        return inner
+
+    def _short(self) -> str:
+        return " ".join(self.pick().split()[: self.rng.integers(1, 5)])
+
+    def _links(self) -> str:
+        item = self._one(["<li><a href='/'>{}</a></li>", "<a href='/'>{}</a> ", "<p><a href='/'>{}</a></p>", "<a href='/'>{}</a><br>"])
+        made = "".join(item.format(self._short()) for _ in range(self.rng.integers(1, 7)))
+        return f"<ul>{made}</ul>" if item.startswith("<li") else made
+
+    def furniture(self) -> str:
+        inner = self._one([self._links, self._links, self._short, lambda: f"<p>{self._short()}</p>", lambda: f"<h3>{self._short()}</h3>{self._links()}"])()
+        return self.wrap(inner, int(self.rng.integers(1, 3)))
+
+    def talk(self) -> str:
+        item = self._one(["<p>{}</p>", "<div>{}</div>", "<div class='c'><p>{}</p></div>", "<li>{}</li>"])
+        made = "".join(item.format(self.pick()[:400]) for _ in range(self.rng.integers(1, 5)))
+        head = f"<h3>{self._short()}</h3>" if self.rng.random() < 0.5 else ""
+        tag = self._one(["div", "section"])
+        return f"<{tag}{self._one([' class=', ' id='])}\"{self._one(TALK)}\">{head}{made}</{tag}>"
+
+    def page(self, main: str) -> str:
+        """A bare page now and then; else furniture around the main text, in a table at times, and talk behind it."""
+        if self.rng.random() < 0.25:
+            return self.wrap(main, int(self.rng.integers(0, 2)))
+        several = lambda: [self.furniture() for _ in range(self.rng.integers(0, 4))]
+        before, after = several(), several()
+        if self.rng.random() < 0.35:
+            after.insert(0, self.talk())
+        if self.rng.random() < 0.15:
+            return "<table><tr>" + "".join(f"<td>{x}</td>" for x in (*before, main, *after)) + "</tr></table>"
+        return self.wrap("".join(before) + self.wrap(main, int(self.rng.integers(1, 4))) + "".join(after), int(self.rng.integers(0, 2)))
+
+
+def vector(b: Block, i: int, n: int, shares: tuple[float, float], cache: dict) -> np.ndarray:
     if (p := cache.get(b.path)) is None:
         p = np.zeros(PATHS, np.float32)
         for up, part in enumerate(reversed(b.path[-8:])):
@@ -205,7 +271,7 @@ def vector(b: Block, i: int, n: int, cache: dict) -> np.ndarray:
         cache[b.path] = p
     words = b.text.split(" ")
     bag = np.bincount([zlib.crc32(w.encode()) % WORDS for w in words], minlength=WORDS) / len(words)
-    measures = [np.log1p(len(b.text)) / 8, b.linked / max(len(b.text), 1), sum(map(b.text.count, ".,;:!?")) / len(words), np.log1p(len(words)) / 6, i / n, 1.0]
+    measures = [np.log1p(len(b.text)) / 4, 3 * b.linked / max(len(b.text), 1), sum(map(b.text.count, ".,;:!?")) / len(words), np.log1p(len(words)) / 2, i / n, *shares, 1.0]
     return np.concatenate((p, bag, measures)).astype(np.float32)
 
 
@@ -278,7 +344,7 @@ class Labeller:
             grads[f"c{d}"] = dx.sum((0, 1))
         return grads
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 5, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Labeller:
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Labeller:
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -308,7 +374,14 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vectors(page: list[Block], cache: dict) -> np.ndarray:
-    return np.array([vector(b, i, len(page), cache) for i, b in enumerate(page)], np.float32).reshape(-1, SIZE)
+    """A row a block; among its measures the share of the page's text in blocks of the same place, and in places under the same parent."""
+    own, up = Counter(), Counter()
+    for b in page:
+        own[b.path] += len(b.text) - b.linked
+        up[b.path[:-1]] += len(b.text) - b.linked
+    total = max(1, sum(own.values()))
+    share = lambda b: (own[b.path] / total, up[b.path[:-1]] / total)
+    return np.array([vector(b, i, len(page), share(b), cache) for i, b in enumerate(page)], np.float32).reshape(-1, SIZE)
 
 
 def training(pages: list[str], seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -318,18 +391,27 @@ def training(pages: list[str], seed: int = 7) -> list[tuple[np.ndarray, np.ndarr
     marked = [b for b in read if any(looks_main(x.path) for x in b)]
     out = [(vectors(b[:BLOCKS], cache), np.array([looks_main(x.path) for x in b[:BLOCKS]], np.float32)) for b in marked]
     texts = [x.text for b in read for x in b if len(x.text) > 20] or ["text"]
-    pick = lambda: texts[rng.integers(len(texts))].replace("<", "").replace("&", "")
-    for _ in range(max(3, -(-LEAST // max(1, len(read))))):
+    mains = [x.text for b in marked for x in b if len(x.text) > 20 and looks_main(x.path)] or texts
+    plain = lambda t: t.replace("<", "").replace("&", "")
+    pick = lambda: plain(texts[rng.integers(len(texts))])
+    layouts = Layouts(rng, lambda: plain(mains[rng.integers(len(mains))]))
+    for k in range(max(6, -(-2 * LEAST // max(1, len(read))))):
         for b in read:
-            body = [x.text.replace("<", "").replace("&", "") for x in b if looks_main(x.path)][:BODY] or [pick() for _ in range(3)]
-            part = lambda t: PARTS[rng.integers(len(PARTS))].replace("{t}", t).replace("{s}", pick()[:40])
-            inner = f"<h1>{body[0][:80]}</h1>" + "".join(map(part, body))
-            some = [FURNITURE[i] for i in rng.permutation(len(FURNITURE))[: rng.integers(3, 8)]]
-            made = [f.replace("{li}", "".join(f"<li><a href='/'>{pick()[:25]}</a></li>" for _ in range(4))) for f in some]
-            made = [re.sub(r"\{([tp])\}", lambda m: pick()[: 40 if m[1] == "t" else 400], f) for f in made]
-            inside = made.pop() if rng.random() < 0.3 else ""
-            cut = int(rng.integers(len(made) + 1))
-            page = blocks(f"<html><head><title>{body[0][:60]}</title></head><body>{''.join(made[:cut])}{FRAMES[rng.integers(len(FRAMES))].format('@@1' + inner + '@@2' + inside)}{''.join(made[cut:])}</body></html>")
+            body = [plain(x.text) for x in b if looks_main(x.path)][:BODY] or [layouts.pick() for _ in range(3)]
+            title = f"<html><head><title>{body[0][:60]}</title></head><body>"
+            if k % 2:
+                body = body[: rng.integers(1, 7)]
+                inner = (f"<h1>{body[0][:80]}</h1>" if rng.random() < 0.5 else "") + "".join(PARTS[0 if rng.random() < 0.7 else rng.integers(len(PARTS))].replace("{t}", t).replace("{s}", pick()[:40]) for t in body)
+                page = blocks(f"{title}{layouts.page('@@1' + inner + '@@2')}</body></html>")
+            else:
+                part = lambda t: PARTS[rng.integers(len(PARTS))].replace("{t}", t).replace("{s}", pick()[:40])
+                inner = f"<h1>{body[0][:80]}</h1>" + "".join(map(part, body))
+                some = [FURNITURE[i] for i in rng.permutation(len(FURNITURE))[: rng.integers(3, 8)]]
+                made = [f.replace("{li}", "".join(f"<li><a href='/'>{pick()[:25]}</a></li>" for _ in range(4))) for f in some]
+                made = [re.sub(r"\{([tp])\}", lambda m: pick()[: 40 if m[1] == "t" else 400], f) for f in made]
+                inside = made.pop() if rng.random() < 0.3 else ""
+                cut = int(rng.integers(len(made) + 1))
+                page = blocks(f"{title}{''.join(made[:cut])}{FRAMES[rng.integers(len(FRAMES))].format('@@1' + inner + '@@2' + inside)}{''.join(made[cut:])}</body></html>")
             label, on = [], False
             for x in page:
                 on |= x.text.startswith("@@1")
