@@ -301,11 +301,25 @@ def s06(t: Tables):
     return lacking(t).where("by_effort = 1").select("curve_id", "field", r6(F.col("weight") / F.col("effort")).alias("score"))
 
 
-@query("s07_quality_distribution", f"{_STAT} select least(5, 1 + floor(round(completeness, 6) * 5))::bigint as bin, count(*) as n from comp group by 1")
-def s07(t: Tables):
-    return completeness(t).groupBy(F.least(F.lit(5), 1 + F.floor(F.round("completeness", 6) * 5)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+_SHARES = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
-@query("s08_quality_rollup", f"{_STAT} select protein, count(*) as n, round(avg(completeness), 6) as mean, round(min(completeness), 6) as least from comp group by 1")
+@query("s07_quality_distribution", f"{_STAT}, v as (select round(completeness, 6) as v from comp), b as (select unnest(range(1, 6)) as bin), r as (select v, row_number() over (order by v) as i, count(*) over () as n from v), p as (select unnest({_SHARES!r}::double[]) as share) select 'bin' as part, bin::double as at, (select count(*) from v where least(5, 1 + floor(v * 5)) = bin)::double as value from b union all select 'percentile', share, (select min(v) from r where i >= ceil(round(share * n, 6))) from p")
+def s07(t: Tables):
+    """Five bins, empty ones too, and nearest-rank percentiles, both from counts by distinct value: as many as there are sets of fields."""
+    c = completeness(t).where("completeness is not null").groupBy(F.round("completeness", 6).alias("v")).agg(F.count("*").alias("c"))
+    bins_ = t.spark.range(1, 6).select(F.col("id").cast("double").alias("at"))
+    n = c.groupBy(F.least(F.lit(5), 1 + F.floor(F.col("v") * 5)).cast("double").alias("at")).agg(F.sum("c").cast("double").alias("value"))
+    b = bins_.join(n, "at", "left").fillna(0.0, ["value"]).select(F.lit("bin").alias("part"), "at", "value")
+    r = c.select("v", F.sum("c").over(Window.orderBy("v")).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    at = r.select("v", "upto", "n", F.explode(F.array(*map(F.lit, _SHARES))).alias("at"))
+    p = at.where(F.col("upto") >= F.ceil(F.round(F.col("at") * F.col("n"), 6))).groupBy("at").agg(F.min("v").alias("value"))
+    return b.unionByName(p.select(F.lit("percentile").alias("part"), "at", "value"))
+
+
+@query("s08_quality_rollup", f"{_DP} select 'protein' as part, protein as name, count(*) as n, round(avg(completeness), 6) as mean, round(min(completeness), 6) as least from comp group by 2 union all select 'action', field, count(*), round(avg(weight / effort), 6), round(min(weight / effort), 6) from dp group by 2")
 def s08(t: Tables):
-    return rounded(completeness(t).groupBy("protein").agg(F.count("*").alias("n"), F.avg("completeness").alias("mean"), F.min("completeness").alias("least")), "mean", "least")
+    """By protein, completeness; by field to be recorded, the curves that lack it and the gain for the effort."""
+    roll = lambda df, part, name, v: df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least")).select(F.lit(part).alias("part"), "*")
+    a = roll(completeness(t), "protein", "protein", F.col("completeness"))
+    return rounded(a.unionByName(roll(lacking(t), "action", "field", F.col("weight") / F.col("effort"))), "mean", "least")

@@ -177,10 +177,11 @@ def u08(t: Tables):
     return graph.components(chain, n.select("id"))
 
 
-@query("x07_topo_levels", f"with recursive {_EDGES}, lv as (select id, 0 as level from nd where id not in (select b from ed) union all select ed.b, level + 1 from lv join ed on ed.a = lv.id) select level, count(*) as n from (select id, max(level) as level from lv group by 1) group by 1")
+@query("x07_topo_levels", f"with recursive {_EDGES}, lv as (select id, 0 as level from nd where id not in (select b from ed) union all select ed.b, level + 1 from lv join ed on ed.a = lv.id) select level, count(*) as n, not exists (select 1 from nd where id not in (select id from lv)) as acyclic from (select id, max(level) as level from lv group by 1) group by 1")
 def x07(t: Tables):
     e, n = hierarchy(t)
-    return graph.topo_levels(e, n).groupBy("level").agg(F.count("*").alias("n"))
+    rows = graph.topo_levels(e, n).groupBy("level").agg(F.count("*").alias("n"))  # nodes of a cycle, and behind one, have no level
+    return rows.withColumn("acyclic", F.count(F.when(F.col("level").isNull(), 1)).over(Window.partitionBy()) == 0)
 
 
 @query("x05_evidence_graph", f"with {_EDGES} select 'node' as part, left(id, 1) as kind, count(*) as n from nd group by 1, 2 union all select 'edge', left(a, 1) || left(b, 1), count(*) from ed group by 1, 2")
