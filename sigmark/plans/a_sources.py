@@ -26,7 +26,12 @@ def a02(t: Tables):
     return c.select("curve_id", "n_raw", "n_points", "n_missing", "n_duplicate", r6(F.get("points", F.lit(0))["y"]).alias("y_first"), r6(F.aggregate("points", F.lit(0.0), lambda a, p: a + p["y"])).alias("y_sum"))
 
 
-@query("a03_first_row_attrs", f"with {COND} select curve_id, arg_min(assay, seq) as assay, arg_min(conc, seq) as conc, round(arg_min(ph, seq), 6) as ph, arg_min(protein, seq) as protein from cond group by 1")
+def _first_sql(columns: list[str]) -> str:
+    """Each curve's first row; shipments may share an order's line number, then the least columns in their order."""
+    return f"select curve_id, {', '.join(columns)} from cond qualify row_number() over (partition by curve_id order by seq nulls last, {', '.join(f'{c} nulls first' for c in columns)}) = 1"
+
+
+@query("a03_first_row_attrs", f"with {COND} select curve_id, assay, conc, round(ph, 6) as ph, protein from ({_first_sql(['assay', 'conc', 'ph', 'protein'])})")
 def a03(t: Tables):
     return rounded(curves.first_row_attrs(t.conditions(), ["assay", "conc", "ph", "protein"]), "ph")
 
@@ -233,11 +238,12 @@ def b19(t: Tables):
     return t.orders.select("o_orderkey", parse.seed(F.col("o_orderkey"), "b").alias("seed"))
 
 
-_CURVES = f"{COND}, first as (select curve_id, arg_min(assay, seq) as assay, arg_min(conc, seq) as conc, arg_min(ph, seq) as ph, arg_min(protein, seq) as protein, arg_min(temp, seq) as temp, arg_min(construct, seq) as construct, arg_min(t50, seq) as t50 from cond group by 1)"
+_FIRST = ["assay", "conc", "ph", "protein", "temp", "construct", "t50"]
+_CURVES = f"{COND}, first as ({_first_sql(_FIRST)})"
 
 
 def first_conditions(t: Tables):
-    return curves.first_row_attrs(t.conditions(), ["assay", "conc", "ph", "protein", "temp", "construct", "t50"])
+    return curves.first_row_attrs(t.conditions(), _FIRST)
 
 
 @query("c01_concentration_series", f"with {_CURVES} select md5(concat_ws('|', protein, assay)) as series_id, protein, assay, count(distinct conc::varchar) as n_conc, count(*) as n_members from first group by protein, assay having count(distinct conc::varchar) >= 3")
