@@ -15,7 +15,8 @@ from .registry import query, r6, rounded
 
 # Tiers from the lowest rung up, and their rank.
 TIERS = ["uninformative", "signal_only", "descriptive", "scaling", "mechanistic"]
-_TIER = "tier as (select part, protein, case when x < 20000 then 'uninformative' when p_size = 50 and lvl = 2 then 'mechanistic' when y > 30 and d < 0.05 then 'scaling' when y > 22 then 'descriptive' else 'signal_only' end as tier, y < 18 as no_conc, d > 0.055 as no_ph, p_size < 10 as no_temp from pp)"
+# means are compared with limits that they often equal, so they are rounded first: 0.055 comes out of sums in any order
+_TIER = "tier as (select part, protein, case when x < 20000 then 'uninformative' when p_size = 50 and lvl = 2 then 'mechanistic' when y > 30 and d < 0.05 then 'scaling' when y > 22 then 'descriptive' else 'signal_only' end as tier, y < 18 as no_conc, d > 0.055 as no_ph, p_size < 10 as no_temp from (select * replace (round(x, 9) as x, round(y, 9) as y, round(d, 9) as d) from pp))"
 _DOM = "dom(tier, rk) as (values " + ", ".join(f"('{t}', {i})" for i, t in enumerate(TIERS)) + ")"
 LADDER = f"with {_PARTS}, {_TIER}, {_DOM}"
 
@@ -24,7 +25,7 @@ def tier_of(t: Tables):
     """The first rung from the top whose licence is there."""
     c = F.col
     tier = F.when(c("x") < 20000, "uninformative").when((c("p_size") == 50) & (c("lvl") == 2), "mechanistic").when((c("y") > 30) & (c("d") < 0.05), "scaling").when(c("y") > 22, "descriptive").otherwise("signal_only")
-    return parts(t).select("part", "protein", tier.alias("tier"), (c("y") < 18).alias("no_conc"), (c("d") > 0.055).alias("no_ph"), (c("p_size") < 10).alias("no_temp"))
+    return rounded(parts(t), "x", "y", "d", digits=9).select("part", "protein", tier.alias("tier"), (c("y") < 18).alias("no_conc"), (c("d") > 0.055).alias("no_ph"), (c("p_size") < 10).alias("no_temp"))
 
 
 def domain(t: Tables):

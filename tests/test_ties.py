@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from sigmark.operators import curves
+from sigmark.plans import e_ladders
 
 
 def test_first_rows_with_one_seq(spark):
@@ -12,3 +15,15 @@ def test_first_rows_with_one_seq(spark):
         got = curves.first_row_attrs(df, ["assay", "conc"])
         assert got.columns == ["curve_id", "assay", "conc"]
         assert sorted(map(tuple, got.collect())) == [(1, "A", 5.0), (2, "R", 2.0)]
+
+
+def test_means_at_a_limit(spark):
+    """Discounts whose mean is 0.055 are not above it, in whatever order they are added."""
+    one, two = [0.09, 0.09, 0.02, 0.08, 0.02, 0.02, 0.09, 0.03], [0.08, 0.03, 0.08, 0.08, 0.1, 0.03, 0.02, 0.06, 0.03, 0.05, 0.07, 0.03]
+    orders = dict(enumerate([one, one[::-1], sorted(one), two, two[::-1], sorted(two), [0.09, 0.02] * 3]))
+    items = [(p, 30000.0, 20.0, d) for p, o in orders.items() for d in o]
+    t = SimpleNamespace(
+        lineitem=spark.createDataFrame(items, "l_partkey int, l_extendedprice double, l_quantity double, l_discount double").coalesce(1),
+        part=spark.createDataFrame([(p, "b", 20) for p in orders], "p_partkey int, p_brand string, p_size int"),
+    )
+    assert [r.no_ph for r in e_ladders.tier_of(t).collect()] == [False] * len(orders)
