@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from types import SimpleNamespace
 
-from sigmark.operators import curves
+from sigmark.operators import curves, triage
 from sigmark.plans import e_ladders
 
 
@@ -27,3 +28,18 @@ def test_means_at_a_limit(spark):
         part=spark.createDataFrame([(p, "b", 20) for p in orders], "p_partkey int, p_brand string, p_size int"),
     )
     assert [r.no_ph for r in e_ladders.tier_of(t).collect()] == [False] * len(orders)
+
+
+def test_slopes_of_points_a_moment_apart(spark):
+    """Ends of a curve with points some milliseconds apart, thousands of hours from the start of time."""
+    ts = [*[2000.0 + 1e-6 * i for i in (0, 1, 3)], *[2100.0 + 7 * i for i in range(9)], *[2600.0 + 1e-6 * i for i in (0, 3, 4)]]
+    ys = [3.0, 7.0, 19.0, *[20.0 + i for i in range(9)], 31.0, 46.0, 48.5]
+
+    def slope(k):
+        t, y = [Fraction(ts[i]) for i in k], [Fraction(ys[i]) for i in k]
+        mt, my = sum(t) / len(t), sum(y) / len(y)
+        return float(sum((a - mt) * (b - my) for a, b in zip(t, y)) / sum((a - mt) ** 2 for a in t))
+
+    r = triage.features(spark.createDataFrame(list(zip([1] * 15, ts, ys)), "curve_id int, t double, y double")).first()
+    for got, want in ((r.start_slope, slope([0, 1, 2])), (r.end_slope, slope([12, 13, 14]))):
+        assert abs(got / want - 1) < 1e-12
