@@ -5,7 +5,9 @@ from __future__ import annotations
 from fractions import Fraction
 from types import SimpleNamespace
 
-from sigmark.operators import curves, triage
+from pyspark.sql import functions as F
+
+from sigmark.operators import curves, regression, triage
 from sigmark.plans import e_ladders
 
 
@@ -43,3 +45,13 @@ def test_slopes_of_points_a_moment_apart(spark):
     r = triage.features(spark.createDataFrame(list(zip([1] * 15, ts, ys)), "curve_id int, t double, y double")).first()
     for got, want in ((r.start_slope, slope([0, 1, 2])), (r.end_slope, slope([12, 13, 14]))):
         assert abs(got / want - 1) < 1e-12
+
+
+def test_fewer_rows_than_columns_are_singular(spark):
+    """Nearly equal columns leave noise for the last pivot, far above what tells a pivot from none."""
+    rows = [("g", 1.31, 1.31003, 0.6547, 1.0), ("g", 5.67, 5.6701, 2.8352, 2.0), ("g", 1.9, 1.89981, 0.9509, 2.5), ("g", 4.11, 4.11032, 2.0549, 4.0)]
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double, y double").withColumn("d", F.col("a") * F.col("c") / 7)
+    df = df.withColumns({f"use_{c}": F.lit(True) for c in names})
+    r = regression.wls(df, ["g"], {c: F.col(c) for c in names}, F.col("y"), F.lit(3.0), {c: F.col(f"use_{c}") for c in names}).first()
+    assert r.singular and r.b_a is None and abs(r.b_intercept - 2.375) < 1e-12
