@@ -70,7 +70,9 @@ def clusters(outcomes: DataFrame, keys: list[str], tol: float = DISTANCE, atol:
     every parameter) are surely near and linked to the cell's least start.
     Others are looked for in the neighbouring cells of their first two
     parameters and held against the distance; links become components. An
-    outcome with a parameter that is not finite is a basin of its own.
+    outcome with a parameter that is not finite is a basin of its own. Tables of
+    outcomes are merged: their files are small by compression only, and Spark
+    would take them for small enough to broadcast.
     """
     theta = F.col("theta")
     finite = ~F.exists(theta, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
@@ -81,14 +83,14 @@ def clusters(outcomes: DataFrame, keys: list[str], tol: float = DISTANCE, atol:
     near = nodes.where("_alone is null").withColumns({"fine": _stretched(theta, tol, atol), "wide": _stretched(theta, -math.log1p(-tol), atol)})
     near = near.select("_k", "id", "start", "theta", "fine", F.get("wide", F.lit(0)).alias("u"), F.coalesce(F.get("wide", F.lit(1)), F.lit(0)).alias("v"))
     cells = near.groupBy("_k", "fine").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = near.join(cells, ["_k", "fine"]).where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
+    stars = near.join(cells.hint("merge"), ["_k", "fine"]).where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
     ask = near.select("_k", F.col("id").alias("a"), F.col("start").alias("s"), F.col("theta").alias("other"), F.col("fine").alias("f"), F.explode(F.array(*[F.struct((F.col("u") + i).alias("u"), (F.col("v") + j).alias("v")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("at"))
     ask = ask.select("_k", "a", "s", "other", "f", "at.u", "at.v")
-    pairs = ask.join(near, ["_k", "u", "v"]).where((F.col("s") < F.col("start")) & (F.col("f") != F.col("fine")) & (distance(F.col("other"), theta, atol) <= tol))
+    pairs = ask.join(near.hint("merge"), ["_k", "u", "v"]).where((F.col("s") < F.col("start")) & (F.col("f") != F.col("fine")) & (distance(F.col("other"), theta, atol) <= tol))
     label = components(cut(stars.unionByName(pairs.select("a", F.col("id").alias("b")))), nodes.select("id"))
-    named = nodes.join(label, "id").select("_k", "theta", "_alone", F.col("least.start").alias("basin"))
+    named = nodes.join(label.hint("merge"), "id").select("_k", "theta", "_alone", F.col("least.start").alias("basin"))
     same = [rows[c].eqNullSafe(named[c]) for c in ("_k", "theta", "_alone")]
-    return rows.join(named, same).select(*[rows[c] for c in outcomes.columns], "basin")
+    return rows.join(named.hint("merge"), same).select(*[rows[c] for c in outcomes.columns], "basin")
 
 
 def ledger(outcomes: DataFrame, keys: list[str], tol: float = DISTANCE, gap: float = GAP, atol: list[float] | None = None) -> DataFrame:
@@ -104,9 +106,9 @@ def ledger(outcomes: DataFrame, keys: list[str], tol: float = DISTANCE, gap: flo
     first = F.struct("sse", "start", "theta", "basin")
     win = c.groupBy("_k").agg(F.min_by(first, F.struct("sse", "start")).alias("w"), F.count("*").alias("n_converged"), F.countDistinct("basin").alias("n_basins"))
     rival = F.col("basin") != F.col("w.basin")
-    r = c.join(win, "_k").groupBy("_k").agg(*[F.first(x).alias(f"_{x}") for x in ("w", "n_converged", "n_basins")], F.count(F.when(~rival, 1)).alias("n_agree"), F.min(F.when(rival, F.col("sse"))).alias("rival_sse"), F.min(F.when(rival, distance(F.col("theta"), F.col("w.theta"), atol))).alias("param_gap"))
+    r = c.join(win.hint("merge"), "_k").groupBy("_k").agg(*[F.first(x).alias(f"_{x}") for x in ("w", "n_converged", "n_basins")], F.count(F.when(~rival, 1)).alias("n_agree"), F.min(F.when(rival, F.col("sse"))).alias("rival_sse"), F.min(F.when(rival, distance(F.col("theta"), F.col("w.theta"), atol))).alias("param_gap"))
     r = r.withColumnsRenamed({f"_{x}": x for x in ("w", "n_converged", "n_basins")})
-    j = starts.join(r, "_k", "left").fillna(0, ["n_converged", "n_basins", "n_agree"])
+    j = starts.join(r.hint("merge"), "_k", "left").fillna(0, ["n_converged", "n_basins", "n_agree"])
     unit = F.greatest(F.abs("w.sse"), F.lit(FLOOR), F.coalesce(F.col("sst") * SST_SHARE, F.lit(0.0)))
     j = j.withColumn("sse_gap", (F.col("rival_sse") - F.col("w.sse")) / unit)
     n, b = F.col("n_converged"), F.col("n_basins")
