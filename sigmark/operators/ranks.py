@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import parse
+from ..functions import parse, tails
 from .selection import kth, running
 
 
@@ -84,6 +84,13 @@ def kruskal_wallis(rows: DataFrame, level: str, value: str, *by: str) -> DataFra
     return h.withColumn("h", 12 / (n * (n + 1)) * F.col("t") - 3 * (n + 1)).select(*by, "n", "k", "h")
 
 
+def binom_half(counts: DataFrame, by: str) -> DataFrame:
+    """by, n, k and the two-sided exact p of k of n at even odds: the outcomes that are no likelier, each a row, are summed."""
+    ways = lambda i: tails.log_factorial(F.col("n")) - tails.log_factorial(i) - tails.log_factorial(F.col("n") - i)
+    e = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).where(ways(F.col("i")) <= ways(F.col("k")) + 1e-7)
+    return e.groupBy(by, "n", "k").agg(F.least(F.lit(1.0), F.sum(F.exp(ways(F.col("i")) + F.col("n") * F.log(F.lit(0.5))))).alias("p"))
+
+
 def ece_brier(rows: DataFrame, p: str, correct: str, *by: str) -> DataFrame:
     """Expected calibration error over ten equal bins, the last one closed, and the Brier score."""
     ok = F.col(correct).cast("double")

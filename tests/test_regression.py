@@ -108,3 +108,14 @@ def test_leave_one_out(studies, monkeypatch, block):
             moved.append(abs(r.mu_without - mu))
         assert [i for i in range(len(theta)) if got[g, i].most_influential] == [int(np.argmax(np.round(moved, 9)))]
     assert got["wide", 3].outlier and got["wide", 3].most_influential
+
+
+def test_binomial_of_large_counts(spark):
+    """Each outcome costs the same, whatever the count; so many would take days where it costs its own number."""
+    from sigmark.operators import ranks
+
+    counts = spark.createDataFrame([("a", 10, 2), ("b", 400000, 199000), ("c", 5, 5), ("d", 0, 0)], "g string, n int, k int")
+    got = {r.g: r.p for r in ranks.binom_half(counts, "g").collect()}
+    assert math.isclose(got["a"], 2 * (1 + 10 + 45) / 1024, rel_tol=1e-12) and got["c"] == 2 / 32 and got["d"] == 1.0
+    tail = sum(math.exp(math.lgamma(400001) - math.lgamma(i + 1) - math.lgamma(400001 - i) - 400000 * math.log(2)) for i in range(195000, 199001))
+    assert math.isclose(got["b"], 2 * tail, rel_tol=1e-6)
