@@ -110,6 +110,21 @@ def test_leave_one_out(studies, monkeypatch, block):
     assert got["wide", 3].outlier and got["wide", 3].most_influential
 
 
+def test_leave_one_out_meets_no_pairs(spark, monkeypatch):
+    """Rows of every step: a study meets the places of its group's series, not the other studies."""
+    rng = np.random.default_rng(8)
+    k = 3000
+    s2 = np.concatenate([[1e-9], rng.uniform(0.01, 0.5, k - 1)])
+    th = rng.normal(5, 0.7, k)
+    rows = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(zip(th, s2, strict=True))], "g string, study int, theta double, s2 double")
+    done = pooling.leave_one_out(rows, ["g"], pooling.random_effects(rows, ["g"]))
+    got = {r.study: r for r in done.collect()}
+    for i in (0, 1, 1500, k - 1):
+        a, b = np.delete(th, i), np.delete(s2, i)
+        assert math.isclose(got[i].mu_without, np.average(a, weights=1 / (b + got[i].tau2_without)), rel_tol=1e-11)
+    assert "others" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_binomial_of_large_counts(spark):
     """Each outcome costs the same, whatever the count; so many would take days where it costs its own number."""
     from sigmark.operators import ranks
