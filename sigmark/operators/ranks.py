@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, tails
+from ..functions.digest import Numbers
+from . import resample
 from .selection import kth, running
 
 
@@ -33,7 +38,15 @@ def permuted(rows: DataFrame, key: str, y: str, by: str, draws: int, base: str)
 def perm_pvalue(rows: DataFrame, key: str, x: str, y: str, by: str, draws: int, base: str = "perm") -> DataFrame:
     """Two-sided p of each group's correlation, with 1 added to both counts."""
     seen = rows.groupBy(by).agg(F.corr(x, y).alias("r"))
-    drawn = permuted(rows, key, y, by, draws, base).groupBy(by, "draw").agg(F.corr(x, "py").alias("pr"))
+
+    def each(group: str, a: dict[str, np.ndarray], own: range) -> Iterator[tuple[int, float]]:
+        at = np.argsort(a[key])
+        fixed, moved, keys = a[x][at], a[y][at], Numbers(a[key][at])
+        for draw in own:
+            yield draw, resample.correlation(fixed, moved[keys.order(f"{base}:{draw}:".encode())])
+
+    shuffled = lambda large: permuted(large, key, y, by, draws, base).groupBy(by, "draw").agg(F.corr(x, "py").alias("pr"))
+    drawn = resample.by_cell(rows, by, [key, x, y], range(draws), each, "pr", shuffled)
     hit = F.abs("pr") >= F.abs("r") - 1e-9
     return drawn.join(seen, by).groupBy(by).agg(F.first("r").alias("r"), ((F.count(F.when(hit, 1)) + 1) / (F.count("*") + 1)).alias("p"))
 
@@ -76,6 +89,34 @@ def jonckheere(rows: DataFrame, level: str, value: str, by: str) -> DataFrame:
     return j.withColumn("z", (F.col("j") - (nn * nn - F.col("n2")) / 4) / F.sqrt((nn * nn * (2 * nn + 3) - F.col("n3")) / 72)).select(by, "j", "z")
 
 
+def trend_draws(rows: DataFrame, key: str, level: str, value: str, by: str, draws: int, base: str = "trend", levels: int = 4) -> DataFrame:
+    """(by, draw, j): J over levels 0.. with the group's values dealt anew by an md5 of (draw, key), and as they are in draw -1; ties count half."""
+
+    def each(group: str, a: dict[str, np.ndarray], own: range) -> Iterator[tuple[int, float]]:
+        at = np.argsort(a[key])
+        of, keys = a[level][at], Numbers(a[key][at])
+        place = np.unique(a[value][at], return_inverse=True)[1]
+        for draw in own:
+            dealt = place if draw < 0 else place[keys.order(f"{base}:{draw}:".encode())]
+            j = 0.0
+            for k in range(levels - 1):
+                low = np.bincount(dealt[of == k], minlength=place.max() + 1)
+                j += (np.cumsum(low) - 0.5 * low) @ np.bincount(dealt[of > k], minlength=len(low))
+            yield draw, j
+
+    def shuffled(large: DataFrame) -> DataFrame:
+        lv = large.select(by, level, F.row_number().over(Window.partitionBy(by).orderBy(key)).alias("i"))
+        reps = large.select(by, key, value, F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("draw"))
+        h = F.when(F.col("draw") < 0, "").otherwise(F.md5(F.concat_ws(":", F.lit(base), F.col("draw").cast("string"), F.col(key).cast("string"))))
+        ys = reps.select(by, value, "draw", F.row_number().over(Window.partitionBy(by, "draw").orderBy(h, key)).alias("i"))
+        w = Window.partitionBy(by, "draw").orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+        z = Window.partitionBy(by, "draw", value)
+        below = sum((F.when(F.col(level) > k, F.sum((F.col(level) == k).cast("int")).over(w) - 0.5 * F.sum((F.col(level) == k).cast("int")).over(z)).otherwise(0.0) for k in range(levels - 1)), F.lit(0.0))
+        return ys.join(lv, [by, "i"]).withColumn("below", below).groupBy(by, "draw").agg(F.sum("below").alias("j"))
+
+    return resample.by_cell(rows, by, [key, level, value], range(-1, draws), each, "j", shuffled)
+
+
 def kruskal_wallis(rows: DataFrame, level: str, value: str, *by: str) -> DataFrame:
     r = rows.withColumn("_r", avg_rank(value, *by))
     g = r.groupBy(*by, level).agg(F.sum("_r").alias("s"), F.count("*").alias("n"))
