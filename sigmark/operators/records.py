@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from .graph import cut
 
 #: Levels that are opened in one job.
 LEVELS = 8
+#: Keys that can stand in a path of variant_get.
+PLAIN = re.compile(r"[^'\"\\]+")
 
 
 def _members(v: Column) -> Column:
@@ -66,12 +71,57 @@ def resolve(record: Column, path: Column) -> Column:
     return F.struct(ok.alias("found"), F.when(ok, led["value"]).alias("value"))
 
 
-def underived(nodes: DataFrame, records: DataFrame, key: str) -> DataFrame:
-    """The nodes (key, path, value as text) whose value isn't what their path leads to in the record of their key, with that."""
-    j = nodes.join(records.select(key, "record"), key, "left").withColumn("_r", resolve(F.col("record"), F.col("path")))
-    own, number = F.col("_r.value").try_cast("string"), F.col("_r.value").try_cast("double")
+def _text(v: Column, key: str) -> Column:
+    """A member's text, null where there is none."""
+    return F.try_variant_get(v, f"$['{key}']", "string") if PLAIN.fullmatch(key) else F.try_element_at(_members(v), F.lit(key)).try_cast("string")
+
+
+def led(record: Column, path: str) -> Column:
+    """What a path that is known beforehand leads to, as resolve() has it: a variant, null (not a stored null) where it leads nowhere.
+
+    Its keys and places are one path of variant_get, so no member that it doesn't name is opened.
+    """
+    steps = re.findall(r"\[[^\]]*\]|[^.\[\]]+", path)
+    nowhere = F.when(F.lit(False), record)
+    if not steps or not re.fullmatch(r"(?:[^\[\]]|\[[^\]]*\])+", path):
+        return nowhere
+    v, at = record, "$"
+    for s in steps:
+        inner = s[1:-1]
+        if not s.startswith("["):
+            if PLAIN.fullmatch(s):
+                at += f"['{s}']"
+            else:
+                v, at = F.try_element_at(F.try_variant_get(v, at, "map<string,variant>"), F.lit(s)), "$"
+        elif "=" in inner:
+            name, want = inner.split("=", 1)
+            v, at = F.get(F.filter(F.try_variant_get(v, at, "array<variant>"), lambda x: _text(x, name) == want), F.lit(0)), "$"  # noqa: B023
+        elif re.fullmatch(r"\s*\+?\d+\s*", inner, re.ASCII) and int(inner) < 1 << 31:
+            at += f"[{int(inner)}]"
+        else:
+            return nowhere
+    return v if at == "$" else F.try_variant_get(v, at, "variant")
+
+
+def unlike(rows: DataFrame, known: Iterable[str] = ()) -> DataFrame:
+    """The rows (record, path, value as text) whose value isn't what their path leads to in their record, with found and source, which is that.
+
+    Paths told in known are led to by expressions of their own, others step by step.
+    """
+    j = rows.withColumn("_k", F.coalesce(*[F.when(F.col("path") == p, i) for i, p in enumerate(known)], F.lit(-1)))
+    other = F.when(F.col("_k") < 0, resolve(F.col("record"), F.col("path")))
+    j = j.withColumns({"_r": other, "_v": F.coalesce(*[F.when(F.col("_k") == i, led(F.col("record"), p)) for i, p in enumerate(known)], F.lit(None).cast("variant"))})
+    v = F.coalesce("_v", "_r.value")
+    found = F.when(F.col("_k") < 0, F.col("_r.found")).otherwise(F.col("_v").isNotNull())
+    own, number = v.try_cast("string"), v.try_cast("double")
     same = (own == F.col("value")) | (number == F.col("value").try_cast("double")) | (own.isNull() & F.col("value").isNull())
-    return j.where(~(F.col("_r.found") & F.coalesce(same, F.lit(False)))).select(*nodes.columns, F.col("_r.found").alias("found"), own.alias("source"))
+    return j.withColumns({"found": found, "source": own}).where(~(F.col("found") & F.coalesce(same, F.lit(False)))).drop("_k", "_r", "_v")
+
+
+def underived(nodes: DataFrame, records: DataFrame, key: str, known: Iterable[str] = ()) -> DataFrame:
+    """The nodes (key, path, value as text) whose value isn't what their path leads to in the record of their key, with that."""
+    j = nodes.join(records.select(key, "record"), key, "left")
+    return unlike(j, known).select(*nodes.columns, "found", "source")
 
 
 def _nodes(records: DataFrame, keys: list[str]) -> DataFrame:

@@ -61,6 +61,36 @@ def test_underived(spark):
     assert sorted((r.k, r.path, r.value) for r in got) == [(1, "a", "2"), (1, "b", "0"), (1, "d", None), (3, "a", "1")]
 
 
+DOC = '{"a": {"b": [{"k": "x", "c": 1}, {"k": 2, "c": null}, {"k": "x", "c": 3}, 7], "n": null}, "list": [10, [20], {"it\'s": [{"q\'": 1, "z": 5}]}], "t": "s"}'
+WAYS = ["a.b[k=x].c", "a.b[k=2].c", "a.b[k=none].c", "a.b[0].c", "a.b[3]", "a.b[4]", "a.b[k=x]", "a", "a.n", "a.n.x", "list[1][0]", "list[-1]", "list[x]", "list[+1][0]", "list[99999999999]", "list.0", "t", "t[0]", "a.b[k=x", "", "gone", "a..t", "t[k=s]", "list[2].it's[q'=1].z", "list[2].it's[=1]", "[0]", "a.b[].c"]
+
+
+def test_known_paths_lead_where_others_do(spark):
+    rows = table(spark, {1: DOC, 2: "[[3]]", 3: "null", 4: None}).cache()
+    for p in WAYS:
+        r = rows.select("k", records.resolve(F.col("record"), F.lit(p)).alias("r"), records.led(F.col("record"), p).alias("v"))
+        for x in r.select("k", "r.found", F.to_json("r.value").alias("a"), F.col("v").isNotNull().alias("there"), F.to_json("v").alias("b")).collect():
+            assert (x.found, x.a) == (x.there, x.b), (p, x)
+
+
+def test_unlike_of_known_and_other_paths(spark):
+    docs = table(spark, {1: '{"a": 1, "b": null, "c": "x"}', 2: '{"a": 2.5}'})
+    nodes = spark.createDataFrame([(1, "a", "1"), (1, "a", "1.0"), (1, "a", "2"), (1, "b", None), (1, "b", "0"), (1, "c", "x"), (1, "d", None), (2, "a", "2.50"), (3, "a", "1")], "k int, path string, value string")
+    whole = sorted((r.k, r.path, r.value or "", r.found, r.source or "") for r in records.underived(nodes, docs, "k").collect())
+    assert whole == sorted((r.k, r.path, r.value or "", r.found, r.source or "") for r in records.underived(nodes, docs, "k", ["a", "d"]).collect())
+    assert [x[:2] for x in whole] == [(1, "a"), (1, "b"), (1, "d"), (3, "a")]
+
+
+@pytest.mark.parametrize("name", ["x04_resolve_path"])
+def test_lines_of_orders_are_read_once_and_their_paths_at_once(spark, name):
+    """No record is opened step by step where its paths are known, and lines are grouped once."""
+    from sigmark.plans import load
+
+    plan = load()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") and plan.count("collect_list") == 1 and "regexp_extract_all" not in plan and "Generate explode([[" not in plan
+    assert plan.count("Relation") == 2
+
+
 def diff(a, b, path="$"):
     kind = lambda x: "object" if isinstance(x, dict) else "list" if isinstance(x, list) else "number" if isinstance(x, (int, float)) and not isinstance(x, bool) else type(x).__name__
     if kind(a) != kind(b):
