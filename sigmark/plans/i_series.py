@@ -193,8 +193,12 @@ _COH = "coh as (select protein, count(*) as n, count(distinct construct) as n_co
 
 def _cohorts(t: Tables):
     """Gate, mode and licensed analysis of each (protein, study) cohort."""
-    g = t.conditions().groupBy("protein", "study").agg(F.count("*").alias("n"), F.countDistinct("assay").alias("n_assay"), F.countDistinct("conc").alias("n_conc"), F.countDistinct("temp").alias("n_temp"), (-F.regr_slope(F.log10("t50"), F.log10("conc"))).alias("gamma"), F.avg(F.ln("t50")).alias("mu"))
-    mode = F.when(F.col("n") < 3, "too_small").when(F.col("n_assay") > 1, F.when(F.col("n_conc") > 1, "confounded").otherwise("condition")).when((F.col("n_conc") > 1) & (F.col("n_temp") > 1), "confounded").when(F.col("n_conc") > 1, "series").when(F.col("n_temp") > 1, "condition").otherwise("replicates")
+    # whether values vary is told by the least and the most of them; one distinct count needs no row for each, as several do
+    varies = lambda c: F.min(c) < F.max(c)
+    rows = t.conditions().select("protein", "study", "assay", "conc", "temp", F.log10("t50").alias("x"), F.log10("conc").alias("lconc"), F.ln("t50").alias("ln"))
+    g = rows.groupBy("protein", "study").agg(F.count("*").alias("n"), (F.countDistinct("assay") > 1).alias("assays"), varies("conc").alias("concs"), varies("temp").alias("temps"), (-F.regr_slope("x", "lconc")).alias("gamma"), F.avg("ln").alias("mu"))
+    assays, concs, temps = (F.coalesce(c, F.lit(False)) for c in ("assays", "concs", "temps"))
+    mode = F.when(F.col("n") < 3, "too_small").when(assays, F.when(concs, "confounded").otherwise("condition")).when(concs & temps, "confounded").when(concs, "series").when(temps, "condition").otherwise("replicates")
     return g.withColumn("mode", mode)
 
 
