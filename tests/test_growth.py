@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from sigmark.operators import regression
 from sigmark.plans import load
 
 from .conftest import DATA
@@ -16,3 +18,18 @@ def text(df, which="optimizedPlan"):
 @pytest.mark.parametrize("name", ["c08_cohorts", "y09_cohort_request"])
 def test_cohorts_make_no_row_for_each_distinct_count(spark, name):
     assert "Expand" not in text(load()[0][name](spark, DATA))
+
+
+def test_units_meet_their_groups_by_broadcast(spark):
+    """A few groups of any size: rows are neither shuffled nor sorted by them."""
+    rows = spark.range(400).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3 == 0).alias("f"))
+    got = regression.centred(rows, ["g"], {"x": 1}, ["f"], {"x": 2, "f": 2})
+    plan = text(got, "sparkPlan")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "strategy=broadcast" in text(got)
+    assert got.groupBy("g").agg(F.round(F.sum("x_x"), 9).alias("s")).where("s <> 0").count() == 0
+
+
+def test_shares_of_variance_read_lines_three_times(spark):
+    """Levels, coefficients and studies: each is a table before the next reads the lines."""
+    plan = text(load()[0]["k10_variance_decomposition"](spark, DATA))
+    assert "l_extendedprice" not in plan
