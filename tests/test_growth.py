@@ -20,6 +20,11 @@ def test_cohorts_make_no_row_for_each_distinct_count(spark, name):
     assert "Expand" not in text(load()[0][name](spark, DATA))
 
 
+def test_forest_has_no_window_and_no_merge_by_protein(spark):
+    plan = text(load()[0]["k14_forest"](spark, DATA))
+    assert "Window" not in plan and "strategy=broadcast" in plan
+
+
 def test_units_meet_their_groups_by_broadcast(spark):
     """A few groups of any size: rows are neither shuffled nor sorted by them."""
     rows = spark.range(400).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3 == 0).alias("f"))
