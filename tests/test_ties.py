@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
 from fractions import Fraction
 from types import SimpleNamespace
 
@@ -47,6 +49,25 @@ def test_slopes_of_points_a_moment_apart(spark):
         assert abs(got / want - 1) < 1e-12
 
 
+def test_slopes_of_one_point(spark):
+    """A curve of one point, which the small tables have none of, has the slopes that the SQL gives it; two equal points are flat."""
+    import duckdb
+
+    from sigmark.plans import load
+
+    rows = [(0, "2024-01-03 00:00:00", 7, "view", 3.5), *[(1 + i, f"2024-01-0{1 + i} 00:00:00", 8, "view", 2.0) for i in range(2)], *[(3 + i, f"2024-01-0{1 + i} 00:00:00", 9, "view", i * i * 1.0) for i in range(5)]]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = tempfile.mkdtemp(prefix="one-")
+    events.coalesce(1).write.parquet(f"{path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("set TimeZone='UTC'")
+    con.execute(f"create view events as select * from '{path}/events.parquet/*.parquet'")
+    queries, sql = load()
+    want = sorted(con.execute(sql["d04_edge_slopes"]).fetchall())
+    got = sorted(map(tuple, queries["d04_edge_slopes"](spark, path).select("curve_id", "n_points", "start_slope", "end_slope").collect()))
+    assert repr(got) == repr(want) and math.isnan(got[0][2])
+
+
 def test_fewer_rows_than_columns_are_singular(spark):
     """Nearly equal columns leave noise for the last pivot, far above what tells a pivot from none."""
     rows = [("g", 1.31, 1.31003, 0.6547, 1.0), ("g", 5.67, 5.6701, 2.8352, 2.0), ("g", 1.9, 1.89981, 0.9509, 2.5), ("g", 4.11, 4.11032, 2.0549, 4.0)]
