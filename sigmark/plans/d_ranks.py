@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..operators import curves, ranks, regimes
-from ..sources.tables import Tables
+from ..sources.tables import Tables, means, placed
 from .c_pooling import _U, units
 from .registry import PTS, query, r6, rounded
 
 _PARTS = "pp as (select l_partkey as part, p_brand as protein, avg(l_extendedprice) as x, avg(l_quantity) as y, avg(l_discount) as d, p_size % 4 as lvl, p_size from lineitem join part on l_partkey = p_partkey group by 1, 2, p_size)"
 
 
-def parts(t: Tables):
-    i = t.lineitem.groupBy(F.col("l_partkey").alias("part")).agg(F.avg("l_extendedprice").alias("x"), F.avg("l_quantity").alias("y"), F.avg("l_discount").alias("d"))
+def parts(t: Tables, ordered: bool = False):
+    """Means of each part's shipments; ordered are those whose ties matter, added in the order of the file."""
+    if ordered:
+        i = means(placed(t.lineitem).withColumnRenamed("l_partkey", "part"), "part", x="l_extendedprice", y="l_quantity", d="l_discount")
+    else:
+        i = t.lineitem.groupBy(F.col("l_partkey").alias("part")).agg(F.avg("l_extendedprice").alias("x"), F.avg("l_quantity").alias("y"), F.avg("l_discount").alias("d"))
     return i.join(t.part.select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("protein"), (F.col("p_size") % 4).alias("lvl"), "p_size"), "part")
 
 
@@ -111,7 +115,7 @@ _UTEST = f"with {_PARTS}, f as (select protein, part, unnest(['d', 'y', 'p_size'
 
 
 def associations(t: Tables):
-    f = parts(t).withColumn("p_size", F.col("p_size").cast("double")).unpivot(["protein", "part", "x"], ["d", "y", "p_size"], "feature", "v")
+    f = parts(t, True).withColumn("p_size", F.col("p_size").cast("double")).unpivot(["protein", "part", "x"], ["d", "y", "p_size"], "feature", "v")
     return ranks.correlations(f, "v", "x", "protein", "feature").select("protein", "feature", "n", F.col("spearman").alias("rho"))
 
 
