@@ -49,3 +49,9 @@ def test_associations_do_not_depend_on_how_lines_are_dealt(spark):
         res = con.execute(sql[name])
         cols = [d[0] for d in res.description]
         assert sorted(map(tuple, df.select(*cols).collect())) == sorted(res.fetchall()), name
+
+
+def test_a_median_is_one_of_the_means_it_is_compared_with(spark):
+    """The means are a table before the median of them is taken, so none is made twice."""
+    plan = load()[0]["r14_discordance"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan
