@@ -148,7 +148,10 @@ def h06(t: Tables):
 
 @query("h04_runs_test", f"with {PTS}, ch as (select *, (s <> lag(s) over (partition by curve_id order by t))::integer as c from (select curve_id, t, sign(y - m) as s from (select *, avg(y) over (partition by curve_id) as m from (select *, row_number() over (partition by curve_id, t order by seq) as r from pts) where r = 1) where y <> m)), g as (select curve_id, count(*) as n, (count(*) filter (s > 0))::double as n1, (count(*) filter (s < 0))::double as n2, 1 + coalesce(sum(c), 0) as runs from ch group by 1), z as (select *, (runs - (2 * n1 * n2 / (n1 + n2) + 1)) / sqrt(2 * n1 * n2 * (2 * n1 * n2 - n1 - n2) / ((n1 + n2) * (n1 + n2) * (n1 + n2 - 1))) as z from g where n >= 8) select curve_id, n, runs::bigint as runs, round(z, 6) as z, round(1 - {tails.norm_sf_sql('z')}, 6) as p from z")
 def h04(t: Tables):
-    p = curves.first_rows(t.points()).withColumn("r", F.col("y") - F.avg("y").over(Window.partitionBy("curve_id")))
+    # a curve's values are added in order of time: whether one equals their mean is told by its last bit
+    w = Window.partitionBy("curve_id").orderBy("t")
+    p = curves.first_rows(t.points()).withColumn("m", F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.row_number().over(w))
+    p = p.withColumn("r", F.col("y") - F.last("m").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return rounded(regimes.runs_test(p.select("curve_id", "t", "r")).select("curve_id", "n", "runs", "z", "p"), "z", "p")
 
 

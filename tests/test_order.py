@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import tempfile
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from sigmark.plans import load
+from sigmark.plans.d_ranks import h04
 from sigmark.sources.tables import Tables, means, placed
 
 from .conftest import DATA
@@ -55,3 +57,23 @@ def test_a_median_is_one_of_the_means_it_is_compared_with(spark):
     """The means are a table before the median of them is taken, so none is made twice."""
     plan = load()[0]["r14_discordance"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_extendedprice" not in plan
+
+
+def test_values_equal_to_the_mean(spark):
+    """Whatever the tasks that rows come from, a value is compared with the sum in order of time over the count."""
+    draw, rows = random.Random(11), []
+    for curve in range(400):
+        ys = [round(draw.expovariate(1 / 50), 2) for _ in range(11)]
+        rows += [(curve, i, float(i), y) for i, y in enumerate([*ys, round(sum(ys) / 11, 2)])]
+    t = SimpleNamespace(points=lambda: spark.createDataFrame(draw.sample(rows, len(rows)), "curve_id long, seq long, t double, y double").repartition(7))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.curve_id: r.n for r in h04(t).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for curve in range(400):
+        ys, total = [y for c, _, _, y in rows if c == curve], 0.0
+        for y in ys:
+            total += y
+        assert got[curve] == sum(y != total / 12 for y in ys)
+    assert set(got.values()) == {11, 12}
