@@ -8,6 +8,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from sigmark.operators import pooling
 from sigmark.plans import load
 from sigmark.plans.d_ranks import h04
 from sigmark.sources.tables import Tables, means, placed
@@ -77,3 +78,17 @@ def test_values_equal_to_the_mean(spark):
             total += y
         assert got[curve] == sum(y != total / 12 for y in ys)
     assert set(got.values()) == {11, 12}
+
+
+def test_leave_one_out_sorts_no_studies_by_their_group(spark):
+    """What is known of a few groups is sent to the studies, whatever their number; merged, all of a group's studies would be sorted in one task, join after join."""
+    rows = spark.range(600).select((F.col("id") % 2).alias("g"), F.col("id").alias("study"), (F.col("id") % 7).cast("double").alias("theta"), (0.1 + F.col("id") % 5).alias("s2"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = pooling.leave_one_out(rows, ["g"], pooling.random_effects(rows, ["g"]))
+        plan = done._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        assert done.count() == 600 and done.where("most_influential").count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
