@@ -6,9 +6,10 @@ import random
 import tempfile
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
-from sigmark.operators import pooling
+from sigmark.operators import pooling, terms
 from sigmark.plans import load
 from sigmark.plans.d_ranks import h04
 from sigmark.sources.tables import Tables, means, placed
@@ -92,3 +93,17 @@ def test_leave_one_out_sorts_no_studies_by_their_group(spark):
         assert done.count() == 600 and done.where("most_influential").count() == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_names_are_told_by_their_beginnings(spark, monkeypatch):
+    """Names beyond one automaton make no more of them: one that begins another, that differs by case, that stands in a word, and that overlaps."""
+    monkeypatch.setattr(terms, "MOST", 2000)
+    names = [f"large ring {i}" for i in range(300)] + ["Large Ring 7", "ring 2", "299 e", "tau", "tau tau", "İx ring 30"]
+    texts = ["a LARGE ring 299 end, large ring 3001 and ring 25", "xlarge ring 7", "tau tau tau taux", None, "", "İX ring 30 large ring 1large ring 2", "none"]
+    table = spark.createDataFrame([(n,) for n in names], "term string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    made = terms._built(names)
+    want = sorted((k, *h) for k, x in enumerate(texts) if x for h in terms.longest(terms.occurrences(made, x), len(x)))
+    monkeypatch.setattr(terms, "_automata", lambda t: pytest.fail("automata of all names"))
+    got = sorted(map(tuple, terms.find_longest(rows, table).select("k", "start", "end", "term").collect()))
+    assert got == want and len(got) > 8
